@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graticule.functions import location as loc
+from graticule.session import cut_lineage
 
 _GRAM = 3
 
@@ -63,10 +64,10 @@ def contains_join(queries: DataFrame, names: DataFrame, parts: str, text: str) -
     test follows. Nothing is lost, because a name that contains the parts contains every
     piece of them. Queries with nothing to look for match nothing.
     """
-    lowered = names.withColumn("_text", F.lower(F.col(text)))
     q = queries.withColumn("_parts", F.filter(F.col(parts), lambda p: F.length(p) > 0)).where(
         F.size("_parts") > 0
     )
+    keyed = q.withColumn("_key", F.sha2(F.array_join("_parts", "\u0001"), 256))
     pieces = F.array_distinct(
         F.flatten(
             F.transform(
@@ -75,28 +76,31 @@ def contains_join(queries: DataFrame, names: DataFrame, parts: str, text: str) -
             )
         )
     )
-    keyed = q.withColumn("_key", F.sha2(F.array_join("_parts", "\u0001"), 256))
-    wanted = keyed.select("_key", "_parts", pieces.alias("_pieces")).dropDuplicates(["_key"])
+    wanted = keyed.select("_key", "_parts").dropDuplicates(["_key"])
+    asked = cut_lineage(wanted.select("_key", "_parts", F.explode(pieces).alias("_gram")), "asked")
+    # Only pieces somebody asks for enter the index.
     all_grams = F.flatten(F.array(*[_grams(F.col("_text"), k) for k in range(1, _GRAM + 1)]))
-    indexed = lowered.select(F.explode(all_grams).alias("_gram"), *names.columns, "_text")
+    indexed = cut_lineage(
+        names.withColumn("_text", F.lower(F.col(text)))
+        .select(F.explode(all_grams).alias("_gram"), *names.columns, "_text")
+        .join(asked.select("_gram").distinct(), "_gram", "left_semi"),
+        "grams",
+    )
     frequency = indexed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = (
-        wanted.select("_key", F.explode("_pieces").alias("_gram"))
-        .join(frequency, "_gram", "left")
+        asked.join(frequency, "_gram", "left")
         .groupBy("_key")
-        .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+        .agg(
+            F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"),
+            F.any_value("_parts").alias("_parts"),
+        )
     )
     hits = (
-        wanted.join(rarest, "_key")
-        .join(indexed, "_gram")
+        rarest.join(indexed, "_gram")
         .where(F.forall("_parts", lambda p: F.contains(F.col("_text"), p)))
-        .select("_key", *[F.col(c).alias(f"_n_{c}") for c in names.columns])
-    )
-    return (
-        keyed.join(hits, "_key")
-        .drop("_key", "_parts")
-        .withColumnsRenamed({f"_n_{c}": f"match_{c}" for c in names.columns})
+        .select("_key", *[F.col(c).alias(f"match_{c}") for c in names.columns])
     )
+    return cut_lineage(keyed.join(hits, "_key").drop("_key", "_parts"), "matches")
 
 
 def _coarsest(matches: DataFrame) -> DataFrame:

@@ -70,10 +70,13 @@ def associated_records(collections: DataFrame, records: DataFrame, kind: str) ->
 
     ``kind`` is ``variables`` or ``services``. A collection without ids gives no rows; ids
     without a record give none either.
+
+    The outer explode keeps Spark from testing the id list in a pushed-down filter, which
+    would parse each record's JSON a second time; the join drops the empty rows.
     """
     ids = collections.select(
         F.col("concept_id").alias("collection_id"),
-        F.posexplode(F.col(f"associations.{kind}")).alias("pos", "concept_id"),
+        F.posexplode_outer(F.col(f"associations.{kind}")).alias("pos", "concept_id"),
     )
     return ids.join(records, "concept_id")
 

@@ -6,7 +6,9 @@ import importlib
 
 from graticule.plans.registry import REGISTRY, Query
 
-_MODULES = ("grid_queries",)
+_MODULES = (
+    "grid_queries", "catalog_queries", "place_queries", "request_queries", "lineage_queries", "stream_queries",
+)
 
 
 def load_queries() -> dict[str, Query]:
