@@ -16,7 +16,7 @@ from graticule.sources import metadata as md
 
 
 @query("granule_ingest", "SRC-1", sql=f"""SELECT granule_ur AS concept_id, granule_ur, cloud_cover, day_night_flag,
-  round(size_mb, 9) AS size_mb, CASE WHEN unit_kind = 2 THEN 1 ELSE 0 END AS unsized_entries,
+  round(size_mb, 9) AS size_mb, CAST(CASE WHEN unit_kind = 2 THEN 1 ELSE 0 END AS BIGINT) AS unsized_entries,
   CASE WHEN url IS NULL THEN 1 ELSE 2 END AS n_urls FROM {DUCK.granules()}""")
 def granule_ingest(spark, sf):
     g = md.parse_granules(fx.granule_records(spark, sf))
@@ -46,7 +46,7 @@ def collection_ingest(spark, sf):
     )
 
 
-@query("variable_ingest", "SRC-3", sql=f"""SELECT concept_id, name, standard_name, units, scale, fill, CASE WHEN pos = 3 THEN 100.0 END AS valid_max,
+@query("variable_ingest", "SRC-3", sql=f"""SELECT concept_id, name, standard_name, units, CAST(scale AS DOUBLE) AS scale, CAST(fill AS DOUBLE) AS fill, CASE WHEN pos = 3 THEN 100.0::DOUBLE END AS valid_max,
   concat_ws(',', d1 || '=' || coalesce(CAST(n1 AS VARCHAR), '?'), d2 || '=' || n2, d3 || '=' || n3) AS dimensions FROM {DUCK.variables()}""")
 def variable_ingest(spark, sf):
     v = md.parse_variables(fx.variable_records(spark, sf))
@@ -97,7 +97,7 @@ _FLAGS = ("bbox", "variable", "temporal", "shape", "dimension", "reproject", "co
   FROM {DUCK.collections()} c LEFT JOIN {DUCK.services()} s ON s.collection_id = c.concept_id""")
 def service_capability_rows(spark, sf):
     rows = md.explode_services(md.parse_capabilities(fx.capability_records(spark, sf)))
-    return rows.select("concept_id", "pos", "service_name", "service_id", *_FLAGS, F.array_join("output_formats", ",").alias("output_formats"))
+    return rows.select("concept_id", F.col("pos").cast("long").alias("pos"), "service_name", "service_id", *_FLAGS, F.array_join("output_formats", ",").alias("output_formats"))
 
 
 def capabilities(spark, sf):
@@ -120,7 +120,7 @@ CAPABILITIES_SQL = f"""(SELECT concept_id, k, k % 10 <> 3 AS has_record, k % 10
     capabilities_version, CASE WHEN has_doc THEN k % 4 ELSE 0 END AS n_services FROM {CAPABILITIES_SQL}""")
 def capability_merge(spark, sf):
     return capabilities(spark, sf).select(
-        "concept_id", "short_name", "version", "output_shape", "direct_access", "capabilities_version", F.size("services").alias("n_services")
+        "concept_id", "short_name", "version", "output_shape", "direct_access", "capabilities_version", F.size("services").cast("long").alias("n_services")
     )
 
 
@@ -233,7 +233,9 @@ def collection_search(spark, sf):
 @query("associated_variables", "JOIN-4", sql=f"""SELECT collection_id, concept_id, pos, name FROM {DUCK.variables()} WHERE k0 % 4 <> 3""")
 def associated_variables(spark, sf):
     c, v = catalog_tables(spark, sf)
-    return cat.associated_records(c, v, "variables").select("collection_id", "concept_id", "pos", "name")
+    return cat.associated_records(c, v, "variables").select(
+        "collection_id", "concept_id", F.col("pos").cast("long").alias("pos"), "name"
+    )
 
 
 @query("associated_services", "JOIN-4", sql="""SELECT 'C' || c_custkey AS collection_id, 'S' || s_suppkey AS concept_id, s_name AS name
@@ -265,14 +267,14 @@ def collection_notes(spark, sf):
 
 
 @query("dataset_description", "LIN-13", "JOIN-4", "JOIN-5", sql=f"""SELECT c.concept_id AS collection_id, c.short_name, CASE WHEN (c.k % 97) % 3 = 0 THEN 2 ELSE 0 END AS n_notes,
-    v.pos, v.name AS variable, v.units, v.scale,
+    v.pos, v.name AS variable, v.units, CAST(v.scale AS DOUBLE) AS scale,
     CASE WHEN (c.k % 97) % 6 = 0 AND v.name = 'ndvi' THEN 'mask first' END AS variable_note
   FROM {DUCK.collections()} c LEFT JOIN {DUCK.variables()} v ON v.collection_id = c.concept_id AND c.k % 4 <> 3""")
 def dataset_description(spark, sf):
     products, variables = _curated(spark, sf)
     collections, records = catalog_tables(spark, sf)
     d = cat.describe_datasets(collections, records, cat.collection_notes(products), variables)
-    return d.select("collection_id", "short_name", F.size("advisory_notes").alias("n_notes"), "pos", "variable", "units", "scale",
+    return d.select("collection_id", "short_name", F.size("advisory_notes").alias("n_notes"), F.col("pos").cast("long").alias("pos"), "variable", "units", "scale",
                     F.try_element_at("variable_notes", F.lit(1))["note"].alias("variable_note"))
 
 

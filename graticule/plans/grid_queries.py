@@ -119,8 +119,8 @@ def coarsen_blocks(spark, sf):
 
 @query("resample_time_and_space", "AGG-3", "AGG-4", sql=f"""WITH d AS (
     SELECT {_DAY} AS time, lat_idx, lon_idx, avg(n) AS n FROM {DUCK.grid_events()} GROUP BY 1, 2, 3)
-  SELECT time, lat_idx // 2 AS lat_idx, lon_idx // 2 AS lon_idx, -60.0 + 60 * (lat_idx // 2) AS lat,
-    -135.0 + 90 * (lon_idx // 2) AS lon, round(avg(n), 9) AS n FROM d GROUP BY ALL""")
+  SELECT time, lat_idx // 2 AS lat_idx, lon_idx // 2 AS lon_idx, CAST(-60 + 60 * (lat_idx // 2) AS DOUBLE) AS lat,
+    CAST(-135 + 90 * (lon_idx // 2) AS DOUBLE) AS lon, round(avg(n), 9) AS n FROM d GROUP BY ALL""")
 def resample_time_and_space(spark, sf):
     g = grid_events(spark, sf).drop("v_sum", "value_mean")
     out = rs.resample(g, ["n"], time_freq="D", spatial_factor=2, fill_gaps=False)
@@ -448,7 +448,7 @@ def axis_index(spark, sf):
 @query("chunk_flatten", "SRC-9", sql=f"""WITH g AS (SELECT * FROM {DUCK.grid_events()}),
     c AS (SELECT DISTINCT time, lat_idx // 2 AS block FROM g)
   SELECT epoch_us(c.time) AS source_id, CAST(block * 2 + i AS BIGINT) AS lat_idx, CAST(j AS BIGINT) AS lon_idx,
-    -75.0 + 30 * (block * 2 + i) AS lat, -157.5 + 45 * j AS lon, CAST(g.v_sum AS DOUBLE) AS v_sum
+    CAST(-75 + 30 * (block * 2 + i) AS DOUBLE) AS lat, CAST(-157.5 + 45 * j AS DOUBLE) AS lon, CAST(g.v_sum AS DOUBLE) AS v_sum
   FROM c CROSS JOIN range(2) a(i) CROSS JOIN range(8) b(j)
   LEFT JOIN g ON g.time = c.time AND g.lat_idx = block * 2 + i AND g.lon_idx = j""")
 def chunk_flatten(spark, sf):
@@ -504,7 +504,7 @@ def csv_results_to_parquet(spark, sf):
     source = scratch_path(spark, "results-csv")
     fl.convert_format(table(spark, sf, "customer"), source, "CSV ")
     out = fl.csv_results_to_parquet(spark, source, scratch_path(spark, "results"))
-    return out.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    return out.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_nationkey", "c_acctbal")
 
 
 @query("result_file_choice", "SRC-6", sql="""WITH f AS (SELECT page_id // 8 AS task_id, page_id % 8 AS pos, page_id AS file_id,

@@ -121,9 +121,9 @@ def _legacy_specs(v) -> str:
 
 
 @query("spec_upgrade", "LIN-9", sql="""SELECT o_orderkey AS id, 'C' || o_custkey AS concept_id, CASE WHEN o_orderkey % 3 = 0 THEN 'image/png' ELSE 'application/netcdf4' END AS output_format,
-    o_orderkey % 3 = 0 AS needs_bbox, false AS needs_point_sample, CASE WHEN o_orderkey % 3 = 0 THEN -1.5 END AS west, CASE WHEN o_orderkey % 3 = 0 THEN 'a,b' ELSE '' END AS variables,
+    o_orderkey % 3 = 0 AS needs_bbox, false AS needs_point_sample, CASE WHEN o_orderkey % 3 = 0 THEN -1.5::DOUBLE END AS west, CASE WHEN o_orderkey % 3 = 0 THEN 'a,b' ELSE '' END AS variables,
     CASE WHEN o_orderkey % 3 = 0 THEN 'opendap' ELSE 'harmony' END AS provider, CASE o_orderkey % 3 WHEN 0 THEN 'u1,u2' WHEN 1 THEN 'only' ELSE '' END AS urls,
-    CASE WHEN o_orderkey % 3 = 0 THEN 600 END AS lat_length, CASE WHEN o_orderkey % 3 = 0 THEN 'k' ELSE '' END AS cache_key FROM orders""")
+    CASE WHEN o_orderkey % 3 = 0 THEN 600::BIGINT END AS lat_length, CASE WHEN o_orderkey % 3 = 0 THEN 'k' ELSE '' END AS cache_key FROM orders""")
 def spec_upgrade(spark, sf):
     s = ln.read_specs(view(spark, sf, _legacy_specs(SPARK)))
     return s.select("id", "concept_id", "output_format", "needs_bbox", "needs_point_sample", F.col("aoi_bbox")[0].alias("west"),

@@ -192,13 +192,13 @@ def availability_counts(spark, sf):
   SELECT a.request_id, a.collection_id, coalesce(c, 0) AS granule_count, coalesce(c, 0) > 0 AS available, granule_ur, time_start, rank
   FROM {DUCK.aois()} a LEFT JOIN p ON p.request_id = a.request_id AND rank <= 10""")
 def coverage_samples(spark, sf):
-    return cov.coverage_samples(view(spark, sf, SPARK.aois()), overlaps(spark, sf)).drop("size_mb")
+    return cov.coverage_samples(view(spark, sf, SPARK.aois()), overlaps(spark, sf)).drop("size_mb").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("granule_inspection", "WIN-7", sql=f"""SELECT request_id, granule_ur, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY time_start, granule_ur) AS rank FROM ({PAIRS_SQL})) WHERE rank <= 50""")
 def granule_inspection(spark, sf):
-    return cov.first_granules(overlaps(spark, sf), 500).select("request_id", "granule_ur", "rank")
+    return cov.first_granules(overlaps(spark, sf), 500).select("request_id", "granule_ur", F.col("rank").cast("long").alias("rank"))
 
 
 @query("size_estimates", "AGG-6", "JOIN-8", sql=f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY time_start, granule_ur) AS rank,

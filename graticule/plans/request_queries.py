@@ -361,7 +361,7 @@ def subset_manifest(spark, sf):
     g = md.parse_granules(fx.granule_records(spark, sf)).select("granule_ur", tx.access_url(F.col("related_urls")).alias("access_url"))
     boxes = view(spark, sf, SPARK.granules()).select("granule_ur", "collection_id", "w", "s", "e", "n", "time_start", "time_end")
     pairs = cov.overlap_join(view(spark, sf, SPARK.aois()), boxes.join(cut_lineage(g, "access"), "granule_ur"))
-    return mf.subset_manifest(_constrained(spark, sf), cov.first_granules(pairs, mf.GRANULES_PER_REQUEST))
+    return mf.subset_manifest(_constrained(spark, sf), cov.first_granules(pairs, mf.GRANULES_PER_REQUEST)).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _preview_rows(v) -> str:
