@@ -105,7 +105,7 @@ def plain_number(value: Column) -> Column:
     plain = F.regexp_replace(value.cast("decimal(38,19)").cast("string"), r"0+$", "")
     plain = F.regexp_replace(plain, r"\.$", ".0")
     return (
-        F.when(exponent.isNull(), text)
+        F.when(~F.contains(text, F.lit("E")), text)
         .when((exponent >= -4) & (exponent < 16), plain)
         .otherwise(F.concat(mantissa, F.lit("e"), tail))
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graticule.functions.text import handle_kind, plain_number
-from graticule.session import cut_lineage
+from graticule.session import cut_lineage, is_small
 
 # Prefixes of short-lived URLs, keys that may hold lasting ones, event types.
 URL_PREFIXES = ("http://", "https://", "s3://", "gs://")
@@ -18,40 +20,50 @@ EVENT_TYPES = (
 
 #: Depth at which ancestry stops, which also ends walks on cycles.
 MAX_DEPTH = 10_000
+#: Pairs of handles below which a closure round broadcasts its growing pairs.
+_EDGE_BROADCAST = 200_000
 
 
 # -- ancestry --------------------------------------------------------------------------
 
 
-def _shortest(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("ws", "handle", "ancestor").agg(F.min("depth").alias("depth"))
-
-
 def ancestry_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """All ancestors of all handles with their shortest depth, inside each workspace.
 
     ``edges``: ``ws, target, source``. Distances double each round: every pair at depth
     k+1 … 2k is a pair at exactly k followed by one of at most k, so a chain of depth d
-    takes log2(d) joins and no pair is derived from every split of its path. Each round is
-    written to the scratch folder to cut lineage. On a cycle a handle is its own ancestor.
+    takes log2(d) joins and no pair is derived from every split of its path. Each round writes
+    only the pairs it found, to the scratch folder, which cuts lineage. On a cycle a handle is its own ancestor.
     """
-    known = cut_lineage(
-        edges.select("ws", F.col("target").alias("handle"), F.col("source").alias("ancestor"))
-        .distinct().withColumn("depth", F.lit(1)),
-        "closure",
-    )
+    pair = ["ws", "handle", "ancestor"]
+    parts = [
+        cut_lineage(
+            edges.select("ws", F.col("target").alias("handle"), F.col("source").alias("ancestor"))
+            .distinct().withColumn("depth", F.lit(1)),
+            "closure",
+        )
+    ]
     k = 1
     while k < max_depth:
-        edge = known.where(F.col("depth") == k).select("ws", "handle", F.col("ancestor").alias("mid"))
-        if edge.isEmpty():
-            break
+        known = reduce(DataFrame.unionByName, parts)
+        # Pairs at exactly k were all found in the last round.
+        edge = parts[-1].where(F.col("depth") == k).select("ws", "handle", F.col("ancestor").alias("mid"))
+        seen = known
+        if is_small(edge, _EDGE_BROADCAST):
+            # Few pairs are still growing: broadcast them and leave the known pairs unshuffled.
+            edge = F.broadcast(edge)
+            growing = F.broadcast(edge.select("ws", "handle").distinct())
+            seen = known.join(growing, ["ws", "handle"], "left_semi")
         onward = known.select("ws", F.col("handle").alias("mid"), "ancestor", F.col("depth").alias("more"))
-        longer = edge.join(onward, ["ws", "mid"]).select(
-            "ws", "handle", "ancestor", (F.col("more") + F.lit(k)).alias("depth")
+        longer = onward.join(edge, ["ws", "mid"]).groupBy(*pair).agg(
+            (F.min("more") + F.lit(k)).alias("depth")
         )
-        known = cut_lineage(_shortest(known.unionByName(longer)), "closure")
+        fresh = cut_lineage(longer.join(seen.select(*pair), pair, "left_anti"), "closure")
+        if fresh.isEmpty():
+            break
+        parts.append(fresh)
         k *= 2
-    return known.where(F.col("depth") <= max_depth)
+    return reduce(DataFrame.unionByName, parts).where(F.col("depth") <= max_depth)
 
 
 def ancestry(edges: DataFrame, handles: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

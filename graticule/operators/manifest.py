@@ -171,17 +171,19 @@ def preview_manifest(requests: DataFrame) -> DataFrame:
         "layer": F.nullif(layer, F.lit("")), "lookup_source": source,
         "_box": preview_box(c("aoi"), c("extent")), "time": tx.start_date(c("time_range")),
     })
-    corner = lambda *k: F.concat_ws(",", *[tx.plain_number(c(f"_box.{x}")) for x in k])
+    # Number texts are made once and used in both the box and the URL.
+    r = r.withColumns({f"_{x}": tx.plain_number(c(f"_box.{x}")) for x in ("w", "s", "e", "n")})
+    corner = lambda sep, *k: F.concat_ws(sep, *[c(f"_{x}") for x in k])
     query = F.concat(
         F.lit("SERVICE=WMS&REQUEST=GetMap&VERSION=1.3.0&LAYERS="), tx.form_encode(c("layer")),
-        F.lit("&CRS=EPSG%3A4326&BBOX="), tx.form_encode(corner("s", "w", "n", "e")),
+        F.lit("&CRS=EPSG%3A4326&BBOX="), corner("%2C", "s", "w", "n", "e"),
         F.lit(f"&WIDTH={PREVIEW_SIZE}&HEIGHT={PREVIEW_SIZE}&FORMAT=image%2Fpng"),
         F.coalesce(F.concat(F.lit("&TIME="), tx.form_encode(F.nullif(c("time"), F.lit("")))), F.lit("")),
     )
     return r.select(
         "request_id", "layer", "lookup_source",
         (c("lookup_source") == "short_name_guess").alias("layer_is_guess"),
-        corner("w", "s", "e", "n").alias("bbox"), "time",
+        corner(",", "w", "s", "e", "n").alias("bbox"), "time",
         F.concat(F.lit(PREVIEW_ENDPOINT + "?"), query).alias("url"),
     )
 
