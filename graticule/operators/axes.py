@@ -45,15 +45,15 @@ def axis_values(grid: DataFrame, dim: str) -> DataFrame:
 def index_axis(values: DataFrame, dim: str, descending: bool = False) -> DataFrame:
     """Distinct axis values → ``dim, idx`` with idx counted from 0 in axis order.
 
-    A global rank without a global sort: values fall into buckets (one per day, unit
-    or first letter), the bucket sizes give each bucket's offset, and ranks are taken inside buckets
+    A global rank without a global sort: values fall into buckets (one per hour,
+    tenth of a unit or first letter), the bucket sizes give each bucket's offset, and ranks are taken inside buckets
     in parallel. Only the list of buckets passes one task.
     """
     dtype = values.schema[dim].dataType
     bucket = (
-        F.to_date(dim) if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType))
+        F.date_trunc("HOUR", dim) if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType))
         else F.substring(dim, 1, 1) if isinstance(dtype, T.StringType)
-        else F.floor(F.col(dim))
+        else F.floor(F.col(dim) * 10)
     )
     v = values.withColumn("_bucket", bucket)
     order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()

@@ -25,20 +25,45 @@ RESUME = {
 }
 
 
+#: Sequence numbers of one job sorted together.
+SEQ_SPAN = 1_000_000
+
+
 def is_legal(previous: Column, state: Column) -> Column:
     """Whether ``previous → state`` is a legal change."""
     pairs = [f"{a}>{b}" for a, targets in LEGAL.items() for b in targets]
     return F.concat(previous, F.lit(">"), state).isin(*pairs)
 
 
+def with_previous(log: DataFrame, columns: list[str], span: int = SEQ_SPAN) -> DataFrame:
+    """Adds ``before_<column>``: each column's value in the job's preceding event.
+
+    A job's log is cut into stretches of ``span`` sequence numbers, so one job with a large
+    share of all events is still sorted by many tasks. The last event of each stretch is
+    carried to the first of the next: one row per stretch.
+    """
+    cut = log.withColumn("_stretch", F.floor(F.col("seq") / span))
+    inside = Window.partitionBy("job_id", "_stretch").orderBy("seq")
+    values = F.struct(*columns)
+    local = cut.withColumn("_before", F.lag(values).over(inside))
+    carried = (
+        cut.groupBy("job_id", "_stretch").agg(F.max_by(values, "seq").alias("_last"))
+        .withColumn("_carried", F.lag("_last").over(Window.partitionBy("job_id").orderBy("_stretch")))
+        .drop("_last")
+    )
+    before = F.coalesce("_before", "_carried")
+    return local.join(carried, ["job_id", "_stretch"]).select(
+        *log.columns, *[before[c].alias(f"before_{c}") for c in columns]
+    )
+
+
 def illegal_transitions(log: DataFrame) -> DataFrame:
     """Consecutive states of a job that are not a legal change.
 
-    ``log``: ``job_id, seq, state, created_at``. One sort per job; the pair test is a
-    constant list, so there is no join.
+    ``log``: ``job_id, seq, state, created_at``. The pair test is a constant list, so the
+    legal changes need no join.
     """
-    order = Window.partitionBy("job_id").orderBy("seq")
-    pairs = log.withColumn("previous", F.lag("state").over(order))
+    pairs = with_previous(log, ["state"]).withColumnRenamed("before_state", "previous")
     return pairs.where(
         F.col("previous").isNotNull() & ~is_legal(F.col("previous"), F.col("state"))
     ).select("job_id", "seq", "previous", "state", "created_at")

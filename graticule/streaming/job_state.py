@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from graticule.operators.jobs import is_legal
+from graticule.operators.jobs import is_legal, with_previous
 
 STATE_DDL = "job_id BIGINT, seq BIGINT, state STRING, illegal BIGINT"
 
@@ -16,26 +16,24 @@ def apply_events(previous: DataFrame, events: DataFrame) -> DataFrame:
 
     ``previous``: ``job_id, seq, state, illegal``; ``events``: ``job_id, seq, state``. Each
     event is compared with the one before it, the first of a batch with the stored state.
-    Events at or before the stored one are late and ignored. The sort per job is Spark's,
-    so a job with very many events spills instead of filling a task's memory.
+    Events at or before the stored one are late and ignored.
     """
-    known = previous.select("job_id", "seq", "state", "illegal", F.lit(True).alias("_stored"))
-    fresh = events.select("job_id", "seq", "state", F.lit(0).cast("long").alias("illegal"),
-                          F.lit(False).alias("_stored"))
-    job = Window.partitionBy("job_id")
-    order = job.orderBy("seq", F.col("_stored").desc())
-    both = (
-        known.unionByName(fresh)
-        .withColumn("_floor", F.max(F.when(F.col("_stored"), F.col("seq"))).over(job))
-        .where(F.col("_stored") | F.col("_floor").isNull() | (F.col("seq") > F.col("_floor")))
-        .withColumn("_before", F.lag("state").over(order))
+    known = previous.select("job_id", "seq", "state", "illegal", F.lit(True).alias("stored"))
+    floor = previous.select("job_id", F.col("seq").alias("_floor"))
+    fresh = (
+        events.join(floor, "job_id", "left")
+        .where(F.col("_floor").isNull() | (F.col("seq") > F.col("_floor")))
+        .select("job_id", "seq", "state", F.lit(0).cast("long").alias("illegal"), F.lit(False).alias("stored"))
+    )
+    both = with_previous(known.unionByName(fresh), ["state"])
+    bad = (
+        ~F.col("stored") & F.col("before_state").isNotNull()
+        & ~is_legal(F.col("before_state"), F.col("state"))
     )
-    bad = ~F.col("_stored") & F.col("_before").isNotNull() & ~is_legal(F.col("_before"), F.col("state"))
     return both.groupBy("job_id").agg(
         F.max("seq").alias("seq"),
         F.max_by("state", "seq").alias("state"),
-        (F.sum(F.when(F.col("_stored"), F.col("illegal")).otherwise(0))
-         + F.sum(F.when(bad, 1).otherwise(0))).cast("long").alias("illegal"),
+        (F.sum("illegal") + F.sum(F.when(bad, 1).otherwise(0))).cast("long").alias("illegal"),
     )
 
 
