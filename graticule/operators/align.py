@@ -98,7 +98,12 @@ def align(
     }
     sizes = _sizes(found, "_dim", "_grid")
     before = {d: [sizes.get((d, i), 0) for i in range(len(ready))] for d in dims}
-    joined = {d: index_axis(_joined_axes(per_grid[d], method, d, before[d]), d) for d in dims}
+    joined = {
+        d: index_axis(
+            _joined_axes(per_grid[d], method, d, before[d]), d, small=sum(before[d]) <= BROADCAST_ROWS
+        )
+        for d in dims
+    }
     lengths = _sizes(
         reduce(DataFrame.union, [joined[d].select(F.lit(d).alias("_dim")) for d in dims]), "_dim"
     )

@@ -42,13 +42,17 @@ def axis_values(grid: DataFrame, dim: str) -> DataFrame:
     return grid.where(F.col(dim).isNotNull()).select(dim).distinct()
 
 
-def index_axis(values: DataFrame, dim: str, descending: bool = False) -> DataFrame:
+def index_axis(values: DataFrame, dim: str, descending: bool = False, small: bool = False) -> DataFrame:
     """Distinct axis values → ``dim, idx`` with idx counted from 0 in axis order.
 
-    A global rank without a global sort: values fall into buckets (one per hour,
-    tenth of a unit or first letter), the bucket sizes give each bucket's offset, and ranks are taken inside buckets
-    in parallel. Only the list of buckets passes one task.
+    A global rank without a global sort: values fall into buckets (one per hour, tenth of a
+    unit or first letter), the bucket sizes give each bucket's offset, and ranks are taken
+    inside buckets in parallel. Only the list of buckets passes one task. ``small`` says the
+    caller has counted the axis and it is short enough to rank in one task.
     """
+    if small:
+        order = Window.orderBy(F.col(dim).desc() if descending else F.col(dim))
+        return values.select(dim, (F.row_number().over(order) - 1).cast("long").alias("idx"))
     dtype = values.schema[dim].dataType
     bucket = (
         F.date_trunc("HOUR", dim) if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType))
