@@ -70,7 +70,7 @@ def bin_label(time: Column, freq: Frequency, first: Column | None = None) -> Col
     when bins cannot depend on it.
     """
     if freq.kind == "fixed":
-        origin = micros(F.date_trunc("DAY", first).cast("timestamp_ntz")) if first is not None else F.lit(0)
+        origin = micros(F.to_date(first).cast("timestamp_ntz")) if first is not None else F.lit(0)
         return from_micros(micros(time) - F.pmod(micros(time) - origin, F.lit(freq.micros)))
     if freq.kind == "week":
         ahead = F.pmod(F.lit(freq.week_end) - F.dayofweek(time), F.lit(7))
