@@ -78,25 +78,32 @@ def contains_join(queries: DataFrame, names: DataFrame, parts: str, text: str) -
     )
     wanted = keyed.select("_key", "_parts").dropDuplicates(["_key"])
     asked = cut_lineage(wanted.select("_key", "_parts", F.explode(pieces).alias("_gram")), "asked")
-    # Only pieces somebody asks for enter the index.
-    all_grams = F.flatten(F.array(*[_grams(F.col("_text"), k) for k in range(1, _GRAM + 1)]))
-    indexed = cut_lineage(
-        names.withColumn("_text", F.lower(F.col(text)))
-        .select(F.explode(all_grams).alias("_gram"), *names.columns, "_text")
-        .join(asked.select("_gram").distinct(), "_gram", "left_semi"),
-        "grams",
-    )
-    frequency = indexed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = (
+    # Pieces shorter than three letters are cut from the names only when somebody asks for one.
+    shortest = asked.agg(F.min(F.length("_gram"))).scalar()
+    none = F.array().cast("array<string>")
+    all_grams = F.flatten(F.array(*[
+        F.when(shortest <= k, _grams(F.col("_text"), k)).otherwise(none) for k in range(1, _GRAM + 1)
+    ]))
+    indexed = names.withColumn("_text", F.lower(F.col(text))).select(
+        F.explode(all_grams).alias("_gram"), *names.columns, "_text"
+    )
+    # Counts of asked pieces only; the second pass over the names then meets one piece per
+    # query, so with few queries the exploded names are never shuffled.
+    frequency = (
+        indexed.select("_gram").join(asked.select("_gram").distinct(), "_gram", "left_semi")
+        .groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    rarest = cut_lineage(
         asked.join(frequency, "_gram", "left")
         .groupBy("_key")
         .agg(
             F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"),
             F.any_value("_parts").alias("_parts"),
-        )
+        ),
+        "rarest",
     )
     hits = (
-        rarest.join(indexed, "_gram")
+        indexed.join(rarest, "_gram")
         .where(F.forall("_parts", lambda p: F.contains(F.col("_text"), p)))
         .select("_key", *[F.col(c).alias(f"match_{c}") for c in names.columns])
     )
