@@ -48,8 +48,12 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, removed when the session's process ends."""
+    path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.deleteOnExit(hadoop)
+    return path
 
 
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -20,7 +20,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
     assert difference(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) is None
 
