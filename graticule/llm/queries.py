@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graticule.llm import packing, simhash, token_counts
+from graticule.llm import packing, simhash, substrings, token_counts
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -28,13 +28,40 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Runner] = {
     f.__name__: f for f in (
         op1_token_counts,
         op3_best_fit_packing,
         op4_simhash_near_dedup,
+        op10_substring_dedup,
     )
 }
 
 #: SQL that gives the same rows, where SQL can express them.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), win AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)
+        ), first AS (
+            SELECT g, min(doc_id) AS m FROM win GROUP BY g
+        ), gone AS (
+            SELECT DISTINCT doc_id, i + k AS pos
+            FROM win JOIN first USING (g), (SELECT unnest(range(0, 13)) AS k) WHERE m < doc_id
+        ), word AS (
+            SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d
+        ), kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text
+            FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
+}
