@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.llm import decontaminate, packing, quality_knn, quality_rules, simhash, substrings, token_counts
+from graticule.llm import decontaminate, packing, pii, quality_knn, quality_rules, secrets, simhash, substrings, token_counts
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -37,12 +37,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = quality_knn.score(docs, quality_knn.fit(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", quality_knn.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(_table(spark, sf_dir, "documents"))[0]
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -54,7 +62,9 @@ QUERIES: dict[str, Runner] = {
         op3_best_fit_packing,
         op4_simhash_near_dedup,
         op5_quality_rules,
+        op6_personal_data,
         op7_quality_classifier,
+        op8_secret_scan,
         op10_substring_dedup,
     )
 }
