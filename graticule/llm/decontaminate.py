@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graticule.llm.tables import id_and_text
+from graticule.llm.tables import id_and_text, reach_workers
 from graticule.llm.textblocks import blocks
 
 SEGMENT, SHINGLE = 32, 5
@@ -254,3 +254,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         part = scan(index)
         found = part if found is None else found.union(part)
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id",
+          item_text_col: str = "text", threshold: float = THRESHOLD, least: float = OVERLAP) -> DataFrame:
+    """The rows of ``docs`` whose text holds no test item, with all their columns."""
+    reach_workers(docs.sparkSession)
+    for index in _indexes(benchmark, item_col, item_text_col):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(text_col)
+                keep = [not leaks_in(b.text(i).decode(), held.value, threshold, least) for b in blocks(texts) for i in range(b.size)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.llm import decontaminate, packing, pii, quality_knn, quality_rules, secrets, simhash, substrings, token_counts
+from graticule.llm import decontaminate, packing, pii, quality_knn, quality_rules, secrets, simhash, substrings, token_counts, url_rules
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_table(spark, sf_dir, "documents"))[0]
 
 
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(_table(spark, sf_dir, "pages"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Runner] = {
         op6_personal_data,
         op7_quality_classifier,
         op8_secret_scan,
+        op9_url_rules,
         op10_substring_dedup,
     )
 }

@@ -49,14 +49,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """``doc_id, print`` (a signed long of the same bits) of each row, in one pass."""
+    """``doc_id, blob, print`` of each row: a hash of its text and its print as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(b.text(i), shingle) for b in blocks(batch.column("text")) for i in range(b.size)]
-            prints = np.array(found, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "print"])
+            prints = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("blob"), prints], names=["doc_id", "blob", "print"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, print long")
+    texts = id_and_text(docs, id_col, text_col).withColumn("blob", F.xxhash64("text"))
+    return texts.mapInArrow(run, "doc_id long, blob long, print long")
 
 
 def segment_plan(radius: int, segments: int, bits: int = 64) -> list[tuple[int, int, int]]:
@@ -105,6 +106,20 @@ def links(prints: DataFrame, *, radius: int = RADIUS, segments: int = 3) -> Data
     return query.join(table, (query["segment"] == table["segment"]) & (query["key"] == table["key"]) & near).select("a", "b")
 
 
+def groups(docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHINGLE, segments: int = 3,
+           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, blob, print, root`` of each row; ``root`` names its component by a print.
+
+    Rows of one print are one class, so copies are never paired with each other; pairs are kept
+    between classes only.
+    """
+    each = stored(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "prints")
+    classes = each.select("print").distinct()
+    found = components(links(classes, radius=radius, segments=segments))
+    rooted = classes.join(found, classes["print"] == found["node"], "left").select("print", F.coalesce("root", "print").alias("root"))
+    return stored(each.join(rooted, "print").select("doc_id", "blob", "print", "root"), "groups")
+
+
 def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHINGLE, segments: int = 3,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row.
@@ -114,15 +129,22 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHI
     words (empty or null) have print zero and link like others. Rows with the same id are
     separate documents of that id; a null id is never the name of a component that has another.
     An empty table gives an empty one. Other columns are not read.
+    """
+    each = groups(docs, radius=radius, shingle=shingle, segments=segments, id_col=id_col, text_col=text_col)
+    names = each.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return each.join(names, "root").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
-    Rows of one print are one class, so copies are never paired with each other; pairs are kept
-    between classes only.
+
+def one_of_each(docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHINGLE, segments: int = 3,
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one of each component: the smallest id, then text hash.
+
+    Rows without an id stand after all others; of rows equal in id and text one stays.
     """
-    each = stored(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "prints")
-    classes = each.groupBy("print").agg(F.min("doc_id").alias("least"))
-    found = components(links(classes.select("print"), radius=radius, segments=segments))
-    rooted = (classes.join(found, classes["print"] == found["node"], "left")
-              .select("print", "least", F.coalesce("root", "print").alias("root")))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("print", "root").join(names, "root").select("print", "component_id")
-    return each.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    each = groups(docs, radius=radius, shingle=shingle, segments=segments, id_col=id_col, text_col=text_col)
+    least = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "blob")).alias("least"))
+    chosen = least.select(F.col("least.doc_id").alias("chosen_id"), F.col("least.blob").alias("chosen_blob")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("own_id"),
+                       F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("own_blob"))
+    kept = rows.join(chosen, F.col("own_id").eqNullSafe(F.col("chosen_id")) & (F.col("own_blob") == F.col("chosen_blob")), "left_semi")
+    return kept.dropDuplicates(["own_id", "own_blob"]).select("row.*")
