@@ -18,8 +18,9 @@ _PAIR = (
     r"\s*(?:,[^\[\]]*)?\]"
 )
 
-#: How many geometry collections may sit inside each other.
-GEOMETRY_DEPTH = 4
+# The coordinates member of any geometry in a JSON text, however deep. In a quoted string its
+# quotes would be escaped, so it never matches there.
+_COORDINATES = r'"coordinates"\s*:\s*(\[[\[\]\s\d.,eE+-]*\])'
 
 
 def to_number(text: Column) -> Column:
@@ -95,63 +96,37 @@ def strip_watershed_prefix(text: Column) -> Column:
 # -- GeoJSON -----------------------------------------------------------------
 
 
-def _geometry_ddl(depth: int) -> str:
-    inner = f", geometries ARRAY<{_geometry_ddl(depth - 1)}>" if depth else ""
-    return f"STRUCT<type: STRING, coordinates: STRING{inner.replace('geometries ', 'geometries: ')}>"
-
-
-def _geojson_ddl() -> str:
-    geometry = _geometry_ddl(GEOMETRY_DEPTH)
-    feature = f"STRUCT<type: STRING, geometry: {geometry}, coordinates: STRING>"
-    return (
-        f"type STRING, coordinates STRING, geometry {geometry}, "
-        f"geometries ARRAY<{_geometry_ddl(GEOMETRY_DEPTH - 1)}>, features ARRAY<{feature}>"
-    )
+_GEOJSON_DDL = (
+    "type STRING, coordinates STRING, geometry STRING, geometries STRING, "
+    "features ARRAY<STRUCT<type: STRING, geometry: STRING, coordinates: STRING>>"
+)
 
 
-def _geometry_texts(geometry: Column, depth: int) -> Column:
-    """Coordinate texts of one geometry struct, following nested collections."""
-    own = F.array(geometry["coordinates"])
-    if not depth:
-        return own
-    nested = F.flatten(
-        F.transform(
-            F.coalesce(geometry["geometries"], F.array()),
-            lambda g: _geometry_texts(g, depth - 1),
-        )
-    )
-    return F.when(geometry["type"] == "GeometryCollection", nested).otherwise(own)
+def _coordinate_texts(geometry: Column) -> Column:
+    """Coordinate texts of a geometry's JSON, nested collections included."""
+    return F.regexp_extract_all(F.coalesce(geometry, F.lit("")), F.lit(_COORDINATES), F.lit(1))
 
 
 def bbox_from_geojson(text: Column) -> Column:
     """GeoJSON text → box around all its coordinate pairs, or null when it has none.
 
     Reads only geometry members, so a ``bbox`` member or number pairs in ``properties``
-    never count. Altitudes are dropped.
+    never count. Collections may nest to any depth. Altitudes are dropped.
     """
-    doc = F.from_json(text, _geojson_ddl())
+    doc = F.from_json(text, _GEOJSON_DDL)
     texts = (
-        F.when(doc["type"] == "Feature", _geometry_texts(doc["geometry"], GEOMETRY_DEPTH))
+        F.when(doc["type"] == "Feature", _coordinate_texts(doc["geometry"]))
         .when(
             doc["type"] == "FeatureCollection",
             F.flatten(
                 F.transform(
                     F.coalesce(doc["features"], F.array()),
-                    lambda f: F.when(
-                        f["type"] == "Feature", _geometry_texts(f["geometry"], GEOMETRY_DEPTH)
-                    ).otherwise(F.array(f["coordinates"])),
-                )
-            ),
-        )
-        .when(
-            doc["type"] == "GeometryCollection",
-            F.flatten(
-                F.transform(
-                    F.coalesce(doc["geometries"], F.array()),
-                    lambda g: _geometry_texts(g, GEOMETRY_DEPTH - 1),
+                    lambda f: F.when(f["type"] == "Feature", _coordinate_texts(f["geometry"]))
+                    .otherwise(F.array(f["coordinates"])),
                 )
             ),
         )
+        .when(doc["type"] == "GeometryCollection", _coordinate_texts(doc["geometries"]))
         .otherwise(F.array(doc["coordinates"]))
     )
     # A Point's coordinates are one bare pair, which the pattern matches as well.

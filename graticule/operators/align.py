@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graticule.functions.temporal import snap_time
 from graticule.operators.axes import dense_grid, index_axis
-from graticule.operators.grid import flatten_group, widen_integers
+from graticule.operators.grid import decoded_time, flatten_group, widen_integers
 from graticule.session import BROADCAST_ROWS, cut_lineage
 
 METHODS = ("outer", "inner", "left", "right", "exact", "override")
@@ -71,6 +71,7 @@ def align(
     dims: list[str],
     method: str = "outer",
     snap_ns: int | None = None,
+    units: str | None = None,
 ) -> tuple[DataFrame, dict]:
     """Align grids per axis and merge their variables → ``(grid, report)``.
 
@@ -78,7 +79,9 @@ def align(
     ``right`` take the first or last grid's, ``exact`` demands equality, ``override`` takes
     the first grid's labels by position) and the result has every cell of the joined axes,
     with nulls where no source has data. A variable name seen in an earlier grid keeps that
-    grid's column entirely, nulls included. ``snap_ns`` rounds times first.
+    grid's column entirely, nulls included. ``snap_ns`` rounds times first; of a source's rows
+    that fall on one cell by that, the one of the earliest time is taken whole. A source that
+    has a cell twice in itself stops the job.
 
     The axes are collected in one pass, written to the scratch folder and counted; the cells
     themselves go through one shuffle: the dense grid and all sources are unioned and grouped
@@ -87,9 +90,10 @@ def align(
     _check_grids(grids, dims)
     if method not in METHODS:
         raise ValueError(f"unknown join method {method!r}; one of {METHODS}")
-    ready = [widen_integers(g, dims) for g in grids]
-    if snap_ns is not None and "time" in dims:
-        ready = [g.withColumn("time", snap_time(F.col("time"), snap_ns)) for g in ready]
+    ready = [widen_integers(decoded_time(g, units), dims) for g in grids]
+    snapped = snap_ns is not None and "time" in dims
+    if snapped:
+        ready = [g.withColumn("_scan", F.col("time")).withColumn("time", snap_time(F.col("time"), snap_ns)) for g in ready]
 
     found = _collect_axes(ready, dims)
     per_grid = {
@@ -114,12 +118,19 @@ def align(
 
     seen: set[str] = set()
     parts: list[DataFrame] = []
-    order: list[str] = []
-    for g in ready:
-        fresh = [c for c in g.columns if c not in dims and c not in seen and not _is_index(c, dims)]
+    values: list[Column] = []
+    for i, g in enumerate(ready):
+        fresh = [c for c in g.columns if c not in dims and c not in seen and c != "_scan" and not _is_index(c, dims)]
         seen |= set(fresh)
-        order += fresh
-        part = g.select(*dims, *fresh)
+        source = f"_source{i}"
+        if snapped:
+            # Ordered by the scan's own time first; the rest breaks ties between equal times.
+            part = g.select(*dims, F.struct("_scan", *fresh).alias(source))
+            values += [F.min(source)[v].alias(v) for v in fresh]
+        else:
+            part = g.select(*dims, *fresh, F.lit(1).alias(source))
+            twice = F.raise_error(F.lit(f"source {i} has a cell more than once"))
+            values += [F.when(F.count(source) > 1, twice).otherwise(F.max(v)).alias(v) for v in fresh]
         if method in ("inner", "left", "right"):
             for d in dims:
                 side = joined[d].select(d)
@@ -128,7 +139,7 @@ def align(
 
     cells = dense_grid(joined, after)
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [cells, *parts])
-    out = merged.groupBy(*dims).agg(*[F.max(v).alias(v) for v in order])
+    out = merged.groupBy(*dims).agg(*values)
     report = {
         "n_inputs": len(grids),
         "method": method,

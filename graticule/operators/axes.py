@@ -138,7 +138,7 @@ def hyperslab(cells: DataFrame, axes: dict[str, tuple[float, float, int]], box:
     out = cells
     for dim, (low, high) in box.items():
         origin, step, length = axes[dim]
-        if step == 0 or length <= 0 or (dim in LON_NAMES and low > high):
+        if step == 0 or length <= 0 or (dim.lower() in LON_NAMES and low > high):
             continue
         a, b = (low - origin) / step, (high - origin) / step
         first, last = (a, b) if step > 0 else (b, a)

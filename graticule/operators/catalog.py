@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graticule.operators.area import contains_join
-from graticule.operators.coverage import DEFAULT_LIMIT, MAX_LIMIT
+from graticule.operators.coverage import DEFAULT_LIMIT
 
 #: Search filters that are honoured; others are dropped.
 ALLOWED_FILTERS = (
@@ -27,8 +27,8 @@ def search_collections(collections: DataFrame, keyword: str | None = None, filte
     """Collections that match every word of ``keyword`` and all filters.
 
     ``collections``: ``concept_id, short_name, provider_id, entry_title, abstract,
-    processing_level, time_start, time_end, w, s, e, n, has_granules``. Default 10 rows, at
-    most 50, by ``concept_id``.
+    processing_level, time_start, time_end, w, s, e, n, has_granules``. Default 10 rows by
+    ``concept_id``; a ``limit`` of None gives all.
     """
     f = {k: v for k, v in (filters or {}).items() if k in ALLOWED_FILTERS and v is not None}
     out = collections
@@ -55,7 +55,9 @@ def search_collections(collections: DataFrame, keyword: str | None = None, filte
                 (F.col("w") <= b) | (F.col("e") >= a)
             )
         out = out.where(lon & (F.col("s") <= n) & (F.col("n") >= s))
-    return out.orderBy("concept_id").limit(min(int(f.get("limit", DEFAULT_LIMIT)), MAX_LIMIT))
+    out = out.orderBy("concept_id")
+    limit = (filters or {}).get("limit", DEFAULT_LIMIT)
+    return out if limit is None else out.limit(int(limit))
 
 
 def search_summary(collections: DataFrame) -> DataFrame:

@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graticule.functions.temporal import micros
-from graticule.session import is_small
 
-#: Rows returned per request by default, and the most that may be asked for.
+#: Rows returned per request by default; None asks for all.
 DEFAULT_LIMIT = 10
-MAX_LIMIT = 50
 
 # Tile widths in degrees and time bucket widths in days, finest first.
 _TILES = (4.0, 16.0, 64.0, 512.0)
-_DAYS = (32, 1024)
+# The widest bucket is for spans that are open or nearly so.
+_DAYS = (32, 1024, 4_000_000)
 _DAY_MICROS = 86_400_000_000
 #: A time span of more buckets than this uses the next wider buckets.
 _MAX_BUCKETS = 12
@@ -50,7 +49,7 @@ def _spread(boxes: DataFrame, prefix: str) -> DataFrame:
     for i in range(len(_TILES) - 2, -1, -1):
         level = F.when(size <= _TILES[i], i).otherwise(level)
     days = (micros(c("t1")) - micros(c("t0"))) / _DAY_MICROS
-    time_level = F.when(days <= _DAYS[0] * _MAX_BUCKETS, 0).otherwise(1)
+    time_level = F.when(days <= _DAYS[0] * _MAX_BUCKETS, 0).when(days <= _DAYS[1] * _MAX_BUCKETS, 1).otherwise(2)
     out = parts.withColumns({prefix + "lv": level, prefix + "tl": time_level})
     out = out.withColumn("_lv", F.explode(F.sequence(F.col(prefix + "lv"), F.lit(len(_TILES) - 1))))
     out = out.withColumn("_tl", F.explode(F.sequence(F.col(prefix + "tl"), F.lit(len(_DAYS) - 1))))
@@ -63,35 +62,35 @@ def _spread(boxes: DataFrame, prefix: str) -> DataFrame:
     )
 
 
+def _closed(prefix: str, start: str, end: str) -> list[Column]:
+    """Box and time columns with open bounds at the ends of the world and of the calendar."""
+    world = {"w": -180.0, "s": -90.0, "e": 180.0, "n": 90.0}
+    box = [F.coalesce(F.col(x).cast("double"), F.lit(v)).alias(prefix + x) for x, v in world.items()]
+    first, last = (F.lit(t).cast("timestamp_ntz") for t in ("0001-01-01 00:00:00", "9999-12-31 23:59:59"))
+    return [*box, F.coalesce(F.col(start).cast("timestamp_ntz"), first).alias(prefix + "t0"),
+            F.coalesce(F.col(end).cast("timestamp_ntz"), last).alias(prefix + "t1")]
+
+
 def overlap_join(requests: DataFrame, granules: DataFrame) -> DataFrame:
     """Pairs of requests and granules of the same collection whose boxes and times overlap.
 
     ``requests``: ``request_id, collection_id, w, s, e, n, t0, t1``; ``granules``:
     ``granule_ur, collection_id, w, s, e, n, time_start, time_end`` and more. All intervals
-    are closed, so touching counts. Boxes with west beyond east cross the antimeridian.
+    are closed, so touching counts. Boxes with west beyond east cross the antimeridian. A null
+    bound is open: a request without times or a box asks for all times or places.
 
     An equi-join on collection, tile and time bucket replaces the nested loop; the exact
     test follows, and each pair is kept only in the tile and bucket that hold the first
-    corner of its intersection, so no distinct is needed. When the requests are few
-    (counted) their tiles are broadcast and the granules are not shuffled at all; otherwise
-    both sides shuffle on the key and adaptive execution splits hot tiles.
+    corner of its intersection, so no distinct is needed. Adaptive execution broadcasts the
+    requests where their tiles are small, and splits hot tiles otherwise.
     """
-    few = is_small(requests, 20_000)
-    r = requests.select(
-        "request_id", "collection_id",
-        *[F.col(x).cast("double").alias("r_" + x) for x in ("w", "s", "e", "n")],
-        F.col("t0").alias("r_t0"), F.col("t1").alias("r_t1"),
-    )
+    r = requests.select("request_id", "collection_id", *_closed("r_", "t0", "t1"))
     keep = [c for c in granules.columns if c != "collection_id"]
     g = granules.select(
-        "collection_id", F.struct(*keep).alias("_g"),
-        *[F.col(x).cast("double").alias("g_" + x) for x in ("w", "s", "e", "n")],
-        F.col("time_start").alias("g_t0"), F.col("time_end").alias("g_t1"),
+        "collection_id", F.struct(*keep).alias("_g"), *_closed("g_", "time_start", "time_end"),
     )
     left, right = _spread(r, "r_"), _spread(g, "g_")
-    pairs = right.join(
-        F.broadcast(left) if few else left, ["collection_id", "_lv", "_tl", "_x", "_y", "_t"]
-    )
+    pairs = right.join(left, ["collection_id", "_lv", "_tl", "_x", "_y", "_t"])
     c = F.col
     meet_lon = F.greatest(c("r_pw"), c("g_pw"))
     meet_lat = F.greatest(c("r_s"), c("g_s"))
@@ -144,36 +143,40 @@ def availability(requests: DataFrame, overlaps: DataFrame) -> DataFrame:
     )
 
 
-def first_granules(overlaps: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def first_granules(overlaps: DataFrame, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
     """The first granules per request by ``(time_start, granule_ur)``, with ``rank`` from 1.
 
-    ``limit`` is held to the service's maximum. Spark keeps only ``limit`` rows per request
-    and task before the shuffle, so a request with very many granules is no burden.
+    Spark keeps only ``limit`` rows per request and task before the shuffle, so a request with
+    very many granules is no burden; without a limit all are ranked.
     """
     order = Window.partitionBy("request_id").orderBy("time_start", "granule_ur")
-    return overlaps.withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= min(limit, MAX_LIMIT)
-    )
+    ranked = overlaps.withColumn("rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
-def coverage_samples(requests: DataFrame, overlaps: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def coverage_samples(requests: DataFrame, overlaps: DataFrame, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
     """Sample granules beside the true count of each request."""
     counts = availability(requests, overlaps)
     sample = first_granules(overlaps, limit).drop("collection_id")
     return counts.join(sample, "request_id", "left")
 
 
-def estimate_sizes(requests: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """Retrieval size per request: mean known size in the first 50 granules × true count.
+def estimate_sizes(requests: DataFrame, overlaps: DataFrame, sample: int | None = None) -> DataFrame:
+    """Retrieval size per request: mean known size × true count.
 
-    Sizes are rounded to three digits, ties to even. ``warning`` says when nothing was
-    found or nothing in the sample had a size.
+    The mean is over all granules of the request, found in one grouping with the count;
+    ``sample`` takes it over that many first granules instead. Sizes are rounded to three
+    digits, ties to even. ``warning`` says when nothing was found or nothing had a size.
     """
-    sample = first_granules(overlaps, MAX_LIMIT).groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("_sampled"),
-        F.avg(F.when(F.col("size_mb") > 0, F.col("size_mb"))).alias("_avg"),
-    )
-    counted = availability(requests, overlaps).join(sample, "request_id", "left")
+    known = F.avg(F.when(F.col("size_mb") > 0, F.col("size_mb"))).alias("_avg")
+    n = F.count(F.lit(1))
+    if sample is None:
+        found = overlaps.groupBy("request_id").agg(n.alias("granule_count"), n.alias("_sampled"), known)
+    else:
+        found = overlaps.groupBy("request_id").agg(n.alias("granule_count")).join(
+            first_granules(overlaps, sample).groupBy("request_id").agg(n.alias("_sampled"), known), "request_id")
+    counted = requests.select("request_id", "collection_id").join(found, "request_id", "left").withColumn(
+        "granule_count", F.coalesce("granule_count", F.lit(0)))
     sampled = F.coalesce("_sampled", F.lit(0))
     mean = F.coalesce("_avg", F.lit(0.0))
     return counted.select(
@@ -182,11 +185,11 @@ def estimate_sizes(requests: DataFrame, overlaps: DataFrame) -> DataFrame:
         sampled.alias("sampled_granules"),
         F.bround(mean, 3).alias("avg_size_mb"),
         F.bround(mean * F.col("granule_count"), 3).alias("total_size_mb"),
-        F.when(sampled == 0, "No granules found for this AOI and time range.")
+        F.when(sampled == 0, "No granule meets the area and time range.")
         .when(
             F.col("_avg").isNull(),
             F.concat(F.lit("None of the "), sampled.cast("string"),
-                     F.lit(" sampled granules reported a size; size estimate unavailable.")),
+                     F.lit(" granules has a known size, so there is no estimate.")),
         ).alias("warning"),
     )
 
@@ -199,9 +202,9 @@ def search_granules(
     cloud_cover: tuple[float | None, float | None] | None = None,
     day_night_flag: str | None = None,
     sort_key: str | None = None,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = DEFAULT_LIMIT,
 ) -> DataFrame:
-    """Granules of one collection under optional filters, at most 50.
+    """Granules of one collection under optional filters; a limit of None gives all.
 
     ``sort_key`` is a column name, descending with a leading ``-``; without one the order is
     ``(time_start, granule_ur)``. Sort and limit run as one top-k, not a global sort.
@@ -232,4 +235,4 @@ def search_granules(
     if sort_key:
         name = sort_key.lstrip("-")
         order = [F.col(name).desc() if sort_key.startswith("-") else F.col(name), F.col("granule_ur")]
-    return out.orderBy(*order).limit(min(limit, MAX_LIMIT))
+    return out.orderBy(*order) if limit is None else out.orderBy(*order).limit(limit)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graticule.functions.quality import nan_to_null, quality_mask, unpack, widened_type
-from graticule.functions.temporal import time_bounds
+from graticule.functions.temporal import decode_cf_time, time_bounds
 from graticule.operators.axes import find_axis, find_horizontal
 
 INDEX_SUFFIX = "_idx"
@@ -83,12 +83,28 @@ def subset_bbox(grid: DataFrame, bbox: tuple, wrap: bool = False) -> DataFrame:
     return grid.where(bbox_condition(lon, lat, bbox, wrap))
 
 
-def subset_time(grid: DataFrame, time_range: str, has_time_dim: bool | None = None) -> DataFrame:
+def decoded_time(grid: DataFrame, units: str | None, calendar: str | None = None) -> DataFrame:
+    """The grid with numbers in ``time`` decoded by their CF units; instants stay as they are."""
+    if "time" not in grid.columns or not isinstance(grid.schema["time"].dataType, T.NumericType):
+        return grid
+    if units is None:
+        raise ValueError("time holds numbers; give their units, like 'seconds since 2020-01-01'")
+    return grid.withColumn("time", decode_cf_time(F.col("time"), F.lit(units), None if calendar is None else F.lit(calendar)))
+
+
+def subset_time(
+    grid: DataFrame,
+    time_range: str,
+    has_time_dim: bool | None = None,
+    units: str | None = None,
+    calendar: str | None = None,
+) -> DataFrame:
     """Cells inside ``start/end``; an end date covers its whole day (month, year).
 
     A grid without a time dimension is returned unchanged; one with a time dimension but
-    no time values cannot be subset.
+    no time values cannot be subset. Raw CF times are decoded first.
     """
+    grid = decoded_time(grid, units, calendar)
     if has_time_dim is None:
         has_time_dim = any(c in grid.columns for c in ("time", "time" + INDEX_SUFFIX))
     if not has_time_dim:
@@ -110,13 +126,15 @@ def subset(
     bbox: tuple | None = None,
     variables: list[str] | None = None,
     time_range: str | None = None,
+    units: str | None = None,
+    calendar: str | None = None,
 ) -> DataFrame:
     """Variables, then box, then time; each part optional."""
     if variables:
         grid = subset_variables(grid, variables, dims)
     if bbox is not None:
         grid = subset_bbox(grid, bbox)
-    return subset_time(grid, time_range) if time_range else grid
+    return subset_time(grid, time_range, units=units, calendar=calendar) if time_range else grid
 
 
 def subset_by_requests(cells: DataFrame, requests: DataFrame, tile: float = 5.0) -> DataFrame:

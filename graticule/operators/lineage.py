@@ -18,8 +18,6 @@ EVENT_TYPES = (
     "job-failed", "materialized", "expired", "re-materialized",
 )
 
-#: Depth at which ancestry stops, which also ends walks on cycles.
-MAX_DEPTH = 10_000
 #: Pairs of handles below which a closure round broadcasts its growing pairs.
 _EDGE_BROADCAST = 200_000
 
@@ -27,7 +25,7 @@ _EDGE_BROADCAST = 200_000
 # -- ancestry --------------------------------------------------------------------------
 
 
-def ancestry_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def ancestry_closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All ancestors of all handles with their shortest depth, inside each workspace.
 
     ``edges``: ``ws, target, source``. Distances double each round: every pair at depth
@@ -44,7 +42,7 @@ def ancestry_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         )
     ]
     k = 1
-    while k < max_depth:
+    while max_depth is None or k < max_depth:
         known = reduce(DataFrame.unionByName, parts)
         # Pairs at exactly k were all found in the last round.
         edge = parts[-1].where(F.col("depth") == k).select("ws", "handle", F.col("ancestor").alias("mid"))
@@ -63,10 +61,11 @@ def ancestry_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
             break
         parts.append(fresh)
         k *= 2
-    return reduce(DataFrame.unionByName, parts).where(F.col("depth") <= max_depth)
+    found = reduce(DataFrame.unionByName, parts)
+    return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 
-def ancestry(edges: DataFrame, handles: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def ancestry(edges: DataFrame, handles: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Ancestors of the given handles (``ws, handle``), breadth first.
 
     Each round steps the frontier along the edges and drops pairs seen before, so diamonds
@@ -80,7 +79,7 @@ def ancestry(edges: DataFrame, handles: DataFrame, max_depth: int = MAX_DEPTH) -
     frontier = handles.select("ws", "handle", F.col("handle").alias("at")).distinct()
     levels: list[DataFrame] = []
     depth = 0
-    while depth < max_depth:
+    while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(e, ["ws", "at"]).select("ws", "handle", "ancestor").distinct()
         for seen in levels:
@@ -228,16 +227,18 @@ def retrieval_key(
 
 
 def transform_key(operation: Column, sources: Column, parameters: Column) -> Column:
-    """Content key of a transform: operation, ordered sources, and parameters as a sorted map."""
+    """Content key of a transform: operation, ordered sources, and parameters as sorted pairs.
+
+    Keys and values stand apart and a null value is written as one, so no two different
+    requests share a text.
+    """
     canonical = F.to_json(
         F.struct(
             operation.alias("operation"),
-            F.transform(
-                F.array_sort(F.map_entries(parameters)),
-                lambda p: F.concat(p["key"], F.lit("="), F.coalesce(p["value"], F.lit("")))
-            ).alias("parameters"),
+            F.array_sort(F.map_entries(parameters)).alias("parameters"),
             sources.alias("sources"),
-        )
+        ),
+        {"ignoreNullFields": "false"},
     )
     return F.substring(F.sha2(canonical, 256), 1, 24)
 

@@ -75,7 +75,9 @@ def constraint_expressions(requests: DataFrame) -> DataFrame:
     name, dim_plan>>``. The list is lat, lon, time, then variables, each once, as absolute
     names joined by ``;``. With a box and both axes of a grid, coordinates and planned
     variables are cut to index ranges; a box across the antimeridian keeps all longitudes;
-    a variable without a plan is taken whole. Without variables there is no expression.
+    a variable without a plan is taken whole. Without variables the expression is empty, which
+    asks for the whole file; a request with an ``ambiguous`` name (a boolean column) has none
+    and the status ``ambiguous``.
     """
     c = F.col
     sliced = (
@@ -109,18 +111,21 @@ def constraint_expressions(requests: DataFrame) -> DataFrame:
         ),
     )
     r = r.withColumn("_items", F.concat(spatial, temporal, wanted))
+    ambiguous = F.coalesce(c("ambiguous"), F.lit(False)) if "ambiguous" in requests.columns else F.lit(False)
     names = F.transform("_items", lambda x: x["name"])
     once = F.filter("_items", lambda x, i: F.array_position(names, x["name"]) == i + 1)
     parts = F.transform(once, lambda x: F.concat(tx.qualified_name(x["name"]), x["cut"]))
     return r.withColumn(
-        "constraint", F.when(F.size("variables") > 0, F.array_join(parts, ";")).otherwise("")
-    ).drop("_lat", "_lon", "_items")
+        "constraint",
+        F.when(ambiguous, F.lit(None).cast("string"))
+        .when(F.size("variables") > 0, F.array_join(parts, ";")).otherwise(""),
+    ).withColumn("status", F.when(ambiguous, "ambiguous").otherwise("ok")).drop("_lat", "_lon", "_items")
 
 
 def subset_url(base: Column, constraint: Column) -> Column:
-    """Granule endpoint and constraint → request URL."""
+    """Granule endpoint and constraint → request URL; no constraint known gives no URL."""
     url = F.concat(base, F.lit(".dap.nc4"))
-    return F.when(
+    return F.when(constraint.isNull(), F.lit(None).cast("string")).when(
         constraint != "", F.concat(url, F.lit("?dap4.ce="), tx.percent_encode(constraint))
     ).otherwise(url)
 
@@ -128,16 +133,17 @@ def subset_url(base: Column, constraint: Column) -> Column:
 def subset_manifest(constrained: DataFrame, granules: DataFrame) -> DataFrame:
     """One row per request and granule with its URL and file name.
 
-    ``constrained``: ``request_id, constraint``, at most one row each; ``granules``: the
-    first granules per request with ``request_id, rank, granule_ur, access_url``. Granules
-    without an endpoint give no row.
+    ``constrained``: ``request_id, constraint, status``, at most one row each; ``granules``:
+    all granules of a request with ``request_id, rank, granule_ur, access_url``. ``batch``
+    numbers the retrievals of at most 50 granules. Granules without an endpoint give no row;
+    those of a request whose status is not ``ok`` have no URL.
     """
-    g = granules.where(
-        (F.col("rank") <= GRANULES_PER_REQUEST) & F.col("access_url").isNotNull()
-    ).select("request_id", "rank", "granule_ur", "access_url")
+    g = granules.where(F.col("access_url").isNotNull()).select(
+        "request_id", "rank", F.floor((F.col("rank") - 1) / GRANULES_PER_REQUEST).alias("batch"), "granule_ur", "access_url")
     url = subset_url(F.col("access_url"), F.col("constraint"))
-    return g.join(constrained.select("request_id", "constraint"), "request_id").select(
-        "request_id", "rank", "granule_ur", url.alias("url"), tx.file_name_from_url(url).alias("file_name")
+    return g.join(constrained.select("request_id", "constraint", "status"), "request_id").select(
+        "request_id", "rank", "batch", "granule_ur", "status", url.alias("url"),
+        tx.file_name_from_url(url).alias("file_name")
     )
 
 

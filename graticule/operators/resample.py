@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graticule.functions.quality import nan_to_null
 from graticule.functions.temporal import from_micros, micros
 from graticule.operators.axes import find_horizontal
+from graticule.operators.grid import decoded_time
 
 # Microseconds per fixed-width frequency alias.
 FIXED_MICROS = {
@@ -166,6 +167,12 @@ def resample_time(
     return binned.unionByName(gaps).groupBy("time", *cell).agg(*averages)
 
 
+def subset_axis(axis: DataFrame, low: float, high: float) -> DataFrame:
+    """The part of an axis table (``<dim>, idx``) that a box leaves of it."""
+    dim = next(c for c in axis.columns if c != "idx")
+    return axis.where(F.col(dim).between(low, high))
+
+
 def coarsen(
     grid: DataFrame,
     factor: int,
@@ -174,10 +181,11 @@ def coarsen(
 ) -> DataFrame:
     """Block means over ``factor`` cells along lon and lat.
 
-    Blocks follow the stored order of each axis: the grid carries ``<dim>_idx`` columns, or
-    ``axes`` gives ``dim, idx`` tables to look the index up in. A trailing partial block is
-    trimmed. A block's coordinate is the mean of its axis values, present or not in the
-    data. The result keeps the block number as the new index.
+    Blocks follow the stored order of each axis from where the grid begins: the grid carries
+    ``<dim>_idx`` columns, and ``axes`` may give the ``<dim>, idx`` tables of its axes, cut as
+    the grid was (:func:`subset_axis`). Without a table an axis is what the cells have of it. A
+    trailing partial block is trimmed. A block's coordinate is the mean of its axis values; with
+    a table also of those that no cell has. The result keeps the block number as the new index.
     """
     if factor is None or factor < 1:
         raise ValueError("coarsening needs a whole factor of at least 1")
@@ -186,8 +194,7 @@ def coarsen(
     others = [c for c in grid.columns if c not in dims and c not in variables
               and c not in {f"{d}_idx" for d in dims}]
     types = {f.name: f.dataType for f in grid.schema}
-    out = grid
-    blocks: dict[str, DataFrame] = {}
+    out, blocks, keys = grid, {}, []
     for d in dims:
         idx = f"{d}_idx"
         if axes and d in axes:
@@ -196,15 +203,13 @@ def coarsen(
                 out = out.join(table, d)
         else:
             table = grid.groupBy(idx).agg(F.any_value(d).alias(d))
-        size = table.agg(F.max(idx) + 1).scalar()
-        whole = F.col(idx) < size - F.pmod(size, F.lit(factor))
+        span = table.agg(F.struct(F.min(idx).alias("low"), (F.max(idx) - F.min(idx) + 1).alias("size"))).scalar()
+        place = F.col(idx) - span["low"]
+        whole = (place >= 0) & (place < span["size"] - F.pmod(span["size"], F.lit(factor)))
+        key = F.floor(place / factor).cast("long").alias(idx)
         out = out.where(whole)
-        blocks[d] = (
-            table.where(whole)
-            .groupBy(F.floor(F.col(idx) / factor).cast("long").alias(idx))
-            .agg(F.avg(d).alias(d))
-        )
-    keys = [F.floor(F.col(f"{d}_idx") / factor).cast("long").alias(f"{d}_idx") for d in dims]
+        keys.append(key)
+        blocks[d] = table.where(whole).groupBy(key).agg(F.avg(d).alias(d))
     result = out.groupBy(*others, *keys).agg(
         *[F.avg(nan_to_null(F.col(v), types[v])).alias(v) for v in variables]
     )
@@ -219,12 +224,15 @@ def resample(
     time_freq: str | None = None,
     spatial_factor: int | None = None,
     fill_gaps: bool = True,
+    axes: dict[str, DataFrame] | None = None,
+    units: str | None = None,
+    calendar: str | None = None,
 ) -> DataFrame:
-    """Time first, then space; at least one must be asked for."""
+    """Time first, then space; at least one must be asked for. Raw CF times are decoded."""
     if not time_freq and not spatial_factor:
-        raise ValueError("resample needs a time_freq and/or a spatial_factor")
-    out = grid
+        raise ValueError("give a time_freq, a spatial_factor or both")
+    out = decoded_time(grid, units, calendar) if time_freq else grid
     if time_freq:
         cell = [c for c in grid.columns if c != "time" and c not in variables]
         out = resample_time(out, time_freq, variables, cell, fill_gaps)
-    return coarsen(out, spatial_factor, variables) if spatial_factor else out
+    return coarsen(out, spatial_factor, variables, axes) if spatial_factor else out

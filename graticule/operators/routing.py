@@ -91,7 +91,7 @@ def explain_routes(routed: DataFrame) -> DataFrame:
 
     ``reason`` is ``pinned``, ``no_registered_services`` or ``no_single_service_satisfies``
     for the transform service, ``point_sample_intent`` and ``data_as_is_in_region`` for the
-    two shortcuts, ``service_not_available`` for the subset path, ``not_retrievable`` else.
+    two shortcuts, ``harmony_not_wired`` for the subset path, ``not_retrievable`` else.
     """
     met = F.array_compact(
         F.array(*[F.when(F.col(f"needs_{n}"), n) for n in NEEDS], F.lit("output_format"))
@@ -112,7 +112,7 @@ def explain_routes(routed: DataFrame) -> DataFrame:
         .when(pinned, "pinned")
         .when(on_service & (F.size("services") == 0), "no_registered_services")
         .when(on_service, "no_single_service_satisfies")
-        .when(F.col("route") == "opendap", "service_not_available")
+        .when(F.col("route") == "opendap", "harmony_not_wired")
         .otherwise("not_retrievable").alias("reason"),
         F.when(~pinned & ~F.col("route").isin("appeears", "direct") | F.col("route").isNull(), unmet).alias("unmet"),
     )

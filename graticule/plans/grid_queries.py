@@ -117,6 +117,50 @@ def coarsen_blocks(spark, sf):
     return rs.coarsen(grid_events(spark, sf).drop("value_mean"), 4, ["v_sum", "n"])
 
 
+@query("subset_then_coarsen", "AGG-4", "FLT-1", sql=f"""WITH g AS (SELECT * FROM {DUCK.grid_events()} WHERE lat >= -50 AND lon >= -120),
+  p AS (SELECT *, (lat_idx - (SELECT min(lat_idx) FROM g)) // 2 AS bi, (lon_idx - (SELECT min(lon_idx) FROM g)) // 2 AS bj,
+    ((SELECT max(lat_idx) - min(lat_idx) + 1 FROM g) // 2) AS ni, ((SELECT max(lon_idx) - min(lon_idx) + 1 FROM g) // 2) AS nj FROM g)
+  SELECT time, bi AS lat_idx, bj AS lon_idx, CAST(-45 + 15 + 60 * bi AS DOUBLE) AS lat, CAST(-112.5 + 22.5 + 90 * bj AS DOUBLE) AS lon, round(avg(v_sum), 6) AS v_sum
+  FROM p WHERE bi < ni AND bj < nj GROUP BY ALL""")
+def subset_then_coarsen(spark, sf):
+    # The box leaves five rows and seven columns: blocks begin where it begins, the rest is trimmed.
+    boxed = gr.subset_bbox(grid_events(spark, sf).drop("value_mean", "n"), (-120.0, -50.0, 180.0, 90.0))
+    return rs.coarsen(boxed, 2, ["v_sum"]).withColumn("v_sum", F.round("v_sum", 6))
+
+
+@query("coarsen_with_gap", "AGG-4", sql=f"""WITH g AS (SELECT * FROM {DUCK.grid_events()})
+  SELECT time, 2 * lat_idx // 2 AS lat_idx, lon_idx // 2 AS lon_idx, CAST(-75 + 60 * lat_idx AS DOUBLE) + 15 AS lat, CAST(-135 + 90 * (lon_idx // 2) AS DOUBLE) AS lon,
+    round(avg(v_sum), 6) AS v_sum FROM g GROUP BY ALL""")
+def coarsen_with_gap(spark, sf):
+    # Every second row of a finer axis is absent from the cells; the axis tables still have it.
+    g = grid_events(spark, sf).drop("value_mean", "n").withColumns({"lat": F.col("lat_idx") * 60.0 - 75, "lat_idx": F.col("lat_idx") * 2})
+    lats = spark.range(12).select((F.col("id") * 30.0 - 75).alias("lat"), F.col("id").alias("idx"))
+    lons = spark.range(8).select((F.col("id") * 45.0 - 157.5).alias("lon"), F.col("id").alias("idx"))
+    return rs.coarsen(g, 2, ["v_sum"], axes={"lat": lats, "lon": lons}).withColumn("v_sum", F.round("v_sum", 6))
+
+
+def _raw_time(g: DataFrame) -> DataFrame:
+    """The grid with times counted in hours, as files hold them."""
+    hours = F.timestamp_diff("HOUR", F.lit("2023-12-01 00:00:00").cast("timestamp_ntz"), F.col("time"))
+    return g.withColumn("time", hours.cast("double"))
+
+
+_HOURS = "hours since 2023-12-01T00:00:00Z"
+
+
+@query("time_subset_cf", "FLT-2", "PRJ-4", sql=f"SELECT time, lat, lon, v_sum FROM {DUCK.grid_events()} WHERE {_SPANNED}")
+def time_subset_cf(spark, sf):
+    raw = _raw_time(grid_events(spark, sf))
+    return gr.subset(raw, DIMS, time_range=SPAN, units=_HOURS).select("time", "lat", "lon", "v_sum")
+
+
+@query("resample_cf", "AGG-3", "PRJ-4", sql=f"""SELECT {_DAY} AS time, lat_idx, lon_idx, lat, lon, round(avg(v_sum), 6) AS v_sum
+  FROM {DUCK.grid_events()} GROUP BY ALL""")
+def resample_cf(spark, sf):
+    raw = _raw_time(grid_events(spark, sf).drop("n", "value_mean"))
+    return rs.resample(raw, ["v_sum"], time_freq="D", fill_gaps=False, units=_HOURS).withColumn("v_sum", F.round("v_sum", 6))
+
+
 @query("resample_time_and_space", "AGG-3", "AGG-4", sql=f"""WITH d AS (
     SELECT {_DAY} AS time, lat_idx, lon_idx, avg(n) AS n FROM {DUCK.grid_events()} GROUP BY 1, 2, 3)
   SELECT time, lat_idx // 2 AS lat_idx, lon_idx // 2 AS lon_idx, CAST(-60 + 60 * (lat_idx // 2) AS DOUBLE) AS lat,
@@ -415,6 +459,20 @@ def align_snapped(spark, sf):
     return al.align([a, late], DIMS, "outer", snap_ns=60 * 10**9)[0]
 
 
+@query("align_snapped_duplicates", "JOIN-1", "PRJ-6", sql=f"""WITH g AS (SELECT * FROM {DUCK.grid_events()}),
+    a AS (SELECT CAST(date_trunc('day', time) AS TIMESTAMP) AS time, lat, lon, arg_min(n, time) AS n_a, arg_min(v_sum, time) AS v_a FROM g GROUP BY 1, 2, 3),
+    b AS (SELECT CAST(date_trunc('day', time) AS TIMESTAMP) AS time, lat, lon, arg_min(v_sum, time) AS v_b FROM g WHERE lon > 0 GROUP BY 1, 2, 3),
+    t AS (SELECT DISTINCT time FROM a), la AS (SELECT DISTINCT lat FROM a), lo AS (SELECT DISTINCT lon FROM a)
+  SELECT t.time, la.lat, lo.lon, CAST(n_a AS DOUBLE) AS n_a, CAST(v_a AS DOUBLE) AS v_a, CAST(v_b AS DOUBLE) AS v_b FROM t CROSS JOIN la CROSS JOIN lo
+  LEFT JOIN a ON a.time = t.time AND a.lat = la.lat AND a.lon = lo.lon LEFT JOIN b ON b.time = t.time AND b.lat = la.lat AND b.lon = lo.lon""")
+def align_snapped_duplicates(spark, sf):
+    # Four scans a day fall on one snapped time (shifted, so that noon does not round up); one is taken whole.
+    g = grid_events(spark, sf).withColumn("time", F.timestamp_add("HOUR", -F.hour("time") + F.floor(F.hour("time") / 6).cast("int"), F.col("time")))
+    a = g.select(*DIMS, F.col("n").alias("n_a"), F.col("v_sum").alias("v_a"))
+    b = g.where("lon > 0").select(*DIMS, F.col("v_sum").alias("v_b"))
+    return al.align([a, b], DIMS, "outer", snap_ns=86_400 * 10**9)[0]
+
+
 @query("align_report", "AGG-10", sql=f"""WITH a AS (SELECT * FROM {DUCK.grid_a()}), b AS (SELECT * FROM {DUCK.grid_b()})
   {' UNION ALL '.join(f'''SELECT 'before' AS stage, 0 AS input, '{d}' AS axis, count(DISTINCT {d}) AS size FROM a
     UNION ALL SELECT 'before', 1, '{d}', count(DISTINCT {d}) FROM b

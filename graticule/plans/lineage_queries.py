@@ -104,10 +104,10 @@ def retrieval_keys(spark, sf):
     ).alias("key"))
 
 
-@query("transform_keys", "LIN-6", sql="""SELECT o_orderkey, substr(sha256('{"operation":"subset","parameters":["bbox=' || (o_orderkey % 50) || '","vars=x"],"sources":["obs_' || o_custkey || '"]}'), 1, 24) AS key FROM orders""")
+@query("transform_keys", "LIN-6", sql="""SELECT o_orderkey, substr(sha256('{"operation":"subset","parameters":[{"key":"a=b","value":null},{"key":"bbox","value":"' || (o_orderkey % 50) || '"},{"key":"vars","value":"x=y"}],"sources":["obs_' || o_custkey || '"]}'), 1, 24) AS key FROM orders""")
 def transform_keys(spark, sf):
     k = F.col("o_orderkey")
-    params = F.create_map(F.lit("vars"), F.lit("x"), F.lit("bbox"), (k % 50).cast("string"))
+    params = F.create_map(F.lit("vars"), F.lit("x=y"), F.lit("bbox"), (k % 50).cast("string"), F.lit("a=b"), F.lit(None).cast("string"))
     return table(spark, sf, "orders").select(k, ln.transform_key(
         F.lit("subset"), F.array(F.concat(F.lit("obs_"), F.col("o_custkey").cast("string"))), params).alias("key"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graticule.functions import location as loc
 from graticule.operators import area as ar
 from graticule.operators import coverage as cov
-from graticule.plans.fixtures import DUCK, SPARK, view
+from graticule.plans.fixtures import DUCK, SPARK, table, view
 from graticule.plans.registry import query
 from graticule.sources import lookups as lk
 
@@ -67,6 +67,20 @@ def geojson_boxes(spark, sf):
     return b.select("id", "b.*")
 
 
+@query("geojson_nested_boxes", "AGG-7", sql="""SELECT o_orderkey, CAST(o_orderkey % 170 AS DOUBLE) AS w, CAST(o_custkey % 80 AS DOUBLE) AS s,
+    CAST(o_orderkey % 170 + 4 AS DOUBLE) AS e, CAST(o_custkey % 80 + 3 AS DOUBLE) AS n FROM orders""")
+def geojson_nested_boxes(spark, sf):
+    # Collections inside each other, one to nine deep, with a point outside the innermost.
+    k, x, y = F.col("o_orderkey"), F.col("o_orderkey") % 170, F.col("o_custkey") % 80
+    text = F.format_string('{"type":"LineString","bbox":[-9,-9,9,9],"coordinates":[[%d,%d,5],[%d.5,%d.25]]}', x, y, x + 1, y + 1)
+    point = F.format_string('{"coordinates":[%d, %d], "type":"Point"}', x + 4, y + 3)
+    deep = F.lit(9) - k % 9
+    opened = F.repeat(F.lit('{"type":"GeometryCollection","geometries":['), deep.cast("int"))
+    geojson = F.concat(F.lit('{"type":"Feature","properties":{"coordinates":[[0,0]]},"geometry":'), opened, text, F.repeat(F.lit("]}"), deep.cast("int") - 1), F.lit(","), point, F.lit("]}}"))
+    b = table(spark, sf, "orders").select(k, loc.bbox_from_geojson(geojson).alias("b"))
+    return b.select("o_orderkey", "b.w", "b.s", "b.e", "b.n")
+
+
 @query("box_unions", "AGG-8", "AGG-7", sql=f"SELECT grp, min(x_w) AS w, min(x_s) AS s, max(x_e) AS e, max(x_n) AS n FROM {DUCK.shapes()} GROUP BY 1")
 def box_unions(spark, sf):
     b = view(spark, sf, SPARK.shapes()).select("grp", loc.bbox_from_geojson(F.col("geojson")).alias("b"))
@@ -196,7 +210,7 @@ def coverage_samples(spark, sf):
 
 
 @query("granule_inspection", "WIN-7", sql=f"""SELECT request_id, granule_ur, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY time_start, granule_ur) AS rank FROM ({PAIRS_SQL})) WHERE rank <= 50""")
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY time_start, granule_ur) AS rank FROM ({PAIRS_SQL})) WHERE rank <= 500""")
 def granule_inspection(spark, sf):
     return cov.first_granules(overlaps(spark, sf), 500).select("request_id", "granule_ur", F.col("rank").cast("long").alias("rank"))
 
@@ -204,15 +218,38 @@ def granule_inspection(spark, sf):
 @query("size_estimates", "AGG-6", "JOIN-8", sql=f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY time_start, granule_ur) AS rank,
     count(*) OVER (PARTITION BY request_id) AS c FROM ({PAIRS_SQL})),
   a AS (SELECT r.request_id, r.collection_id, coalesce(max(c), 0) AS total, count(rank) AS sampled, avg(size_mb) FILTER (size_mb > 0) AS mean
-    FROM {DUCK.aois()} r LEFT JOIN p ON p.request_id = r.request_id AND rank <= 50 GROUP BY 1, 2)
+    FROM {DUCK.aois()} r LEFT JOIN p ON p.request_id = r.request_id GROUP BY 1, 2)
   SELECT request_id, collection_id, total AS total_granules, sampled AS sampled_granules, round_even(coalesce(mean, 0), 3) AS avg_size_mb,
     round_even(coalesce(mean, 0) * total, 3) AS total_size_mb,
-    CASE WHEN sampled = 0 THEN 'No granules found for this AOI and time range.'
-      WHEN mean IS NULL THEN 'None of the ' || sampled || ' sampled granules reported a size; size estimate unavailable.' END AS warning FROM a""")
+    CASE WHEN sampled = 0 THEN 'No granule meets the area and time range.'
+      WHEN mean IS NULL THEN 'None of the ' || sampled || ' granules has a known size, so there is no estimate.' END AS warning FROM a""")
 def size_estimates(spark, sf):
     return cov.estimate_sizes(view(spark, sf, SPARK.aois()), overlaps(spark, sf))
 
 
+_OPEN_AOIS = """(SELECT request_id, collection_id, CASE WHEN request_id % 5 > 0 THEN w END AS w, CASE WHEN request_id % 5 > 0 THEN s END AS s,
+    CASE WHEN request_id % 5 > 0 THEN e END AS e, CASE WHEN request_id % 5 > 0 THEN n END AS n,
+    CASE WHEN request_id % 3 > 0 THEN t0 END AS t0, CASE WHEN request_id % 4 > 0 THEN t1 END AS t1 FROM {aois})"""
+_OPEN_GRANULES = """(SELECT granule_ur, collection_id, w, s, e, n, CASE WHEN k % 7 > 0 THEN time_start END AS time_start,
+    CASE WHEN k % 6 > 0 THEN time_end END AS time_end FROM {granules})"""
+
+
+@query("coverage_open_ranges", "JOIN-8", "AGG-5", sql=f"""WITH a AS {_OPEN_AOIS.format(aois=DUCK.aois())}, q AS {_OPEN_GRANULES.format(granules=DUCK.granules())},
+    r AS (SELECT request_id, collection_id, coalesce(w, -180) AS w, coalesce(s, -90) AS s, coalesce(e, 180) AS e, coalesce(n, 90) AS n, t0, t1 FROM a)
+  SELECT r.request_id, count(*) AS granule_count, min(granule_ur) AS first_name, max(granule_ur) AS last_name FROM r JOIN q g ON g.collection_id = r.collection_id
+    AND g.s <= r.n AND g.n >= r.s AND (g.time_start <= r.t1 OR g.time_start IS NULL OR r.t1 IS NULL)
+    AND (g.time_end >= r.t0 OR g.time_end IS NULL OR r.t0 IS NULL) AND {_lon_meets('r', 'g')} GROUP BY 1""")
+def coverage_open_ranges(spark, sf):
+    granules = view(spark, sf, _OPEN_GRANULES.format(granules=SPARK.granules()))
+    pairs = cov.overlap_join(view(spark, sf, _OPEN_AOIS.format(aois=SPARK.aois())), granules)
+    return pairs.groupBy("request_id").agg(F.count(F.lit(1)).alias("granule_count"), F.min("granule_ur").alias("first_name"), F.max("granule_ur").alias("last_name"))
+
+
+@query("granule_search_all", "FLT-5", sql=f"SELECT granule_ur, time_start FROM {DUCK.granules()} WHERE collection_id = 'C7' AND cloud_cover >= 20")
+def granule_search_all(spark, sf):
+    return cov.search_granules(view(spark, sf, SPARK.granules()), "C7", cloud_cover=(20.0, None), limit=None).select("granule_ur", "time_start")
+
+
 @query("granule_search", "FLT-5", sql=f"""SELECT granule_ur, time_start, cloud_cover FROM {DUCK.granules()} g, (SELECT 150.0 AS w, -120.0 AS e) q
   WHERE collection_id = 'C7' AND time_start <= TIMESTAMP '2000-01-01' AND time_end >= TIMESTAMP '1996-01-01' AND s <= 70 AND n >= -70
     AND cloud_cover <= 90 AND day_night_flag = 'DAY' AND {_lon_meets('q', 'g')}

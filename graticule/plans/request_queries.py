@@ -313,9 +313,9 @@ def _ce_sql() -> str:
       CASE WHEN ck % 7 = 0 THEN NULL WHEN ck % 3 = 1 THEN '/product/ndvi' ELSE 'ndvi' END AS v1,
       CASE WHEN ck % 3 = 1 THEN '/support/QA Flag' ELSE 'QA Flag' END AS v2 FROM x),
     z AS (SELECT *, CASE WHEN cut THEN {lat} ELSE '' END AS la, CASE WHEN cut THEN {lon} ELSE '' END AS lo FROM y),
-    ce AS (SELECT request_id, concat_ws(';', {fq('coord_lat')} || la, {fq('coord_lon')} || lo, {fq('coord_time')},
+    ce AS (SELECT request_id, CASE WHEN ck % 7 > 0 THEN concat_ws(';', {fq('coord_lat')} || la, {fq('coord_lon')} || lo, {fq('coord_time')},
       {fq('v1')} || CASE WHEN cut THEN '[0:0]' || la || lo ELSE '' END,
-      {fq('v2')} || CASE WHEN cut AND ck % 5 > 0 THEN '[0:2]' || la || lo ELSE '' END) AS expr FROM z)"""
+      {fq('v2')} || CASE WHEN cut AND ck % 5 > 0 THEN '[0:2]' || la || lo ELSE '' END) END AS expr FROM z)"""
 
 
 def _constrained(spark, sf):
@@ -323,11 +323,11 @@ def _constrained(spark, sf):
     r = view(spark, sf, _subset_requests(SPARK))
     v = cut_lineage(fx.variable_table(spark, sf), "variables")
     wanted = r.select("request_id", "collection_id", F.posexplode(F.array(F.lit("ndvi"), F.lit("qa flag"))).alias("pos", "variable"))
-    # An ambiguous name is an error for its request; here it is left out so the rest shows.
-    resolved = rt.resolve_paths(wanted, v).where(F.col("status") != "ambiguous")
+    resolved = rt.resolve_paths(wanted, v)
     coordinates = ax.discover_coordinates(v)
     plans = mf.with_dimension_plans(resolved, v, coordinates).groupBy("request_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.col("resolved").alias("name"), "dim_plan"))).alias("variables")
+        F.array_sort(F.collect_list(F.struct("pos", F.col("resolved").alias("name"), "dim_plan"))).alias("variables"),
+        F.bool_or(F.col("status") == "ambiguous").alias("ambiguous"),
     )
     axes = ax.collection_axes(_extents(spark, sf), ax.axis_lengths(v, coordinates))
     shape = view(spark, sf, SPARK.collections()).select(
@@ -336,15 +336,15 @@ def _constrained(spark, sf):
     )
     full = (
         r.join(plans, "request_id", "left").join(axes, "collection_id").join(shape, "collection_id")
-        .select("request_id", "variables", "coord_lat", "coord_lon", "coord_time", "lat_axis", "lon_axis", "output_shape",
+        .select("request_id", "variables", "ambiguous", "coord_lat", "coord_lon", "coord_time", "lat_axis", "lon_axis", "output_shape",
                 F.lit(True).alias("needs_bbox"), F.struct("w", "s", "e", "n").alias("bbox"))
     )
     return mf.constraint_expressions(full)
 
 
-@query("constraint_expressions", "MAN-1", "FLT-3", "AX-1", "AX-3", sql=f"WITH {_ce_sql()} SELECT request_id, expr AS constraint FROM ce")
+@query("constraint_expressions", "MAN-1", "FLT-3", "AX-1", "AX-3", sql=f"WITH {_ce_sql()} SELECT request_id, expr AS constraint, CASE WHEN expr IS NULL THEN 'ambiguous' ELSE 'ok' END AS status FROM ce")
 def constraint_expressions(spark, sf):
-    return _constrained(spark, sf).select("request_id", "constraint")
+    return _constrained(spark, sf).select("request_id", "constraint", "status")
 
 
 _ENC = "replace(replace(replace(replace(replace(replace(expr, '/', '%2F'), ' ', '%20'), ';', '%3B'), '[', '%5B'), ']', '%5D'), ':', '%3A')"
@@ -352,16 +352,18 @@ _ENC = "replace(replace(replace(replace(replace(replace(expr, '/', '%2F'), ' ',
 
 @query("subset_manifest", "MAN-1", "SCL-8", "SCL-9", sql=f"""WITH {_ce_sql()}, p AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY time_start, granule_ur) AS rank FROM ({PAIRS_SQL})),
     q AS (SELECT p.request_id, rank, p.granule_ur, CASE g.k % 4 WHEN 0 THEN regexp_replace(url, '\\.html$', '') WHEN 1 THEN url END AS base
-      FROM p JOIN {DUCK.granules()} g ON g.granule_ur = p.granule_ur WHERE rank <= 50)
-  SELECT q.request_id, rank, granule_ur, base || '.dap.nc4' || '?dap4.ce=' || {_ENC} AS url,
-    CASE WHEN base LIKE '%.nc4' THEN string_split(base, '/')[-1] ELSE string_split(base, '/')[-1] || '.nc4' END AS file_name
+      FROM p JOIN {DUCK.granules()} g ON g.granule_ur = p.granule_ur)
+  SELECT q.request_id, rank, (rank - 1) // 50 AS batch, granule_ur, CASE WHEN expr IS NULL THEN 'ambiguous' ELSE 'ok' END AS status,
+    base || '.dap.nc4' || '?dap4.ce=' || {_ENC} AS url,
+    CASE WHEN expr IS NULL THEN NULL WHEN base LIKE '%.nc4' THEN string_split(base, '/')[-1] ELSE string_split(base, '/')[-1] || '.nc4' END AS file_name
   FROM q JOIN ce ON ce.request_id = q.request_id WHERE base IS NOT NULL""")
 def subset_manifest(spark, sf):
-    # Granules keep their URL list through the overlap join, as the catalog returns them.
+    # Names only go through the overlap join; the URLs are attached to what it found.
     g = md.parse_granules(fx.granule_records(spark, sf)).select("granule_ur", tx.access_url(F.col("related_urls")).alias("access_url"))
     boxes = view(spark, sf, SPARK.granules()).select("granule_ur", "collection_id", "w", "s", "e", "n", "time_start", "time_end")
-    pairs = cov.overlap_join(view(spark, sf, SPARK.aois()), boxes.join(cut_lineage(g, "access"), "granule_ur"))
-    return mf.subset_manifest(_constrained(spark, sf), cov.first_granules(pairs, mf.GRANULES_PER_REQUEST)).withColumn("rank", F.col("rank").cast("long"))
+    pairs = cov.overlap_join(view(spark, sf, SPARK.aois()), boxes).select("request_id", "granule_ur", "time_start")
+    pairs = pairs.join(g, "granule_ur")
+    return mf.subset_manifest(_constrained(spark, sf), cov.first_granules(pairs, None)).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _preview_rows(v) -> str:
