@@ -216,3 +216,40 @@ def test_crs_tag_is_metadata(spark):
     assert out.schema["ndvi"].metadata["crs"] == "EPSG:3857" and out.schema["lat"].metadata == {}
     with pytest.raises(ValueError):
         gr.tag_crs(spark.range(1), "EPSG:3857", [])
+
+
+def test_coarsen_begins_where_the_grid_begins(spark):
+    """Blocks by position, against a walk over the same rows."""
+    rows = [(i, float(10 * i), 0, 0.0, float(i * i)) for i in range(12)]
+    schema = "lat_idx INT, lat DOUBLE, lon_idx INT, lon DOUBLE, v DOUBLE"
+    for first, last in ((0, 11), (1, 5), (4, 11), (7, 7)):
+        kept = [r for r in rows if first <= r[0] <= last]
+        got = rs.coarsen(spark.createDataFrame(kept, schema).drop("lon", "lon_idx"), 2, ["v"]).collect()
+        blocks = [kept[i : i + 2] for i in range(0, len(kept) - len(kept) % 2, 2)]
+        assert sorted((r["lat_idx"], r["lat"], r["v"]) for r in got) == [
+            (k, sum(b[1] for b in block) / 2, sum(b[4] for b in block) / 2) for k, block in enumerate(blocks)]
+
+
+def test_raw_times_need_units(spark):
+    grid = spark.createDataFrame([(0.0, 1.0), (86_400.0, 2.0), (172_800.0, 3.0)], "time DOUBLE, v DOUBLE")
+    got = gr.subset_time(grid, "2021-06-02/2021-06-03", units="seconds since 2021-06-01 00:00:00")
+    assert sorted(r["v"] for r in got.collect()) == [2.0, 3.0]
+    with pytest.raises(ValueError, match="units"):
+        gr.subset_time(grid, "2021-06-02/2021-06-03")
+
+
+def test_hyperslab_knows_longitudes_by_any_case(spark):
+    cells = spark.range(8).select(F.col("id").alias("Longitude_idx"))
+    assert ax.hyperslab(cells, {"Longitude": (-157.5, 45.0, 8)}, {"Longitude": (170.0, -170.0)}).count() == 8
+
+
+def test_align_takes_whole_rows_or_refuses(spark):
+    t = datetime(2022, 3, 1, 12)
+    scans = [(t + timedelta(seconds=9), 0.0, 3, 9), (t + timedelta(seconds=2), 0.0, 5, 1)]
+    a = spark.createDataFrame(scans, "time TIMESTAMP_NTZ, lat DOUBLE, x INT, q INT")
+    b = spark.createDataFrame([(t, 0.0, 7)], "time TIMESTAMP_NTZ, lat DOUBLE, z INT")
+    row = al.align([a, b], ["time", "lat"], snap_ns=60 * 10**9)[0].head()
+    assert (row["x"], row["q"], row["z"]) == (5.0, 1.0, 7.0)
+    twice = a.withColumn("time", F.lit(t).cast("timestamp_ntz"))
+    with pytest.raises(Exception, match="more than once"):
+        al.align([twice, b], ["time", "lat"])[0].collect()

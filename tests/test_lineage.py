@@ -165,3 +165,10 @@ def test_stream_means_drop_late_rows(spark, tmp_path):
             "checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((str(r["time"]), r["v"]) for r in spark.read.parquet(path).collect()) == [
         ("2024-01-01 00:00:00", 2.0), ("2024-01-01 05:00:00", 9.0)]
+
+
+def test_different_parameters_have_different_keys(spark):
+    maps = [{"a=b": "c"}, {"a": "b=c"}, {"a": None}, {"a": ""}, {"a": "null"}, {}, {"a": '"},{"'}]
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(maps)], "i INT, p MAP<STRING, STRING>")
+    keys = rows.select(ln.transform_key(F.lit("subset"), F.array(F.lit("obs_1")), F.col("p")).alias("k")).distinct()
+    assert keys.count() == len(maps)
