@@ -11,8 +11,9 @@ take the slot of their rank.
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,41 +21,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graticule.llm.segments import Memory, segments, slices
 from graticule.llm.tables import id_and_text, stored
 
 CAPACITY = 2048
+#: Fixed value: the pattern of byte-level tokenizers.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Rounds of the fit; each visits every pattern once.
 SWEEPS = 30
 #: Parts that the ranks of one length are counted in.
 RANK_PARTS = 256
 
 
+def _byte_letters() -> str:
+    """Byte-level vocabularies write a printable byte as itself, the others as U+0100 onwards."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in printable else next(others)) for b in range(256))
+
+
+def _byte_ranks(plan: dict) -> dict[bytes, int] | None:
+    """Ranks for a byte-level encoder that gives the ids of this tokenizer; None if it would not.
+
+    It would if text goes unchanged to byte-level BPE by the usual pattern, and merges are in the
+    order of the ids that they make: then the lowest id is the first merge.
+    """
+    before, model = plan["pre_tokenizer"] or {}, plan["model"]
+    if plan["normalizer"] or before.get("type") != "ByteLevel" or not before.get("use_regex") or before.get("add_prefix_space"):
+        return None
+    if model.get("type") != "BPE" or model.get("ignore_merges") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    if made != sorted(set(made)):
+        return None
+    byte_of = {c: b for b, c in enumerate(_byte_letters())}
+    special = {t["content"] for t in plan["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    return ranks if len(ranks) == len(made) + 256 else None
+
+
 @lru_cache(maxsize=4)
-def _ids(tokenizer_path: str) -> tuple[Memory, Memory]:
+def _ids(tokenizer_path: str) -> Callable[[str], np.ndarray]:
+    """The ids of a text, as the tokenizers library gives them for the file."""
     import tokenizers
 
     own = tokenizers.Tokenizer.from_file(tokenizer_path)
+    plan = json.loads(own.to_str())
+    ranks = _byte_ranks(plan)
+    if ranks is None:
+        return lambda text: np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    # The same vocabulary in an encoder without the library's bookkeeping, four times as fast.
+    import tiktoken
 
-    def encoded(batch: list[str]) -> Iterator[bytes]:
-        for e in own.encode_batch(batch, add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4").tobytes()
-
-    return Memory(lambda batch: encoded([" " + s for s in batch])), Memory(encoded)
+    special = {t["content"]: t["id"] for t in plan["added_tokens"]}
+    encoder = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: encoder.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
 
 def _encoded(texts: pa.Array, tokenizer_path: str) -> Iterator[bytes]:
     """The ids of each text and a zero, little-endian and unsigned."""
-    later, first = _ids(tokenizer_path)
-    for _, held in slices(texts):
-        parts = [segments(t) for t in held]
-        later.learn({s for p in parts for s in p[1:]})
-        first.learn({p[0] for p in parts if p})
-        for p in parts:
-            head = first[p[0]] if p else b""
-            yield head + b"".join(map(later.__getitem__, p[1:])) + b"\0\0\0\0"
-        later.trim()
-        first.trim()
+    ids = _ids(tokenizer_path)
+    for text in texts:
+        yield ids(text.as_py() or "").astype("<u4").tobytes() + b"\0\0\0\0"
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, id_col: str = "doc_id",
