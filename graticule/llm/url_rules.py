@@ -124,7 +124,7 @@ def judge(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, labels: DataFram
     labels, mine nothing. Equal URLs are judged once, however many rows have them.
     """
     url = F.col(url_col).cast("string")
-    verdicts = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.verdict))])
+    verdicts = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.verdict))]).cast("map<string,string>")
     each = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"))
     each = each.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     each = each.withColumn("rule", listed(F.col("host"), F.col("path"), rules))
