@@ -2,63 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from graticule.operators.jobs import LEGAL
 
-from graticule.operators.jobs import is_legal, with_previous
+STATE_DDL = "job_id BIGINT, seq BIGINT, state STRING, illegal BIGINT, late BIGINT, events BIGINT"
+_KEPT_DDL = "seq BIGINT, state STRING, illegal BIGINT, late BIGINT, events BIGINT"
 
-STATE_DDL = "job_id BIGINT, seq BIGINT, state STRING, illegal BIGINT"
 
+def fold(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+    """Fold one job's events of a micro-batch into its state, and report the state."""
+    seq, state, illegal, late, events = kept.get if kept.exists else (None, None, 0, 0, 0)
+    rows = pd.concat(list(batches)).sort_values("seq", kind="stable", na_position="last")
+    for new_seq, new_state in zip(rows["seq"], rows["state"], strict=True):
+        events += 1
+        if pd.isna(new_seq) or (seq is not None and new_seq <= seq):
+            late += 1
+            continue
+        if state is not None and new_state not in LEGAL.get(state, ()):
+            illegal += 1
+        seq, state = int(new_seq), new_state
+    kept.update((seq, state, illegal, late, events))
+    yield pd.DataFrame({"job_id": [key[0]], "seq": pd.array([seq], "Int64"), "state": [state], "illegal": [illegal], "late": [late], "events": [events]})
 
-def apply_events(previous: DataFrame, events: DataFrame) -> DataFrame:
-    """Fold a batch of events into the known state of each job.
 
-    ``previous``: ``job_id, seq, state, illegal``; ``events``: ``job_id, seq, state``. Each
-    event is compared with the one before it, the first of a batch with the stored state.
-    Events at or before the stored one are late and ignored.
+def job_states(events: DataFrame) -> DataFrame:
+    """Stream of ``job_id, seq, state`` → a row per job and micro-batch that has events of it.
+
+    Spark's state store keeps each job's last state between batches. Each event is compared with
+    the one before it in ``seq``; an event at or before the stored ``seq``, or without one,
+    comes too late to be judged and is counted in ``late``. ``events`` counts all events so far.
     """
-    known = previous.select("job_id", "seq", "state", "illegal", F.lit(True).alias("stored"))
-    floor = previous.select("job_id", F.col("seq").alias("_floor"))
-    fresh = (
-        events.join(floor, "job_id", "left")
-        .where(F.col("_floor").isNull() | (F.col("seq") > F.col("_floor")))
-        .select("job_id", "seq", "state", F.lit(0).cast("long").alias("illegal"), F.lit(False).alias("stored"))
-    )
-    both = with_previous(known.unionByName(fresh), ["state"])
-    bad = (
-        ~F.col("stored") & F.col("before_state").isNotNull()
-        & ~is_legal(F.col("before_state"), F.col("state"))
-    )
-    return both.groupBy("job_id").agg(
-        F.max("seq").alias("seq"),
-        F.max_by("state", "seq").alias("state"),
-        (F.sum("illegal") + F.sum(F.when(bad, 1).otherwise(0))).cast("long").alias("illegal"),
-    )
+    return events.groupBy("job_id").applyInPandasWithState(
+        fold, STATE_DDL, _KEPT_DDL, "append", GroupStateTimeout.NoTimeout)
 
 
 def track_jobs(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a state table under ``path``, one version per micro-batch.
+    """Append the states to a table under ``path``; only jobs with new events are written.
 
-    A batch reads the version before it and writes its own, so a replay gives the same
-    result. Read the newest with :func:`current_state`.
+    Read the newest with :func:`current_state`.
     """
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            previous = spark.createDataFrame([], STATE_DDL)
-        else:
-            previous = spark.read.schema(STATE_DDL).parquet(f"{path}/version={batch_id - 1}")
-        apply_events(previous, batch).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
     return (
-        events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        job_states(events).writeStream.format("parquet").outputMode("append").option("path", path)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
 def current_state(spark, path: str) -> DataFrame:
-    """Newest version of the state table."""
-    versions = spark.read.option("basePath", path).schema(STATE_DDL + ", version INT").parquet(path)
-    newest = versions.agg(F.max("version")).scalar()
-    return versions.where(F.col("version") == newest).drop("version")
+    """Newest state of each job: the row that counts the most events."""
+    newest = F.max_by(F.struct("seq", "state", "illegal", "late"), "events").alias("s")
+    return spark.read.schema(STATE_DDL).parquet(path).groupBy("job_id").agg(newest).select("job_id", "s.*")

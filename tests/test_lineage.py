@@ -172,3 +172,13 @@ def test_different_parameters_have_different_keys(spark):
     rows = spark.createDataFrame([(i, m) for i, m in enumerate(maps)], "i INT, p MAP<STRING, STRING>")
     keys = rows.select(ln.transform_key(F.lit("subset"), F.array(F.lit("obs_1")), F.col("p")).alias("k")).distinct()
     assert keys.count() == len(maps)
+
+
+def test_late_job_events_are_counted(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "job_id BIGINT, seq BIGINT, state STRING"
+    for batch in ([(1, 1, "pending"), (1, 5, "submitted")], [(1, 3, "failed"), (1, None, "ready"), (1, 6, "running")], [(2, 2, "pending"), (1, 6, "running")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        job_state.track_jobs(spark.readStream.schema(schema).parquet(source), path, str(tmp_path / "progress")).awaitTermination()
+    got = {r["job_id"]: (r["seq"], r["state"], r["illegal"], r["late"]) for r in job_state.current_state(spark, path).collect()}
+    assert got == {1: (6, "running", 0, 3), 2: (2, "pending", 0, 0)}
