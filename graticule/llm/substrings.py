@@ -5,10 +5,10 @@ A window is ``WINDOW`` consecutive words of one text. The steps:
 1. Each window has an anchor, the ``GRAM``-word run of least hash inside it. Equal windows have
    equal anchors, and neighbours mostly share theirs, so a text has one anchor for some five
    words. Anchors of two or more documents are kept.
-2. Windows with such an anchor are hashed whole; those of two or more documents are confirmed,
-   with the place where each occurs first.
-3. First places are gathered into phrases: stretches of ``STEP`` window starts of the first
-   document. Each document gets the phrases that its confirmed windows lie in.
+2. Windows with such an anchor are hashed whole; for those of two or more documents the place
+   in an earlier one is kept.
+3. Those places are gathered into phrases: stretches of ``STEP`` window starts of the
+   earlier document. Each document gets the phrases that its confirmed windows lie in.
 4. Documents are streamed in blocks of bounded size. A block compiles an Aho-Corasick automaton
    of the phrases that its documents need (its shard of all phrases), finds every occurrence of
    their parts, and verifies words before and after. Only real equal words are removed.
@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graticule.llm.tables import id_and_text, stored
-from graticule.llm.textblocks import Block, blocks, runs
+from graticule.llm.tables import drop_stored, id_and_text, stored
+from graticule.llm.textblocks import Block, blocks, mix, runs
 
 WINDOW, GRAM, STEP = 13, 5, 64
 #: Words per automaton part: any window holds a whole one at a multiple of it.
@@ -69,31 +69,55 @@ def _anchors(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """``doc_id, anchor, win, at``: the first place of each window whose anchor is shared."""
+    """``doc_id, anchor, win, at, source, piece`` of the windows whose anchor is shared.
+
+    Of equal windows of one batch only the one of the smallest document goes on; for the others
+    that one is an earlier occurrence already, so they come out with its ``source`` and ``piece``
+    (and with a key of their own). A very frequent window is a few rows therefore.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("anchors")
+            lists, ids = batch.column("anchors"), batch.column("doc_id").to_numpy()
+            rows: list[tuple[np.ndarray, ...]] = []
             for block in blocks(batch.column("text")):
                 start, anchor = _windows(block)
-                text = block.words[2][start]
-                whole = runs(block.hashes, WINDOW)
-                rows: list[tuple[np.ndarray, ...]] = []
+                text, whole = block.words[2][start], runs(block.hashes, WINDOW)
                 for i in range(block.size):
                     lo, hi = np.searchsorted(text, [i, i + 1])
                     known = np.asarray(lists[block.first + i].values, dtype=np.int64).view(np.uint64)
                     at = lo + np.flatnonzero(np.isin(anchor[lo:hi], known))
-                    _, first = np.unique(whole[start[at]], return_index=True)
-                    at = at[first]
-                    rows.append((np.full(len(at), block.first + i), anchor[at], whole[start[at]], start[at] - block.bounds[i]))
-                doc, anchors, win, place = (np.concatenate(x) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(doc)), pa.array(anchors.view(np.int64)),
-                     pa.array(win.view(np.int64)), pa.array(place.astype(np.int32))],
-                    names=["doc_id", "anchor", "win", "at"])
+                    rows.append((np.full(len(at), ids[block.first + i]), anchor[at].view(np.int64), whole[start[at]].view(np.int64), start[at] - block.bounds[i]))
+            if not rows:
+                continue
+            doc, anchor, win, at = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.lexsort((at, doc, anchor, win))
+            doc, anchor, win, at = doc[order], anchor[order], win[order], at[order]
+            new = np.ones(len(doc), dtype=bool)
+            new[1:] = (win[1:] != win[:-1]) | (anchor[1:] != anchor[:-1])
+            least = np.flatnonzero(new)[np.cumsum(new) - 1]
+            later = doc > doc[least]
+            local = np.unique(np.stack((doc[later], doc[least[later]], at[least[later]] // STEP), axis=1), axis=0)
+            n, m = int(new.sum()), len(local)
+            spread = mix(local[:, 0].astype(np.uint64) ^ mix(local[:, 1].astype(np.uint64)) ^ local[:, 2].astype(np.uint64)).view(np.int64)
+            none = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate((doc[new], local[:, 0]))), pa.array(np.concatenate((anchor[new], spread))),
+                 pa.array(np.concatenate((win[new], spread))), pa.array(np.concatenate((at[new], np.zeros(m, np.int64))).astype(np.int32)),
+                 pa.concat_arrays([none, pa.array(local[:, 1])]), pa.concat_arrays([none, pa.array(local[:, 2])]).cast(pa.int32())],
+                names=["doc_id", "anchor", "win", "at", "source", "piece"])
+
+    return docs.join(shared, "doc_id").select("doc_id", "text", "anchors").mapInArrow(
+        run, "doc_id long, anchor long, win long, at int, source long, piece int")
+
 
-    lists = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    return docs.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(
-        run, "doc_id long, anchor long, win long, at int")
+def _needs(windows: DataFrame) -> DataFrame:
+    """``doc_id, source, piece``: a stretch of an earlier document for each repeated window."""
+    order = Window.partitionBy("anchor", "win").orderBy("doc_id", "at")
+    placed = windows.select("doc_id", "source", "piece", F.first("doc_id").over(order).alias("first_doc"),
+                            F.floor(F.first("at").over(order) / STEP).cast("int").alias("first_piece"))
+    return (placed.filter("source is not null or first_doc < doc_id")
+            .select("doc_id", F.coalesce("source", "first_doc").alias("source"),
+                    F.when(F.col("source").isNotNull(), F.col("piece")).otherwise(F.col("first_piece")).alias("piece")).distinct())
 
 
 def _phrases(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -178,14 +202,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     docs = id_and_text(docs, id_col, text_col)
     named = docs.filter("doc_id is not null")
     anchors = stored(_anchors(named), "anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    windows = stored(_candidates(named, anchors.join(shared.select("anchor"), "anchor")), "windows")
-    first = (windows.groupBy("anchor", "win")
-             .agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("hi"))
-             .filter("first.doc_id < hi").select("anchor", "win", "first"))
-    needs = stored(windows.join(first, ["anchor", "win"]).filter("doc_id > first.doc_id")
-                   .select("doc_id", F.col("first.doc_id").alias("source"),
-                           F.floor(F.col("first.at") / STEP).cast("int").alias("piece")).distinct(), "needs")
+    several = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    shared = stored(anchors.join(several.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "shared")
+    drop_stored(anchors)
+    needs = stored(_needs(_candidates(named, shared)), "needs")
     phrases = stored(_phrases(named, needs), "phrases")
     lists = (needs.join(phrases, ["source", "piece"]).groupBy("doc_id")
              .agg(F.collect_set(F.struct("source", "phrase")).alias("phrases")))

@@ -40,6 +40,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Remove a table that ``stored`` wrote and that no later step reads."""
+    context = df.sparkSession.sparkContext
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def reach_workers(spark: SparkSession) -> None:
     """Let Python workers that share this file system import the package."""
     root = str(Path(__file__).resolve().parents[2])
