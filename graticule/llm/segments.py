@@ -21,14 +21,23 @@ BATCH_CHARS, SLICE_BYTES = 1 << 18, 4 << 20
 
 # U+2581 stands for a space in sentencepiece models.
 _SAFE = re.compile("(?<=[^\\s▁]) (?=[^\\s▁])")
-_ODD = re.compile("\\A[\\s▁]|[\\s▁]\\Z|[\\s▁]{2}")
+_WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ") + "▁"
+_WHITE_ASCII = "".join(c for c in _WHITE if c.isascii())
+
+
+def _is_odd(text: str) -> bool:
+    """True if a space stands beside white space or at an end of the text."""
+    if text[0] == " " or text[-1] == " " or "  " in text:
+        return True
+    there = _WHITE_ASCII if text.isascii() else set(text).intersection(_WHITE)
+    return any(" " + c in text or c + " " in text for c in there)
 
 
 def segments(text: str) -> list[str]:
     """The segments of a text; the one space before each but the first is left out."""
     if not text:
         return []
-    return _SAFE.split(text) if _ODD.search(text) else text.split(" ")
+    return _SAFE.split(text) if _is_odd(text) else text.split(" ")
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -46,15 +55,23 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 class Memory(dict):
-    """What ``encode`` gives for each segment; ``encode`` takes a list of segments."""
+    """What ``encode`` gives for each segment; ``encode`` takes a list of segments.
+
+    There are two generations. When the younger one is full it becomes the older, and what is
+    asked for again moves over without being encoded again, so frequent segments stay.
+    """
 
     def __init__(self, encode: Callable[[list[str]], Iterable]):
         super().__init__()
         self.encode = encode
+        self.older: dict = {}
 
     def learn(self, wanted: set[str]) -> None:
         """Encode what is not known yet, in batches balanced by their characters."""
-        missing = sorted(wanted.difference(self), key=len)
+        missing = wanted.difference(self)
+        known = self.older.keys() & missing
+        self.update((s, self.older[s]) for s in known)
+        missing = sorted(missing - known, key=len)
         i = 0
         while i < len(missing):
             j, chars = i, 0
@@ -65,8 +82,9 @@ class Memory(dict):
             i = j
 
     def trim(self) -> None:
-        """Forget long segments, and everything once there is too much of it."""
+        """Forget long segments, and begin a generation if this one is full."""
         if len(self) > REMEMBERED:
+            self.older = {s: v for s, v in self.items() if len(s) <= REMEMBERED_CHARS}
             self.clear()
         for s in [s for s in self if len(s) > REMEMBERED_CHARS]:
             del self[s]

@@ -50,7 +50,7 @@ def _counts(texts: pa.Array, model_path: str) -> Iterator[tuple[int, int]]:
     later, first = _counter(model_path)
     for _, held in slices(texts):
         parts = [segments(t) for t in held]
-        later.learn({s for p in parts for s in p[1:]})
+        later.learn(set().union(*[p[1:] for p in parts]))
         first.learn({p[0] for p in parts if p})
         for text, p in zip(held, parts, strict=True):
             n = first[p[0]] + sum(map(later.__getitem__, p[1:])) if p else 0
