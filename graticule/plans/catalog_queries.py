@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graticule.operators import catalog as cat
@@ -101,19 +102,36 @@ def service_capability_rows(spark, sf):
 
 
 def capabilities(spark, sf):
-    """Collections merged with their service documents; a tenth of each side is missing."""
-    c = md.parse_collections(fx.collection_records(spark, sf)).where(F.substring("concept_id", -1, 1) != "3")
-    d = fx.capability_records(spark, sf).where(F.substring("concept_id", -1, 1) != "7")
-    return md.merge_capabilities(c, md.parse_capabilities(d))
-
-
-CAPABILITIES_SQL = f"""(SELECT concept_id, k, k % 10 <> 3 AS has_record, k % 10 <> 7 AS has_doc,
-    CASE WHEN k % 10 <> 7 AND k % 2 = 0 THEN 'HSN' || (k % 10) WHEN k % 10 <> 3 THEN short_name ELSE '' END AS short_name,
-    CASE WHEN k % 10 <> 3 AND processing_level = '2' THEN 'swath' ELSE 'grid' END AS output_shape,
-    CASE WHEN k % 10 <> 3 THEN direct_region END AS direct_region,
-    CASE WHEN k % 10 <> 7 THEN '2' ELSE '' END AS capabilities_version,
-    CASE WHEN k % 10 <> 3 THEN version ELSE '' END AS version
-  FROM {DUCK.collections()})"""
+    """Collections merged with their service documents; a tenth of each side has another name.
+
+    So some collections are without a document and some documents without a collection, and
+    all rows of both take part.
+    """
+    def renamed(df: DataFrame, digit: str, prefix: str) -> DataFrame:
+        odd = F.substring("concept_id", -1, 1) == digit
+        return df.withColumn("concept_id", F.when(odd, F.concat(F.lit(prefix), F.col("concept_id"))).otherwise(F.col("concept_id")))
+
+    c = renamed(md.parse_collections(fx.collection_records(spark, sf)), "3", "R")
+    d = renamed(md.parse_capabilities(fx.capability_records(spark, sf)), "7", "D")
+    d = d.withColumn("doc_concept_id", F.col("concept_id"))
+    return md.merge_capabilities(c, d)
+
+
+def _merged_sql(concept_id: str, record: str, doc: str, where: str) -> str:
+    return f"""SELECT {concept_id} AS concept_id, k, {record} AS has_record, {doc} AS has_doc,
+    CASE WHEN {doc} AND k % 2 = 0 THEN 'HSN' || (k % 10) WHEN {record} THEN short_name ELSE '' END AS short_name,
+    CASE WHEN {record} AND processing_level = '2' THEN 'swath' ELSE 'grid' END AS output_shape,
+    CASE WHEN {record} THEN direct_region END AS direct_region,
+    CASE WHEN {doc} THEN '2' ELSE '' END AS capabilities_version,
+    CASE WHEN {record} THEN version ELSE '' END AS version
+  FROM {DUCK.collections()} WHERE {where}"""
+
+
+CAPABILITIES_SQL = "(" + " UNION ALL ".join((
+    _merged_sql("concept_id", "k % 10 <> 3", "k % 10 <> 7", "true"),
+    _merged_sql("'R' || concept_id", "true", "false", "k % 10 = 3"),
+    _merged_sql("'D' || concept_id", "false", "true", "k % 10 = 7"),
+)) + ")"
 
 
 @query("capability_merge", "SRC-12", sql=f"""SELECT concept_id, short_name, version, output_shape, direct_region IS NOT NULL AS direct_access,

@@ -66,21 +66,22 @@ class Views:
 
     # -- grids ----------------------------------------------------------------------
 
-    def grid_events(self, where: str = "true") -> str:
+    def grid_events(self, lat: str = "user_id % 6", lon: str = "event_id % 8") -> str:
         hour = self.div("hour(ts)", 6)
         six = self.stamp("year(ts)", "month(ts)", "day(ts)", f"CAST({hour} * 6 AS INTEGER)")
         return f"""(SELECT time, lat_idx, lon_idx,
             CAST(-75 + 30 * lat_idx AS DOUBLE) AS lat, CAST(-157.5 + 45 * lon_idx AS DOUBLE) AS lon,
             n, v_sum, CAST(v_sum AS DOUBLE) / n AS value_mean
-          FROM (SELECT {six} AS time, user_id % 6 AS lat_idx, event_id % 8 AS lon_idx,
+          FROM (SELECT {six} AS time, {lat} AS lat_idx, {lon} AS lon_idx,
               count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS v_sum
-            FROM {self.t('events')} WHERE {where} GROUP BY 1, 2, 3))"""
+            FROM {self.t('events')} GROUP BY 1, 2, 3))"""
 
     def grid_a(self) -> str:
-        return self.grid_events("event_type IN ('click', 'view') AND event_id % 8 < 6")
+        """All events on the west part of the axes; the east part is the other grid's."""
+        return self.grid_events(lon="event_id % 6")
 
     def grid_b(self) -> str:
-        return self.grid_events("event_type IN ('view', 'purchase') AND event_id % 8 >= 3 AND user_id % 6 > 0")
+        return self.grid_events(lat="1 + user_id % 5", lon="3 + event_id % 5")
 
     def readings(self) -> str:
         """One stored value per event at its own cell and instant."""

@@ -70,10 +70,10 @@ def resample_five_hours(spark, sf):
 
 
 def _order_grid(v) -> str:
-    """Orders as a sparse grid over years, for calendar bins."""
-    return f"""(SELECT o_orderdate AS time, o_custkey % 5 AS lat_idx, o_orderkey % 7 AS lon_idx,
+    """Orders as a sparse grid over years, for calendar bins; March is moved to April, for a gap."""
+    return f"""(SELECT CASE WHEN month(o_orderdate) = 3 THEN o_orderdate + INTERVAL 31 DAY ELSE o_orderdate END AS time, o_custkey % 5 AS lat_idx, o_orderkey % 7 AS lon_idx,
         CAST(o_custkey % 5 AS DOUBLE) AS lat, CAST(o_orderkey % 7 AS DOUBLE) AS lon,
-        CAST(round(o_totalprice * 100) AS BIGINT) AS v_sum FROM {v.t('orders')} WHERE month(o_orderdate) <> 3)"""
+        CAST(round(o_totalprice * 100) AS BIGINT) AS v_sum FROM {v.t('orders')})"""
 
 
 @query("resample_month_end", "AGG-3", sql=_gap_filled(
@@ -281,21 +281,21 @@ def time_snap(spark, sf):
 
 @query("bundle_stack", "SET-1", "PRJ-4", "PRJ-5", sql="""SELECT granule, time, value, extra FROM (
   SELECT event_type || strftime(ts, '%Y%m%d') AS granule,
-    CASE WHEN event_type = 'click' THEN date_trunc('hour', ts) WHEN event_type = 'view' THEN date_trunc('day', ts) + INTERVAL 3 HOUR
-      END::TIMESTAMP AS time,
+    CASE WHEN event_type = 'view' THEN date_trunc('day', ts) + INTERVAL 3 HOUR ELSE date_trunc('hour', ts) END::TIMESTAMP AS time,
     value, CASE WHEN event_type = 'view' THEN event_id END AS extra
-  FROM events WHERE event_type IN ('click', 'view'))""")
+  FROM events)""")
 def bundle_stack(spark, sf):
     e = table(spark, sf, "events").withColumn(
         "granule", F.concat("event_type", F.date_format("ts", "yyyyMMdd"))
     )
-    clicks = e.where("event_type = 'click'").select("granule", F.hour("ts").cast("double").alias("time_raw"), "value")
+    # Members with their own epochs, and members without a time of their own.
+    clicks = e.where("event_type <> 'view'").select("granule", F.hour("ts").cast("double").alias("time_raw"), "value")
     views = e.where("event_type = 'view'").select(
         "granule", F.lit(None).cast("double").alias("time_raw"), "value", F.col("event_id").alias("extra")
     )
     day = F.date_format(F.min("ts"), "yyyy-MM-dd")
-    attrs = e.where("event_type IN ('click', 'view')").groupBy("granule", "event_type").agg(
-        F.when(F.col("event_type") == "click", F.concat(F.lit("hours since "), day)).alias("units"),
+    attrs = e.groupBy("granule", "event_type").agg(
+        F.when(F.col("event_type") != "view", F.concat(F.lit("hours since "), day)).alias("units"),
         F.lit("standard").alias("calendar"),
         F.when(F.col("event_type") == "view", day).alias("begin_date"),
         F.lit("03:00:00Z").alias("begin_clock"),
@@ -338,9 +338,10 @@ def integer_widening(spark, sf):
     return gr.widen_integers(g, DIMS)
 
 
-@query("crs_tag", "PRJ-9", sql=f"SELECT time, lat, lon, v_sum FROM {DUCK.grid_events()}")
+@query("crs_tag", "PRJ-9", sql=f"SELECT time, lat, lon, v_sum, 'EPSG:3857' AS tag FROM {DUCK.grid_events()}")
 def crs_tag(spark, sf):
-    return gr.tag_crs(grid_events(spark, sf).select("time", "lat", "lon", "v_sum"), "EPSG:3857", DIMS)
+    tagged = gr.tag_crs(grid_events(spark, sf).select("time", "lat", "lon", "v_sum"), "EPSG:3857", DIMS)
+    return tagged.withColumn("tag", F.lit(tagged.schema["v_sum"].metadata.get("crs")))
 
 
 # -- statistics ---------------------------------------------------------------------------------
@@ -426,8 +427,8 @@ def align_right(spark, sf):
     return al.align(_pair(spark, sf), DIMS, "right")[0]
 
 
-@query("align_override", "JOIN-1", "JOIN-2", sql=f"""WITH a AS (SELECT * FROM {DUCK.grid_events("event_type = 'click'")}),
-    b AS (SELECT time, lat, lon, n FROM {DUCK.grid_events("event_type = 'view'")}),
+@query("align_override", "JOIN-1", "JOIN-2", sql=f"""WITH a AS (SELECT * FROM {DUCK.grid_events()}),
+    b AS (SELECT time, lat, lon, v_sum AS n FROM {DUCK.grid_events()}),
     lats AS (SELECT DISTINCT lat FROM {DUCK.grid_events()}), lons AS (SELECT DISTINCT lon FROM {DUCK.grid_events()}),
     days AS (SELECT DISTINCT CAST(date_trunc('day', time) AS TIMESTAMP) AS time FROM {DUCK.grid_events()}),
     da AS (SELECT CAST(date_trunc('day', time) AS TIMESTAMP) AS time, lat, lon, sum(n) AS n FROM a GROUP BY ALL),
@@ -438,13 +439,12 @@ def align_right(spark, sf):
   LEFT JOIN db ON db.time = days.time AND db.lat = lats.lat AND db.lon = lons.lon""")
 def align_override(spark, sf):
     # The second grid's labels are shifted by half a cell; override puts them back by position.
-    def daily(kind: str, name: str) -> DataFrame:
-        g = view(spark, sf, SPARK.grid_events(f"event_type = '{kind}'"))
+    def daily(measure: str, name: str) -> DataFrame:
         day = F.date_trunc("DAY", "time").cast("timestamp_ntz").alias("time")
-        return g.groupBy(day, "lat", "lon").agg(F.sum("n").alias(name))
+        return grid_events(spark, sf).groupBy(day, "lat", "lon").agg(F.sum(measure).alias(name))
 
-    shifted = daily("view", "n_view").withColumns({"lat": F.col("lat") + 15, "lon": F.col("lon") + 22.5})
-    return al.align([daily("click", "n_click"), shifted], DIMS, "override")[0]
+    shifted = daily("v_sum", "n_view").withColumns({"lat": F.col("lat") + 15, "lon": F.col("lon") + 22.5})
+    return al.align([daily("n", "n_click"), shifted], DIMS, "override")[0]
 
 
 @query("align_snapped", "JOIN-1", "PRJ-6", sql=f"""WITH a AS (SELECT * FROM {DUCK.grid_a()}), b AS (SELECT * FROM {DUCK.grid_b()}),
@@ -493,10 +493,11 @@ def merge_groups(spark, sf):
 
 
 @query("axis_index", "SET-2", sql=f"""SELECT time, row_number() OVER (ORDER BY time) - 1 AS idx FROM (
-  SELECT time FROM {DUCK.readings()} WHERE variable = 'click' UNION SELECT time FROM {DUCK.readings()} WHERE variable = 'view')""")
+  SELECT time FROM {DUCK.readings()} UNION SELECT time + INTERVAL 1 SECOND FROM {DUCK.readings()})""")
 def axis_index(spark, sf):
     r = view(spark, sf, SPARK.readings())
-    both = r.where("variable = 'click'").select("time").union(r.where("variable = 'view'").select("time")).distinct()
+    later = r.select(F.timestamp_add("SECOND", F.lit(1), F.col("time")).alias("time"))
+    both = r.select("time").union(later).distinct()
     return ax.index_axis(both, "time")
 
 

@@ -33,12 +33,12 @@ def ancestry_of_handles(spark, sf):
     return ln.ancestry(view(spark, sf, SPARK.edges()), view(spark, sf, _handles(SPARK)))
 
 
-_RESULTS = "(SELECT 'obs_' || user_id AS target, 'a' AS ws, 'dataset_' || (user_id % 20) AS source, user_id AS id FROM {events} WHERE event_type = 'click')"
+_RESULTS = "(SELECT 'obs_' || user_id AS target, 'a' AS ws, 'dataset_' || (user_id % 20) AS source, user_id AS id FROM {events})"
 
 
 @query("provenance_view", "LIN-14", "WIN-4", "LIN-1", sql=f"""WITH h AS (SELECT DISTINCT ws, handle FROM {DUCK.events_log()})
   SELECT ws, handle, 'ancestor' AS part, ancestor, 1 AS depth, NULL AS event_type, CAST(NULL AS TIMESTAMP) AS created_at, NULL AS id FROM (
-    SELECT DISTINCT h.ws, h.handle, 'dataset_' || (user_id % 20) AS ancestor FROM events JOIN h ON h.handle = 'obs_' || user_id AND h.ws = 'a' WHERE event_type = 'click')
+    SELECT DISTINCT h.ws, h.handle, 'dataset_' || (user_id % 20) AS ancestor FROM events JOIN h ON h.handle = 'obs_' || user_id AND h.ws = 'a')
   UNION ALL SELECT ws, handle, 'event', NULL, NULL, event_type, created_at, id FROM {DUCK.events_log()}""")
 def provenance_view(spark, sf):
     log = view(spark, sf, SPARK.events_log())
