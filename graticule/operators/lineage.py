@@ -160,19 +160,30 @@ def split_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def derived_edges(results: DataFrame) -> DataFrame:
-    """One edge per source of every derived result.
+    """One edge per source of every derived result, with ``accepted`` by :func:`spec_has_url`.
 
-    ``results``: ``ws, target, sources ARRAY<STRING>, operation, parameters STRING (JSON),
-    created_at``. The spec names operation, sources and parameters, never a path.
+    ``results``: ``ws, target, sources ARRAY<STRING>, operation, parameters MAP<STRING, STRING>,
+    output_format, created_at``. The spec is flat: operation and parameters, then workspace,
+    result, format and content key, which no parameter can replace; never a path.
     """
+    fixed = ("operation", "workspace_id", "cube_handle", "output_format", "cache_key")
+    own = F.map_filter(
+        F.coalesce("parameters", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*fixed)
+    )
+    entry = lambda name, value: F.create_map(F.lit(name), value)
+    key = transform_key(F.col("operation"), F.col("sources"), F.col("parameters"))
     spec = F.to_json(
-        F.struct(
-            F.col("operation").alias("operation"), F.col("parameters").alias("parameters"),
-            F.col("sources").alias("source_handles"), F.col("target").alias("result"),
-        )
+        F.map_concat(
+            entry("operation", F.col("operation")), F.map_from_entries(F.array_sort(F.map_entries(own))),
+            entry("workspace_id", F.col("ws")), entry("cube_handle", F.col("target")),
+            entry("output_format", F.col("output_format")), entry("cache_key", key),
+        ),
+        {"ignoreNullFields": "false"},
     )
-    return results.select(
-        "ws", "target", F.explode("sources").alias("source"), spec.alias("spec"), "created_at"
+    edges = results.withColumn("spec", spec)
+    return edges.select(
+        "ws", "target", F.explode("sources").alias("source"), "spec", "created_at",
+        (~spec_has_url(F.col("spec"))).alias("accepted"),
     )
 
 

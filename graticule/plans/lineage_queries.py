@@ -54,17 +54,22 @@ def edge_acceptance(spark, sf):
     return good.select("id", F.lit(True).alias("accepted")).unionByName(bad.select("id", F.lit(False).alias("accepted")))
 
 
-@query("derived_edges", "LIN-3", sql="""SELECT 'cube_' || o_orderkey AS target, unnest(['obs_' || o_custkey, 'obs_x' || (o_orderkey % 9)]) AS source,
-  '{"operation":"resample","parameters":"freq=' || (o_orderkey % 3) || '","source_handles":["obs_' || o_custkey || '","obs_x' || (o_orderkey % 9) || '"],"result":"cube_' || o_orderkey || '"}' AS spec FROM orders""")
+@query("derived_edges", "LIN-3", "LIN-2", "LIN-6", sql="""WITH r AS (SELECT o_orderkey, 'cube_' || o_orderkey AS target, 'obs_' || o_custkey AS s0, 'obs_x' || (o_orderkey % 9) AS s1,
+    CASE WHEN o_orderkey % 6 = 0 THEN '"https://h.example/' || o_orderkey || '"' WHEN o_orderkey % 6 = 1 THEN 'null' ELSE '"a=b"' END AS origin FROM orders),
+  k AS (SELECT *, substr(sha256('{"operation":"resample","parameters":[{"key":"freq","value":"' || (o_orderkey % 3) || 'h"},{"key":"origin","value":' || origin || '}],"sources":["' || s0 || '","' || s1 || '"]}'), 1, 24) AS key FROM r)
+  SELECT target, unnest([s0, s1]) AS source, o_orderkey % 6 > 0 AS accepted, '{"operation":"resample","freq":"' || (o_orderkey % 3) || 'h","origin":' || origin
+    || ',"workspace_id":"a","cube_handle":"' || target || '","output_format":"application/netcdf4","cache_key":"' || key || '"}' AS spec FROM k""")
 def derived_edges(spark, sf):
     k = F.col("o_orderkey")
+    origin = F.when(k % 6 == 0, F.concat(F.lit("https://h.example/"), k.cast("string"))).when(k % 6 > 1, "a=b")
     results = table(spark, sf, "orders").select(
         F.lit("a").alias("ws"), F.concat(F.lit("cube_"), k.cast("string")).alias("target"),
         F.array(F.concat(F.lit("obs_"), F.col("o_custkey").cast("string")), F.concat(F.lit("obs_x"), (k % 9).cast("string"))).alias("sources"),
-        F.lit("resample").alias("operation"), F.concat(F.lit("freq="), (k % 3).cast("string")).alias("parameters"),
-        F.col("o_orderdate").alias("created_at"),
+        F.lit("resample").alias("operation"),
+        F.create_map(F.lit("origin"), origin, F.lit("freq"), F.concat((k % 3).cast("string"), F.lit("h"))).alias("parameters"),
+        F.lit("application/netcdf4").alias("output_format"), F.col("o_orderdate").alias("created_at"),
     )
-    return ln.derived_edges(results).select("target", "source", "spec")
+    return ln.derived_edges(results).select("target", "source", "spec", "accepted")
 
 
 @query("event_acceptance", "LIN-4", sql=f"SELECT id, event_type, coalesce(detail, '{{}}') AS detail, event_type <> 'deleted' AS accepted FROM {DUCK.events_log()}")
