@@ -22,6 +22,7 @@ FIXED_MICROS = {
 END_MONTHS = {"ME": 1, "QE": 3, "YE": 12}
 START_MONTHS = {"MS": 1, "QS": 3, "YS": 12}
 # Last day of a week alias, as Spark's dayofweek (Sunday = 1).
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 WEEK_ENDS = {"SUN": 1, "MON": 2, "TUE": 3, "WED": 4, "THU": 5, "FRI": 6, "SAT": 7}
 
 _DAY = 86_400_000_000
@@ -35,6 +36,9 @@ class Frequency:
     micros: int = 0
     months: int = 0
     week_end: int = 1
+    #: Months of one period without a multiple, and the month (0 to 11) that a period begins in.
+    natural: int = 1
+    anchor: int = 0
 
 
 def parse_frequency(alias: str) -> Frequency:
@@ -45,51 +49,60 @@ def parse_frequency(alias: str) -> Frequency:
         if count > 0:
             if unit in FIXED_MICROS and anchor is None:
                 return Frequency("fixed", micros=count * FIXED_MICROS[unit])
-            if unit == "W" and count == 1 and (anchor or "SUN") in WEEK_ENDS:
-                return Frequency("week", micros=7 * _DAY, week_end=WEEK_ENDS[anchor or "SUN"])
-            if unit in END_MONTHS and anchor is None:
-                return Frequency("month_end", months=count * END_MONTHS[unit])
-            if unit in START_MONTHS and anchor is None:
-                return Frequency("month_start", months=count * START_MONTHS[unit])
+            if unit == "W" and (anchor or "SUN") in WEEK_ENDS:
+                return Frequency("week", micros=count * 7 * _DAY, week_end=WEEK_ENDS[anchor or "SUN"])
+            for kind, table in (("month_end", END_MONTHS), ("month_start", START_MONTHS)):
+                if unit in table and (anchor is None or (anchor in MONTHS and table[unit] > 1)):
+                    natural = table[unit]
+                    # An end alias names the last month of a period, a start alias the first.
+                    month = MONTHS.index(anchor) + (kind == "month_end") if anchor else 0
+                    return Frequency(kind, months=count * natural, natural=natural, anchor=month % natural)
     raise ValueError(
         f"time_freq {alias!r} is not a known frequency alias. Try one of: 'D' (daily), "
         "'h' (hourly), 'ME' (month-end)"
     )
 
 
-def _unit_months(freq: Frequency) -> int:
-    """Months in one natural period of the alias, without its multiple."""
-    return next((m for m in (12, 3, 1) if freq.months % m == 0), 1)
-
-
 def bin_label(time: Column, freq: Frequency, first: Column | None = None) -> Column:
     """Label of the bin ``time`` falls into.
 
     Days and shorter: bins open at midnight of the first day (``first``), closed left,
     labelled by their start. Month, quarter and year ends and weeks: labelled by their last
-    day at midnight, and a time on that day still belongs to it. ``first`` may be omitted
+    day at midnight, and a time on that day still belongs to it. Quarters and years may be
+    anchored to a month (``QS-DEC`` are the seasons), weeks to a day. ``first`` may be omitted
     when bins cannot depend on it.
     """
     if freq.kind == "fixed":
         origin = micros(F.to_date(first).cast("timestamp_ntz")) if first is not None else F.lit(0)
         return from_micros(micros(time) - F.pmod(micros(time) - origin, F.lit(freq.micros)))
     if freq.kind == "week":
-        ahead = F.pmod(F.lit(freq.week_end) - F.dayofweek(time), F.lit(7))
-        return F.date_add(F.to_date(time), ahead.cast("int")).cast("timestamp_ntz")
+        def last_day(t: Column) -> Column:
+            ahead = F.pmod(F.lit(freq.week_end) - F.dayofweek(t), F.lit(7))
+            return F.date_add(F.to_date(t), ahead.cast("int"))
+
+        weeks = freq.micros // (7 * _DAY)
+        if weeks == 1:
+            return last_day(time).cast("timestamp_ntz")
+        # Several weeks: bins are counted from the week of the first time.
+        apart = F.date_diff(last_day(time), last_day(first))
+        more = F.pmod(-apart, F.lit(7 * weeks))
+        return F.date_add(last_day(time), more.cast("int")).cast("timestamp_ntz")
     month = F.year(time) * 12 + F.month(time) - 1
     start = F.lit(0)
-    natural = _unit_months(freq)
+    natural = freq.natural
     if freq.kind == "month_end":
         if first is not None:
             base = F.year(first) * 12 + F.month(first) - 1
-            start = base - F.pmod(base, F.lit(natural)) + (natural - 1)
+            start = base - F.pmod(base - freq.anchor, F.lit(natural)) + (natural - 1)
         else:
-            start = F.lit(natural - 1)
+            start = F.lit(freq.anchor + natural - 1)
         target = month + F.pmod(start - month, F.lit(freq.months))
         return F.last_day(_month_start(target)).cast("timestamp_ntz")
     if first is not None:
         base = F.year(first) * 12 + F.month(first) - 1
-        start = base - F.pmod(base, F.lit(natural))
+        start = base - F.pmod(base - freq.anchor, F.lit(natural))
+    else:
+        start = F.lit(freq.anchor)
     return _month_start(month - F.pmod(month - start, F.lit(freq.months))).cast("timestamp_ntz")
 
 
@@ -100,7 +113,9 @@ def _month_start(month: Column) -> Column:
 def _needs_first(freq: Frequency) -> bool:
     if freq.kind == "fixed":
         return _DAY % freq.micros != 0
-    return freq.kind != "week" and freq.months != _unit_months(freq)
+    if freq.kind == "week":
+        return freq.micros != 7 * _DAY
+    return freq.months != freq.natural
 
 
 def _all_labels(low: Column, high: Column, freq: Frequency) -> Column:

@@ -102,6 +102,13 @@ def resample_quarter_start_bins(spark, sf):
     return rs.resample_time(view(spark, sf, _order_grid(SPARK)), "QS", ["v_sum"], CELL, fill_gaps=False)
 
 
+@query("resample_seasons", "AGG-3", sql=_gap_filled(
+    _order_grid(DUCK), "CAST(date_trunc('quarter', time + INTERVAL 1 MONTH) - INTERVAL 1 MONTH AS TIMESTAMP)",
+    """SELECT unnest(generate_series(CAST(date_trunc('quarter', min(time) + INTERVAL 1 MONTH) - INTERVAL 1 MONTH AS TIMESTAMP), max(time), INTERVAL 3 MONTH)) AS b FROM g"""))
+def resample_seasons(spark, sf):
+    return rs.resample_time(view(spark, sf, _order_grid(SPARK)), "QS-DEC", ["v_sum"], CELL)
+
+
 _COARSE = f"""WITH g AS (SELECT * FROM {DUCK.grid_events()}),
   la AS (SELECT lat_idx // 4 AS lat_idx, avg(lat) AS lat FROM (SELECT DISTINCT lat_idx, lat FROM g)
          WHERE lat_idx < ((SELECT max(lat_idx) + 1 FROM g) // 4) * 4 GROUP BY 1),

@@ -253,3 +253,17 @@ def test_align_takes_whole_rows_or_refuses(spark):
     twice = a.withColumn("time", F.lit(t).cast("timestamp_ntz"))
     with pytest.raises(Exception, match="more than once"):
         al.align([twice, b], ["time", "lat"])[0].collect()
+
+
+@pytest.mark.parametrize("alias", ["QS-DEC", "QE-DEC", "QE-JAN", "QS-FEB", "YE-JUN", "YS-OCT", "2QS-FEB", "3ME", "2W", "3W-WED", "2YS", "W-FRI"])
+def test_calendar_aliases_equal_pandas(spark, alias):
+    rng = np.random.default_rng(17)
+    start = pd.Timestamp("2018-02-11 05:00")
+    times = [start + pd.Timedelta(hours=int(h)) for h in np.unique(rng.integers(0, 24 * 365 * 4, 300))]
+    values = rng.integers(0, 99, len(times)).astype(float)
+    want = pd.Series(values, index=pd.DatetimeIndex(times)).resample(alias).mean()
+    grid = spark.createDataFrame([(t.to_pydatetime(), 1, float(v)) for t, v in zip(times, values, strict=True)], "time TIMESTAMP_NTZ, cell INT, v DOUBLE")
+    got = {r["time"]: r["v"] for r in rs.resample_time(grid, alias, ["v"], ["cell"]).collect()}
+    assert sorted(got) == [t.to_pydatetime() for t in want.index]
+    for t, v in want.items():
+        assert (got[t.to_pydatetime()] is None) == bool(np.isnan(v)) and (np.isnan(v) or got[t.to_pydatetime()] == pytest.approx(v))
