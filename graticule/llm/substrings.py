@@ -206,7 +206,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shared = stored(anchors.join(several.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "shared")
     drop_stored(anchors)
     needs = stored(_needs(_candidates(named, shared)), "needs")
-    phrases = stored(_phrases(named, needs), "phrases")
+    phrases = _phrases(named, needs)
     lists = (needs.join(phrases, ["source", "piece"]).groupBy("doc_id")
              .agg(F.collect_set(F.struct("source", "phrase")).alias("phrases")))
 
