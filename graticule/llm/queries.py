@@ -74,6 +74,30 @@ QUERIES: dict[str, Runner] = {
     )
 }
 
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)"""
+#: The secret rules for SQL: kind, pattern, and what a match must satisfy.
+_SECRETS = (
+    ("assign", _ASSIGN, f"length(regexp_extract(m[i], '{_ASSIGN.replace(chr(39), chr(39) * 2)}', 1)) >= 8"),
+    ("access", r"AKIA[A-Z0-9]{12,}", "true"),
+    ("hex", r"[0-9a-f]{32,}", "true"),
+    ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "true"),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
+    ("provider_token", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", "true"),
+)
+
+
+def _secret_spans() -> str:
+    """Places by the lengths of what stands between matches and of the matches themselves."""
+    parts = []
+    for rank, (kind, pattern, passes) in enumerate(_SECRETS):
+        quoted = pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, length(m[i]) AS size,
+            list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+          FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (
+            SELECT doc_id, regexp_extract_all(t, '{quoted}') AS m, regexp_split_to_array(t, '{quoted}') AS g FROM d)) WHERE {passes}""")
+    return " UNION ALL ".join(parts)
+
+
 #: SQL that gives the same rows, where SQL can express them.
 ORACLES: dict[str, str] = {
     "op10_substring_dedup": r"""
@@ -97,4 +121,17 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)
     """,
+    "op8_secret_scan": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        s AS ({_secret_spans()}),
+        a AS (
+            SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                   string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT), ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+                   string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT), ',' ORDER BY start, rank) AS spans
+            FROM s GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN a USING (doc_id)
+    """,
 }
