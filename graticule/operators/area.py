@@ -107,7 +107,7 @@ def contains_join(queries: DataFrame, names: DataFrame, parts: str, text: str) -
         .where(F.forall("_parts", lambda p: F.contains(F.col("_text"), p)))
         .select("_key", *[F.col(c).alias(f"match_{c}") for c in names.columns])
     )
-    return cut_lineage(keyed.join(hits, "_key").drop("_key", "_parts"), "matches")
+    return keyed.join(hits, "_key").drop("_key", "_parts")
 
 
 def _coarsest(matches: DataFrame) -> DataFrame:
@@ -150,7 +150,8 @@ def match_watershed_names(locations: DataFrame, watersheds: DataFrame) -> DataFr
     none makes it ``none``.
     """
     names = locations.select("text").distinct()
-    whole = _coarsest(_phase_matches(names, watersheds, F.array(F.lower("text"))))
+    # One row per name is written, not the pairs behind it; the second phase needs it again.
+    whole = cut_lineage(_coarsest(_phase_matches(names, watersheds, F.array(F.lower("text")))), "whole")
     single = whole.where(F.col("n") == 1).select(
         "text", F.col("level").alias("wl"), F.col("hit").alias("wh")
     )

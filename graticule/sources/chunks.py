@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graticule.session import is_small
-
 
 def _cell_index(dim: int, ndim: int) -> Column:
     """Index along ``dim`` of the value at row-major position ``pos`` in its chunk."""
@@ -26,26 +24,31 @@ def flatten_chunks(
     per variable.
 
     ``chunks``: ``source_id, variable, chunk_origin, shape, values``; ``axes``:
-    ``source_id, axis, idx, value``. The chunk explode runs where the chunk is read; one
-    shuffle on the cell key brings variables together.
+    ``source_id, axis, idx, value``. Variables are brought together as whole arrays, by the
+    place of their chunks, and exploded side by side. Only where a place lacks one of the
+    variables are single cells shuffled, because the others may be chunked another way there.
     """
-    keys = ["source_id"] + [f"{d}_idx" for d in dims]
-    cells = (
-        chunks.where(F.col("variable").isin(variables))
-        .select("source_id", "variable", "chunk_origin", "shape", F.posexplode("values").alias("pos", "v"))
-        .select(
-            "source_id", "variable",
-            *[_cell_index(i, len(dims)).alias(f"{d}_idx") for i, d in enumerate(dims)],
-            "v",
-        )
-    )
-    wide = cells.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("variable") == v, F.col("v"))).alias(v) for v in variables]
+    place = ["source_id", "chunk_origin", "shape"]
+    arrays = chunks.where(F.col("variable").isin(variables)).groupBy(*place).agg(
+        *[F.max(F.when(F.col("variable") == v, F.col("values"))).alias(f"_v{i}") for i, v in enumerate(variables)]
     )
-    small = is_small(axes)
+    columns = [F.col(f"_v{i}") for i in range(len(variables))]
+    whole = reduce(lambda a, b: a & b, [c.isNotNull() for c in columns])
+
+    def cells(of: DataFrame) -> DataFrame:
+        return of.select(*place, F.posexplode(F.arrays_zip(*columns)).alias("pos", "x")).select(
+            "source_id", *[_cell_index(i, len(dims)).alias(f"{d}_idx") for i, d in enumerate(dims)],
+            *[F.col(f"x._v{i}").alias(v) for i, v in enumerate(variables)],
+        )
+
+    keys = ["source_id"] + [f"{d}_idx" for d in dims]
+    partly = arrays.where(~whole).select(
+        *place, *[F.coalesce(c, F.array().cast(arrays.schema[f"_v{i}"].dataType)).alias(f"_v{i}") for i, c in enumerate(columns)])
+    merged = cells(partly).groupBy(*keys).agg(*[F.max(v).alias(v) for v in variables])
+    wide = cells(arrays.where(whole)).unionByName(merged)
     for d in dims:
         side = axes.where(F.col("axis") == d).select(
             "source_id", F.col("idx").cast("long").alias(f"{d}_idx"), F.col("value").alias(d)
         )
-        wide = wide.join(F.broadcast(side) if small else side, ["source_id", f"{d}_idx"], "left")
+        wide = wide.join(side, ["source_id", f"{d}_idx"], "left")
     return wide

@@ -267,3 +267,30 @@ def test_calendar_aliases_equal_pandas(spark, alias):
     assert sorted(got) == [t.to_pydatetime() for t in want.index]
     for t, v in want.items():
         assert (got[t.to_pydatetime()] is None) == bool(np.isnan(v)) and (np.isnan(v) or got[t.to_pydatetime()] == pytest.approx(v))
+
+
+def test_chunks_of_several_layouts(spark):
+    """Two variables share chunks, one is cut another way, one source lacks a variable."""
+    from graticule.sources.chunks import flatten_chunks
+
+    rng = np.random.default_rng(3)
+    chunks, want = [], {}
+    for source, layouts in ((1, {"a": (2, 3), "b": (2, 3), "c": (4, 2)}), (2, {"a": (4, 6), "b": (3, 5)})):
+        for name, (h, w) in layouts.items():
+            grid = rng.integers(0, 99, (4, 6)).astype(float)
+            for i in range(4):
+                for j in range(6):
+                    want.setdefault((source, i, j), {})[name] = grid[i, j]
+            for i in range(0, 4, h):
+                for j in range(0, 6, w):
+                    block = grid[i : i + h, j : j + w]
+                    chunks.append((source, name, [i, j], list(block.shape), block.ravel().tolist()))
+    axes = [(s, d, i, 10.0 * i + s) for s in (1, 2) for d, n in (("y", 4), ("x", 6)) for i in range(n)]
+    got = flatten_chunks(
+        spark.createDataFrame(chunks, "source_id BIGINT, variable STRING, chunk_origin ARRAY<INT>, shape ARRAY<INT>, values ARRAY<DOUBLE>"),
+        spark.createDataFrame(axes, "source_id BIGINT, axis STRING, idx INT, value DOUBLE"), ["y", "x"], ["a", "b", "c"]).collect()
+    assert len(got) == len(want)
+    for r in got:
+        cell = want[r["source_id"], r["y_idx"], r["x_idx"]]
+        assert [r[v] for v in "abc"] == [cell.get(v) for v in "abc"]
+        assert (r["y"], r["x"]) == (10.0 * r["y_idx"] + r["source_id"], 10.0 * r["x_idx"] + r["source_id"])
