@@ -189,11 +189,13 @@ def ambiguous_candidates(locations: DataFrame, watersheds: DataFrame) -> DataFra
 
 
 def resolve_locations(locations: DataFrame, region_keys: DataFrame, watersheds: DataFrame) -> DataFrame:
-    """``id, text`` → ``id, source, status, w, s, e, n``.
+    """``id, text`` → ``id, text, source, status, w, s, e, n, geojson``.
 
     Sources in order of trial: ``geojson``, ``bbox``, ``point``, ``watershed`` (by code or
     name), ``region``. Status is ``ok``, a parse error of the box, ``no_coordinates``,
-    ``not_found`` (a code), ``ambiguous``, or ``unresolved`` for a name nothing knows.
+    ``not_found`` (a code), ``ambiguous``, or ``unresolved`` for a name nothing knows. The
+    geometry is the text itself for ``geojson``, a point for ``point``, that of the watershed
+    if ``watersheds`` has a ``geojson`` column, and null where only a box is known.
 
     One pass over the locations with equi-joins; only distinct free names go through the
     substring match.
@@ -209,19 +211,22 @@ def resolve_locations(locations: DataFrame, region_keys: DataFrame, watersheds:
     typed = keyed.withColumn("_kind", kind).withColumn(
         "_code", F.when(F.col("_kind") == "watershed_code", loc.watershed_code(text))
     )
+    shape = F.col("geojson") if "geojson" in watersheds.columns else F.lit(None).cast("string")
     by_code = watersheds.select(
-        F.col("code").alias("_code"),
+        F.col("code").alias("_code"), shape.alias("_shape"),
         F.struct(*[F.col(x).cast("double").alias(x) for x in ("w", "s", "e", "n")]).alias("_by_code"),
     )
     free = typed.where(F.col("_kind") == "name").select("text")
     by_name = match_watershed_names(free, watersheds).select(
-        "text", F.col("status").alias("_name_status"),
+        "text", F.col("status").alias("_name_status"), F.col("code").alias("_name_code"),
         F.when(
             F.col("status") == "ok",
             F.struct(*[F.col(x).cast("double").alias(x) for x in ("w", "s", "e", "n")]),
         ).alias("_by_name"),
     )
-    joined = typed.join(by_code, "_code", "left").join(by_name, "text", "left")
+    # A name found by its words is a code as well, so both kinds meet the watersheds once.
+    named = typed.join(by_name, "text", "left").withColumn("_code", F.coalesce("_code", "_name_code"))
+    joined = named.join(by_code, "_code", "left")
     parsed = joined.withColumn("_bbox", F.when(F.col("_kind") == "bbox", loc.parse_bbox(text)))
     found = (
         F.when(F.col("_kind") == "geojson", loc.bbox_from_geojson(text))
@@ -245,4 +250,8 @@ def resolve_locations(locations: DataFrame, region_keys: DataFrame, watersheds:
         F.when(F.col("_kind").isin("watershed_code", "name"), "watershed")
         .otherwise(F.col("_kind")).alias("source"),
         status.alias("status"), "_box.w", "_box.s", "_box.e", "_box.n",
+        F.when(F.col("_box").isNull(), F.lit(None).cast("string"))
+        .when(F.col("_kind") == "geojson", text)
+        .when(F.col("_kind") == "point", loc.point_geojson(F.col("_box.w"), F.col("_box.s")))
+        .otherwise(F.col("_shape")).alias("geojson"),
     )

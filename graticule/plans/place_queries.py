@@ -160,7 +160,14 @@ def location_resolution(spark, sf):
     keys = lk.region_keys(lk.region_entries(spark))
     return ar.resolve_locations(
         view(spark, sf, SPARK.locations()), keys, view(spark, sf, SPARK.watersheds())
-    ).drop("text")
+    ).drop("text", "geojson")
+
+
+@query("location_geometry", "SCL-4", "SCL-2", sql=f"""SELECT id, CASE WHEN id % 8 = 7 THEN text WHEN id % 8 = 2 AND text <> 'Denver, CO' THEN
+    '{{"type":"Point","coordinates":[' || {_NUM(1)} || ',' || {_NUM(2)} || ']}}' END AS geojson FROM {DUCK.locations()}""")
+def location_geometry(spark, sf):
+    keys = lk.region_keys(lk.region_entries(spark))
+    return ar.resolve_locations(view(spark, sf, SPARK.locations()), keys, view(spark, sf, SPARK.watersheds())).select("id", "geojson")
 
 
 # -- coverage ------------------------------------------------------------------------------------
