@@ -88,8 +88,7 @@ def disclosures(docs: DataFrame, *, threshold: float = DISCLOSURE, support: int
     pairs = stored(pairs, "pairs")
     n_entity = seen.groupBy("entity").agg(F.count_distinct("at").alias("n_e"))
     words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    measured = pairs.join(n_entity, "entity").join(words, "term").crossJoin(F.broadcast(total))
+    measured = pairs.join(n_entity, "entity").join(words, "term").withColumn("n", docs.agg(F.count(F.lit(1))).scalar())
     ratio = F.log(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n") / F.col("n_e"))
     return measured.filter("n_e < n").select("entity", "term", ratio.alias("disclosure")).filter(F.col("disclosure") >= threshold)
 

@@ -114,3 +114,10 @@ def test_added_rules(spark):
     rows = [(1, f"x {key} ghp_{'a1' * 18} eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "en")]
     spans = secrets.secrets(table(spark, rows))[0].head().spans
     assert f"private_key:2:{2 + len(key)}" in spans and "provider_token:" in spans and "web_token:" in spans
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"u{i}@h{i}.example" for i in range(3000))
+    got = pii.personal_data(table(spark, [(1, text, "en")])).head()
+    counts, digest = expected(text, PII)
+    assert (got.n_email, got.base_sha256) == (3000, digest) and counts[0] == 3000
