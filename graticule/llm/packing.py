@@ -74,7 +74,14 @@ def _ids(tokenizer_path: str) -> Callable[[str], np.ndarray]:
 
     special = {t["content"]: t["id"] for t in plan["added_tokens"]}
     encoder = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: encoder.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return encoder.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        except ValueError:  # its pattern runs out of stack on a million white-space characters
+            return np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    return encode
 
 
 def _encoded(texts: pa.Array, tokenizer_path: str) -> Iterator[bytes]:

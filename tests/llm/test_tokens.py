@@ -136,3 +136,9 @@ def test_other_vocabularies_use_the_library():
     assert packing._byte_ranks(plan) is not None
     assert packing._byte_ranks({**plan, "normalizer": {"type": "Lowercase"}}) is None
     assert packing._byte_ranks(json.loads(open(public_tokenizers.path("word_bpe_49k.json")).read())) is None
+
+
+def test_very_long_white_space_is_packed(spark, bpe_library):
+    texts = {1: "a" + " " * 2_000_000 + "b", 2: "\n" * 1_100_000, 3: "an ordinary text"}
+    found = packing.pack(table(spark, [(i, t, "en") for i, t in texts.items()]), BPE).collect()
+    check_packing(found, texts, bpe_library, 2048)
