@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from graticule.llm import decontaminate, packing, pii, quality_knn, simhash
+from graticule.llm import decontaminate, near_copies, packing, pii, quality_knn
 from graticule.llm.tables import reach_workers, stored
 from graticule.llm.textblocks import blocks
 
@@ -32,8 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each group that pairs of five-word similarity 0.8 or more make: the smallest id."""
+    return near_copies.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

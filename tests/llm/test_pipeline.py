@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import pytest
@@ -99,3 +100,28 @@ def test_no_documents(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "An item. Its answer.")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_dedup_stage_removes_planted_near_copies(spark):
+    rng = random.Random(5)
+    texts, wanted = {}, set()
+    for i in range(60):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 400))]
+        copy = list(base)
+        least = rng.uniform(0.8, 0.95)
+        while True:
+            more = list(copy)
+            more[rng.randrange(len(more))] = f"edit{rng.randint(0, 10**6)}"
+            if jaccard(" ".join(base), " ".join(more)) < least:
+                break
+            copy = more
+        far = [w if rng.random() > 0.06 else f"far{rng.randint(0, 10**6)}" for w in base]
+        texts |= {10 * i: " ".join(base), 10 * i + 1: " ".join(copy).upper(), 10 * i + 2: " ".join(far)}
+        wanted |= {10 * i} | ({10 * i + 2} if max(jaccard(texts[10 * i + 2], texts[10 * i + k]) for k in (0, 1)) < 0.8 else set())
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert rows(cp.near_duplicates(spark, frame, SF)) == {i: texts[i] for i in wanted} and len(wanted) > 100
