@@ -175,13 +175,13 @@ def leaks_in(text: str, index: Index, threshold: float = THRESHOLD, least: float
         item, item_text = index.items[k]
         question, answer = question_and_answer(item_text)
         room = len(question) + len(answer)
-        best = (-1.0, 0.0, 0.0)
+        best = (-1.0, -1.0, 0.0, 0.0)
         for start in sorted({p[0] for p in places}):
             near = words[max(0, start - room) : start + 2 * SEGMENT + room]
             q, a = overlap(question, near), overlap(answer, near)
-            best = max(best, (min(q, a), q, a))
+            best = max(best, (max(min(q, a), overlap(question + answer, near)), min(q, a), q, a))
         if best[0] >= least:
-            out.append((item, max(score for _, score in places), best[1], best[2]))
+            out.append((item, max(score for _, score in places), *best[2:]))
     return out
 
 
@@ -221,8 +221,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
     A row means that a passage of the text reaches ``threshold`` of a segment's own BM25 score
     and that at least ``least`` of the five-word shingles of the item's question and of its
-    answer (its last sentence; shorter parts count as one shingle) stand around the passage. Case
-    and punctuation do not matter. An item without words is never found; null texts, null ids of
+    answer (its last sentence; shorter parts count as one shingle), or of the item as a whole,
+    stand around the passage. Case and punctuation do not matter. An item without words is never found; null texts, null ids of
     items and empty tables find nothing. A null document id stays null, and repeated rows of
     documents or items each count. Other columns are not read.
 

@@ -188,6 +188,24 @@ def test_shards_find_what_one_index_finds(spark, monkeypatch):
     assert whole == parts and len(whole) == len(items)
 
 
+def test_edited_copies_and_copies_without_the_last_sentence_are_leaks(spark):
+    rng = random.Random(7)
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    filler = lambda n: [b"plain%d" % rng.randint(0, 500) for _ in range(n)]
+    rows, want = [], set()
+    for item, text in items:
+        whole = decontaminate.words_of(text)
+        at = rng.randrange(len(whole))
+        for held in (whole[:at] + [b"edited"] + whole[at + 1 :], decontaminate.question_and_answer(text)[0]):
+            rows.append((len(rows), b" ".join(filler(rng.randint(0, 90)) + held + filler(rng.randint(0, 90))).decode(), "en"))
+            if decontaminate.overlap(whole, held) >= 0.8:
+                want.add((len(rows) - 1, item))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.question_overlap, r.answer_overlap) for r in decontaminate.decontaminate(table(spark, rows), bench).collect()}
+    assert want <= set(got) and len(want) > 150 and any(min(got[x]) < 0.8 for x in want)
+    assert not {i for i, _ in want} & {r.doc_id for r in decontaminate.clean(table(spark, rows), bench).collect()}
+
+
 # -- urls --------------------------------------------------------------------------------------
 
 
