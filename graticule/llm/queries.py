@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.llm import decontaminate, packing, pii, quality_knn, quality_rules, secrets, simhash, substrings, token_counts, url_rules
+from graticule.llm import alignment, bpe_transducer, collocations, decontaminate, packing, pii, quality_knn, quality_rules, secrets, simhash, substrings, token_counts, url_rules
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    decoded = bpe_transducer.decode(bpe_transducer.encode(_table(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Runner] = {
     f.__name__: f for f in (
         op1_token_counts,
@@ -71,6 +86,9 @@ QUERIES: dict[str, Runner] = {
         op8_secret_scan,
         op9_url_rules,
         op10_substring_dedup,
+        op11_cross_tokenizer_alignment,
+        op12_phrase_collocations,
+        op13_byte_level_bpe,
     )
 }
 
@@ -121,6 +139,35 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)
     """,
+    "op12_phrase_collocations": r"""
+        WITH piece AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t
+            FROM documents
+        ), w AS (
+            SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM piece
+        ), f AS (
+            SELECT lang, g, len(g) AS k, count(*) AS f
+            FROM (SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) AS g FROM w)
+            GROUP BY lang, g HAVING count(*) >= 100
+        ), total AS (
+            SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+        ), inside AS (
+            SELECT lang, g, max(f) AS widest
+            FROM (SELECT lang, g[1:k - 1] AS g, f FROM f WHERE k > 2 UNION ALL SELECT lang, g[2:k] AS g, f FROM f WHERE k > 2)
+            GROUP BY lang, g
+        ), cut AS (
+            SELECT f.lang, f.g, f.f AS a, unnest(range(1, f.k)) AS k
+            FROM f LEFT JOIN inside USING (lang, g) WHERE f.k > 1 AND (widest IS NULL OR 100 * widest < 100 * f.f)
+        ), scored AS (
+            SELECT cut.lang, cut.g, cut.k, a, x.f AS l, y.f AS r, n, CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+            FROM cut JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1:cut.k] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[cut.k + 1:] JOIN total ON total.lang = cut.lang
+        ), best AS (
+            SELECT *, array_to_string(g, ' ') AS phrase FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM best QUALIFY rank <= 2000
+    """,
     "op8_secret_scan": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         s AS ({_secret_spans()}),
