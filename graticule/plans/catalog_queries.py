@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graticule.operators import bulk_search as bulk
 from graticule.operators import catalog as cat
 from graticule.operators import stats as st
 from graticule.plans import fixtures as fx
@@ -248,6 +249,23 @@ def collection_search(spark, sf):
     return found.select("concept_id", "short_name", "entry_title")
 
 
+@query("catalog_search_bulk", "FLT-4", sql=f"""WITH q AS (SELECT *, string_split(trim(regexp_replace(lower(keyword), '\\s+', ' ', 'g')), ' ') AS words,
+      least(coalesce("limit", 10), 50) AS most FROM {DUCK.catalog_searches()})
+  SELECT search_id, rank, concept_id, short_name, entry_title FROM (
+    SELECT q.search_id, q.most, c.concept_id, c.short_name, c.entry_title, row_number() OVER (PARTITION BY q.search_id ORDER BY c.concept_id) AS rank
+    FROM q JOIN {DUCK.collections()} c
+      ON (q.keyword IS NULL OR len(list_filter(q.words, lambda x: NOT contains(lower(c.short_name || ' ' || c.entry_title || ' ' || c.abstract), x))) = 0)
+      AND (q.concept_id IS NULL OR q.concept_id = c.concept_id) AND (q.short_name IS NULL OR q.short_name = c.short_name)
+      AND (q.provider IS NULL OR q.provider = c.provider_id) AND (q.levels IS NULL OR list_contains(q.levels, c.processing_level))
+      AND (q.has_granules IS NULL OR q.has_granules = c.has_granules)
+      AND (q.t1 IS NULL OR c.time_start <= q.t1) AND (q.t0 IS NULL OR c.time_end >= q.t0)
+      AND (q.w IS NULL OR (c.s <= q.n AND c.n >= q.s AND CASE WHEN q.w <= q.e THEN c.w <= q.e AND c.e >= q.w
+        ELSE (c.w <= 180 AND c.e >= q.w) OR (c.w <= q.e AND c.e >= -180) END)))
+  WHERE rank <= most""")
+def catalog_search_bulk(spark, sf):
+    return bulk.search_catalog(view(spark, sf, SPARK.collections()), view(spark, sf, SPARK.catalog_searches()))
+
+
 @query("associated_variables", "JOIN-4", sql=f"""SELECT collection_id, concept_id, pos, name FROM {DUCK.variables()} WHERE k0 % 4 <> 3""")
 def associated_variables(spark, sf):
     c, v = catalog_tables(spark, sf)

@@ -185,6 +185,44 @@ class Views:
             {self.plus_days(start, f'({k} * 29) % 2200 + CASE WHEN {k} % 10 = 0 THEN 900 WHEN {k} % 10 = 1 THEN 0 ELSE 400 END')} AS t1
           FROM {self.t('supplier')})"""
 
+    def catalog_searches(self) -> str:
+        """One search per part: by words, by a piece of a word, by names, by level, by time and place; many ask the same."""
+        k = "p_partkey"
+        none = lambda kind: f"CAST(NULL AS {kind})"
+        start = "TIMESTAMP '1995-01-01'" if self.duck else "TIMESTAMP_NTZ '1995-01-01'"
+        text = "VARCHAR" if self.duck else "STRING"
+        stamp = "TIMESTAMP" if self.duck else "TIMESTAMP_NTZ"
+        two = lambda a, b: f"['{a}', '{b}']" if self.duck else f"array('{a}', '{b}')"
+        return f"""(SELECT {k} AS search_id,
+            CASE {k} % 7 WHEN 0 THEN 'Daily ' || lower(substr(p_type, 1, 2)) WHEN 1 THEN '  fields  BUILDing Daily' WHEN 2 THEN '#0000' || ({k} % 300)
+              WHEN 3 THEN 'daily' WHEN 4 THEN 'sn' || ({k} % 97) || ' household' END AS keyword,
+            CASE WHEN {k} % 70 = 5 THEN 'C' || ({k} % 400) END AS concept_id,
+            CASE WHEN {k} % 14 = 6 THEN 'SN' || ({k} % 97) END AS short_name,
+            CASE WHEN {k} % 3 = 0 THEN 'PROV' || ({k} % 6) END AS provider,
+            CASE WHEN {k} % 4 = 1 THEN {two('2', '4')} WHEN {k} % 4 = 2 THEN {two('1B', '1B')} END AS levels,
+            CASE WHEN {k} % 5 = 1 THEN {k} % 2 = 0 END AS has_granules,
+            CASE WHEN {k} % 6 = 2 THEN {self.plus_days(start, f'{k} % 900')} ELSE {none(stamp)} END AS t0,
+            CASE WHEN {k} % 6 = 2 THEN {self.plus_days(start, f'{k} % 900 + 90')} WHEN {k} % 6 = 3 THEN {self.plus_days(start, f'{k} % 700')} ELSE {none(stamp)} END AS t1,
+            CASE WHEN {k} % 8 = 5 THEN CAST(150 + {k} % 30 AS DOUBLE) WHEN {k} % 8 = 7 THEN CAST(-170 + {k} % 300 AS DOUBLE) END AS w,
+            CASE WHEN {k} % 8 IN (5, 7) THEN CAST(-85 + {k} % 150 AS DOUBLE) END AS s,
+            CASE WHEN {k} % 8 = 5 THEN CAST(-179 + {k} % 20 AS DOUBLE) WHEN {k} % 8 = 7 THEN CAST(-168 + {k} % 300 AS DOUBLE) END AS e,
+            CASE WHEN {k} % 8 IN (5, 7) THEN CAST(-80 + {k} % 150 AS DOUBLE) END AS n,
+            CASE WHEN {k} % 11 = 3 THEN 70 WHEN {k} % 11 = 4 THEN 3 END AS "limit", CAST(NULL AS {text}) AS colour
+          FROM {self.t('part')})""".replace('"limit"', '"limit"' if self.duck else "`limit`")
+
+    def granule_searches(self) -> str:
+        """One granule search per supplier: the areas of interest, some open, with filters and an order of their own."""
+        k = "request_id"
+        return f"""(SELECT request_id, collection_id,
+            CASE WHEN {k} % 4 <> 1 THEN t0 END AS t0, CASE WHEN {k} % 4 <> 1 THEN t1 END AS t1,
+            CASE WHEN {k} % 6 <> 2 THEN w END AS w, CASE WHEN {k} % 6 <> 2 THEN s END AS s, CASE WHEN {k} % 6 <> 2 THEN e END AS e, CASE WHEN {k} % 6 <> 2 THEN n END AS n,
+            CASE WHEN {k} % 5 = 0 THEN CAST(10 AS DOUBLE) END AS cloud_min, CASE WHEN {k} % 5 < 2 THEN CAST(80 AS DOUBLE) END AS cloud_max,
+            CASE {k} % 7 WHEN 0 THEN 'Day' WHEN 1 THEN 'night' END AS day_night_flag,
+            CASE {k} % 8 WHEN 0 THEN 'cloud_cover' WHEN 1 THEN '-cloud_cover' WHEN 2 THEN '-time_start' WHEN 3 THEN 'size_mb' WHEN 4 THEN '-size_mb'
+              WHEN 5 THEN '-granule_ur' WHEN 6 THEN 'colour' END AS sort_key,
+            CASE WHEN {k} % 9 = 0 THEN 60 WHEN {k} % 9 = 1 THEN 4 END AS "limit"
+          FROM {self.aois()})""".replace('"limit"', '"limit"' if self.duck else "`limit`")
+
     def requests(self) -> str:
         k = "o_orderkey"
         needs = ", ".join(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -592,6 +594,42 @@ def result_file_choice(spark, sf):
     return fl.pick_result_files(manifest)
 
 
+# Files of a task: a listing, the results (three kinds of header), and for some a second result file.
+_RESULT_FILES = {
+    "granule-list.csv": ("true", "'name,size'", "'g' || event_id || ',1'"),
+    "Site-Results.CSV": ("user_id % 5 <> 4",
+        "CASE user_id % 3 WHEN 0 THEN 'ID,Date,ndvi' WHEN 1 THEN 'Date,\"QA, flags\",ID' ELSE 'ID,ndvi,lst,ndvi' END",
+        "CASE user_id % 3 WHEN 0 THEN event_id || ',' || CAST(CAST(ts AS DATE) AS {text}) || ',' || CAST(round(value) AS BIGINT)"
+        " WHEN 1 THEN CAST(CAST(ts AS DATE) AS {text}) || ',\"' || event_type || ', ok\",' || event_id"
+        " ELSE event_id || ',,' || CAST(CAST(round(value * 4) AS BIGINT) AS DOUBLE) / 4 || ',7' END"),
+    "more-results.csv": ("user_id % 2 = 0", "'other'", "'x'"),
+}
+
+
+@query("result_files_bulk", "SRC-6", "SRC-7", sql="""SELECT user_id AS task_id, event_id AS id, CASE WHEN user_id % 3 < 2 THEN CAST(ts AS DATE) END AS date,
+    CASE WHEN user_id % 3 = 1 THEN event_type || ', ok' END AS flags, CASE WHEN user_id % 3 = 0 THEN CAST(round(value) AS BIGINT) END AS ndvi,
+    CASE WHEN user_id % 3 = 2 THEN CAST(CAST(round(value * 4) AS BIGINT) AS DOUBLE) / 4 END AS lst
+  FROM events WHERE user_id % 5 <> 4""")
+def result_files_bulk(spark, sf):
+    """Result files of all users, written as their own tool would, then brought into one table by their manifest."""
+    table(spark, sf, "events").createOrReplaceTempView("events")
+    root = scratch_path(spark, "result-files")
+    lines = reduce(DataFrame.unionByName, [
+        spark.sql(f"""SELECT user_id AS task_id, '{name}' AS file, -1 AS line, {header} AS value FROM (SELECT DISTINCT user_id FROM events) WHERE {where}
+            UNION ALL SELECT user_id, '{name}', event_id, {row.format(text='STRING')} FROM events WHERE {where}""")
+        for name, (where, header, row) in _RESULT_FILES.items()])
+    spread = lines.repartition("task_id", "file").sortWithinPartitions("task_id", "file", "line").drop("line")
+    spread.write.partitionBy("task_id", "file").text(root)
+    path = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("_metadata.file_path").alias("path"))
+    name = F.regexp_extract("path", "file=([^/]+)/", 1)
+    manifest = path.select(
+        F.regexp_extract("path", "task_id=([0-9]+)/", 1).cast("long").alias("task_id"), F.when(name == "granule-list.csv", 0).when(name == "Site-Results.CSV", 1).otherwise(2).alias("pos"),
+        name.alias("file_id"), name.alias("file_name"), F.lit("CSV").alias("file_type"), "path",
+    ).where((F.col("task_id") % 5 != 4) | (F.col("pos") == 0))
+    found = fl.result_files_to_parquet(spark, manifest, root, scratch_path(spark, "result-table"))
+    return found.select("task_id", F.col("ID").alias("id"), F.col("Date").alias("date"), F.col("QA, flags").alias("flags"), "ndvi", "lst")
+
+
 _FORMATS = [" CSV", "parquet", "application/netcdf4", "ZARR", "geotiff", "application/Parquet "]
 
 

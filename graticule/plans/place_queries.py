@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graticule.functions import location as loc
 from graticule.operators import area as ar
+from graticule.operators import bulk_search as bulk
 from graticule.operators import coverage as cov
 from graticule.plans.fixtures import DUCK, SPARK, table, view
 from graticule.plans.registry import query
@@ -266,3 +267,21 @@ def granule_search(spark, sf):
         view(spark, sf, SPARK.granules()), "C7", temporal=("1996-01-01", "2000-01-01"), bbox=(150.0, -70.0, -120.0, 70.0),
         cloud_cover=(None, 90.0), day_night_flag="day", sort_key="-time_start", limit=25,
     ).select("granule_ur", "time_start", "cloud_cover")
+
+
+@query("granule_search_bulk", "FLT-5", sql=f"""SELECT request_id, rank, granule_ur, collection_id, time_start, cloud_cover, size_mb FROM (
+    SELECT q.request_id, least(coalesce(q."limit", 10), 50) AS most, g.granule_ur, g.collection_id, g.time_start, g.cloud_cover, round(g.size_mb, 9) AS size_mb,
+      row_number() OVER (PARTITION BY q.request_id ORDER BY
+        CASE WHEN q.sort_key = 'cloud_cover' THEN g.cloud_cover WHEN q.sort_key = '-cloud_cover' THEN -g.cloud_cover
+          WHEN q.sort_key = 'size_mb' THEN g.size_mb WHEN q.sort_key = '-size_mb' THEN -g.size_mb
+          WHEN q.sort_key = '-time_start' THEN -epoch(g.time_start) END,
+        CASE WHEN q.sort_key = '-granule_ur' THEN g.granule_ur END DESC, g.time_start, g.granule_ur) AS rank
+    FROM {DUCK.granule_searches()} q JOIN {DUCK.granules()} g ON g.collection_id = q.collection_id
+      AND (q.t1 IS NULL OR g.time_start <= q.t1) AND (q.t0 IS NULL OR g.time_end >= q.t0)
+      AND (q.w IS NULL OR (g.s <= q.n AND g.n >= q.s AND {_lon_meets('q', 'g')}))
+      AND (q.cloud_min IS NULL OR g.cloud_cover >= q.cloud_min) AND (q.cloud_max IS NULL OR g.cloud_cover <= q.cloud_max)
+      AND (q.day_night_flag IS NULL OR lower(g.day_night_flag) = lower(q.day_night_flag)))
+  WHERE rank <= most""")
+def granule_search_bulk(spark, sf):
+    found = bulk.search_granules_in_bulk(view(spark, sf, SPARK.granules()), view(spark, sf, SPARK.granule_searches()))
+    return found.select("request_id", "rank", "granule_ur", "collection_id", "time_start", "cloud_cover", F.round("size_mb", 9).alias("size_mb"))

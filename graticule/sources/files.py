@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graticule.functions.temporal import decode_cf_time, synthesize_time
 from graticule.functions.text import FORMAT_ALIASES
+from graticule.session import cut_lineage
 
 #: Media types written here; grid containers are left to their own libraries.
 _WRITERS = {"application/x-parquet": "parquet", "text/csv": "csv"}
@@ -150,3 +151,65 @@ def stack_granules(members: list[DataFrame], attrs: DataFrame) -> DataFrame:
     )
     kept = [c for c in stacked.columns if c not in ("granule", "time_raw")]
     return stacked.join(attrs, "granule", "left").select("granule", time.alias("time"), *kept)
+
+
+# -- result files in bulk ------------------------------------------------------------------
+
+#: Types that a column of a result file may have, narrowest first; anything else is text.
+_INFERRED = ("bigint", "double", "boolean", "date", "timestamp_ntz")
+
+
+def _inferred_types(rows: DataFrame, names: list[str]) -> dict[str, str]:
+    """The narrowest type that takes all values of each column, found in one pass."""
+    if not names:
+        return {}
+    fits = rows.agg(*[
+        F.bool_and(F.col(f"_{i}").isNull() | F.col(f"_{i}").try_cast(kind).isNotNull()).alias(f"{i}_{kind}")
+        for i in range(len(names)) for kind in _INFERRED
+    ]).head()
+    filled = rows.agg(*[F.count(f"_{i}").alias(str(i)) for i in range(len(names))]).head()
+    kind = lambda i: next((k for k in _INFERRED if fits[f"{i}_{k}"]), "string") if filled[str(i)] else "string"
+    return {name: kind(i) for i, name in enumerate(names)}
+
+
+def result_files_to_parquet(spark: SparkSession, manifest: DataFrame, root: str, parquet_path: str) -> DataFrame:
+    """The result file of every task of a manifest → one Parquet table: ``task_id`` and all columns.
+
+    ``manifest``: ``task_id, pos, file_id, file_name, file_type`` as in ``pick_result_files``, and
+    ``path`` as Spark names it in ``_metadata.file_path``; the files lie somewhere under ``root``.
+    All are read in one scan and meet their task by path, so no list of paths is on the driver.
+    Headers may differ: columns are united by name, in alphabetical order, a column
+    that a file lacks is null there, and of equal names in one header the first counts. Types are
+    inferred over all tasks; empty fields are null, empty lines are left out, and quoted fields do
+    not reach over lines. Rows of a task stand together, in their order. Tasks without a result
+    file have no row; ``pick_result_files`` tells them.
+    """
+    chosen = pick_result_files(manifest).where("status = 'ok'").select("task_id", "file_id")
+    paths = manifest.join(chosen, ["task_id", "file_id"]).select("task_id", F.col("path").alias("_path"))
+    scan = spark.read.option("recursiveFileLookup", True).text(root)
+    lines = scan.where(F.trim("value") != "").select(
+        F.regexp_replace("value", "^﻿", "").alias("line"), F.col("_metadata.file_path").alias("_path"),
+        (F.col("_metadata.file_block_start") == 0).alias("_front"), F.monotonically_increasing_id().alias("_at"))
+    held = cut_lineage(lines.join(paths, "_path").drop("_path"), "result_lines")
+    first = held.where("_front").groupBy("task_id").agg(F.min("_at").alias("_first"), F.min_by("line", "_at").alias("_header"))
+    width = first.agg(F.max(F.length("_header") - F.length(F.replace("_header", F.lit(","), F.lit(""))))).head()[0]
+    fields = ", ".join(f"c{i} string" for i in range((width or 0) + 1))
+
+    def cut(line: str) -> Column:
+        parsed = F.from_csv(line, fields)
+        return F.array(*[F.trim(parsed[f"c{i}"]) for i in range((width or 0) + 1)])
+
+    headers = cut_lineage(first.select("task_id", "_first", F.filter(cut("_header"), lambda c: F.length(c) > 0).alias("_names")), "result_headers")
+    names = sorted(r[0] for r in headers.select(F.explode("_names")).distinct().collect())  # these are the table's columns
+    rows = held.join(headers, "task_id").where("_at > _first").withColumn("_fields", cut("line"))
+
+    def value(name: str) -> Column:
+        at = F.array_position("_names", F.lit(name)).cast("int")
+        return F.nullif(F.when(at > 0, F.try_element_at("_fields", at)), F.lit(""))
+
+    wide = cut_lineage(rows.select("task_id", "_at", *[value(n).alias(f"_{i}") for i, n in enumerate(names)]), "result_rows")
+    types = _inferred_types(wide, names)
+    typed = wide.select("task_id", "_at", *[F.col(f"_{i}").try_cast(types[n]).alias(n) for i, n in enumerate(names)])
+    ordered = typed.repartitionByRange("task_id", "_at").sortWithinPartitions("task_id", "_at").drop("_at")
+    ordered.write.parquet(parquet_path)
+    return spark.read.schema(ordered.schema).parquet(parquet_path)
