@@ -89,6 +89,13 @@ class Views:
             CAST(round(value * 100) AS BIGINT) AS stored, event_type AS variable
           FROM {self.t('events')})"""
 
+    def wide_grid(self) -> str:
+        """Half-degree cells of the whole globe by day: one for each part, supplier and ship date."""
+        return f"""(SELECT CAST(l_shipdate AS {'TIMESTAMP' if self.duck else 'TIMESTAMP_NTZ'}) AS time, lat_idx, lon_idx,
+            CAST(-89.75 + 0.5 * lat_idx AS DOUBLE) AS lat, CAST(-179.75 + 0.5 * lon_idx AS DOUBLE) AS lon, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS amount
+          FROM (SELECT l_shipdate, (l_suppkey * 7919 + l_orderkey * 31) % 360 AS lat_idx, (l_partkey * 104729 + l_orderkey * 17) % 720 AS lon_idx, l_quantity
+            FROM {self.t('lineitem')}) GROUP BY 1, 2, 3)"""
+
     # -- catalog ----------------------------------------------------------------------
 
     def collections(self) -> str:

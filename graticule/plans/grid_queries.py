@@ -15,6 +15,7 @@ from graticule.operators import grid as gr
 from graticule.operators import resample as rs
 from graticule.operators import sample as sm
 from graticule.operators import stats as st
+from graticule.operators import tiles as tl
 from graticule.plans.fixtures import DUCK, SPARK, table, view
 from graticule.plans.registry import query
 from graticule.session import scratch_path
@@ -537,6 +538,56 @@ def chunk_flatten(spark, sf):
     return ch.flatten_chunks(chunks, axis("lat", LAT_AXIS).union(axis("lon", LON_AXIS)), ["lat", "lon"], ["v_sum"])
 
 
+_WIDE = "time, lat_idx, lon_idx, lat, lon, amount"
+
+
+def tiled_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide grid, written by tile and year."""
+    path = scratch_path(spark, "tiled-grid")
+    tl.write_tiled(view(spark, sf, SPARK.wide_grid()), path)
+    return tl.read_tiled(spark, path)
+
+
+@query("tiled_subset", "FLT-1", "FLT-2", "FLT-3", sql=f"""SELECT {_WIDE} FROM {DUCK.wide_grid()}
+  WHERE lon BETWEEN -20.25 AND 61 AND lat BETWEEN -40 AND 12.75 AND time >= TIMESTAMP '1994-02-10' AND time < TIMESTAMP '1995-07-04'""")
+def tiled_subset(spark, sf):
+    return tl.subset_tiled(tiled_grid(spark, sf), (-20.25, -40, 61, 12.75), "1994-02-10/1995-07-03").select(*_WIDE.split(", "))
+
+
+_TILE_REQUESTS = """(SELECT request_id, w, s, CASE WHEN w <= e THEN e ELSE 180 END AS e, n,
+    CASE WHEN request_id % 4 <> 1 THEN t0 END AS t_low, CASE WHEN request_id % 4 <> 2 THEN t1 END AS t_high FROM {aois})"""
+
+
+@query("tiled_subset_by_requests", "FLT-6", sql=f"""SELECT request_id, {_WIDE} FROM {DUCK.wide_grid()} g JOIN {_TILE_REQUESTS.format(aois=DUCK.aois())} r
+  ON lon BETWEEN w AND e AND lat BETWEEN s AND n AND (t_low IS NULL OR time >= t_low) AND (t_high IS NULL OR time < t_high)""")
+def tiled_subset_by_requests(spark, sf):
+    found = tl.subset_tiled_by_requests(tiled_grid(spark, sf), view(spark, sf, _TILE_REQUESTS.format(aois=SPARK.aois())))
+    return found.select("request_id", *_WIDE.split(", "))
+
+
+def _wide_chunks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The wide grid by month as chunks of 20 rows and 40 columns, and its axes."""
+    g = view(spark, sf, SPARK.wide_grid()).select((F.year("time") * 12 + F.month("time")).cast("long").alias("source_id"), "lat_idx", "lon_idx", "amount")
+    g = g.groupBy("source_id", "lat_idx", "lon_idx").agg(F.sum("amount").alias("amount"))
+    place = ((F.col("lat_idx") % 20) * 40 + F.col("lon_idx") % 40).cast("int")
+    held = g.groupBy("source_id", F.floor(F.col("lat_idx") / 20).alias("by"), F.floor(F.col("lon_idx") / 40).alias("bx")).agg(F.map_from_entries(F.collect_list(F.struct(place, "amount"))).alias("m"))
+    chunks = held.select(
+        "source_id", F.lit("amount").alias("variable"), F.array((F.col("by") * 20).cast("int"), (F.col("bx") * 40).cast("int")).alias("chunk_origin"),
+        F.array(F.lit(20), F.lit(40)).alias("shape"), F.transform(F.sequence(F.lit(0), F.lit(799)), lambda i: F.try_element_at("m", i)).alias("values"))
+    ids = g.select("source_id").distinct()
+    axis = lambda name, first, n: ids.select(
+        "source_id", F.lit(name).alias("axis"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(first) + i * 0.5)).alias("idx", "value"))
+    return chunks, axis("lat", -89.75, 360).union(axis("lon", -179.75, 720))
+
+
+@query("chunk_subset", "SRC-9", "FLT-1", sql=f"""SELECT year(time) * 12 + month(time) AS source_id, lat_idx, lon_idx, lat, lon, CAST(sum(amount) AS BIGINT) AS amount
+  FROM {DUCK.wide_grid()} WHERE lat BETWEEN -12.25 AND 33 AND lon BETWEEN 100 AND 163.75 GROUP BY 1, 2, 3, 4, 5""")
+def chunk_subset(spark, sf):
+    chunks, axes = _wide_chunks(spark, sf)
+    cells = ch.flatten_chunks_within(chunks, axes, ["lat", "lon"], ["amount"], {"lat": (-12.25, 33.0), "lon": (100.0, 163.75)})
+    return cells.where("amount is not null").select("source_id", "lat_idx", "lon_idx", "lat", "lon", "amount")
+
+
 _NEAREST = """greatest(0, least({n} - 1, CAST(ceil(({x} - ({o})) / {s} - 0.5) AS BIGINT)))"""
 
 
