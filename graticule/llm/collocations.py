@@ -4,13 +4,15 @@ A shard is some documents as numbers of its own words, with a break between piec
 count phrases over all shards, each only what the one before leaves open: words; pairs of frequent
 words, from the index over the shard with a break for every other word; longer phrases, from the
 index over what frequent pairs leave. A phrase that occurs ``least`` times consists of phrases that
-do, so nothing is lost. Shards get back only what they asked about; nothing is broadcast, and each
-shard gives at most one row for each of its words and lengths.
+do, so nothing is lost. Phrases of all shards are summed in buckets of bounded size, to which a
+shard sends its own sorted and packed, and each shard gets back only what it has itself; nothing
+is broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,11 @@ from pyspark.sql import functions as F
 
 from graticule.llm.fm_index import enumerate_runs
 from graticule.llm.tables import reach_workers, stored
+from graticule.llm.textblocks import mix
 
 LEAST, LONGEST, TOP, WITHIN_PERCENT, NO_LANG = 100, 5, 2000, 100, "und"
-#: Bytes of text in a shard; results do not depend on it.
-SHARD_BYTES = 12 << 20
+#: Bytes of text in a shard; words of text for each bucket that phrases are summed in. Results do not depend on them.
+SHARD_BYTES, BUCKET_WORDS, LEAST_BUCKETS = 8 << 20, 1_000_000, 64
 
 _PARTS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\t", b"\n" * 10 + b" ")
 _WORD_SCHEMA = "shard long, symbols binary, lang string, word string, own int, count long"
@@ -101,7 +104,7 @@ def _shards(docs: DataFrame, lang_col: str, text_col: str, shard_bytes: int) ->
 def _symbols(shard: pa.Table, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """A shard's frequent words by rising number, 1 and more, with one break for what stands between them; and their global numbers."""
     symbols = np.frombuffer(shard.column("symbols")[0].as_py(), dtype="<i4").astype(np.int64)
-    words = told.filter(pc.is_null(told.column("second")))
+    words = told.filter(pc.is_valid(told.column("first")))
     own, known = words.column("first").to_numpy(), words.column("word").to_numpy()
     order = np.argsort(own)
     own, known = own[order], known[order]
@@ -111,44 +114,113 @@ def _symbols(shard: pa.Table, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return symbols[(symbols > 0) | np.concatenate(([False], symbols[:-1] > 0))], np.concatenate(([0], known))
 
 
-def _pairs(shard: pa.Table, told: pa.Table) -> pa.Table:
-    """Pairs of frequent words of a shard: own and global numbers, and counts."""
-    names = ["shard", "first", "second", "w1", "w2", "count"]
-    if not shard.num_rows:
-        return pa.table({n: pa.array([], pa.int64()) for n in names})
-    symbols, known = _symbols(shard, told)
-    runs = enumerate_runs(symbols, 2)[0]
-    number = shard.column("shard")[0].as_py()
-    first, second = runs.symbols[:, 0], runs.symbols[:, 1]
-    return pa.table({"shard": np.full(len(first), number), "first": first, "second": second, "w1": known[first], "w2": known[second], "count": runs.count})
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers, each as steps from one row to the next, by byte and packed."""
+    steps = np.concatenate([np.diff(c, prepend=0) for c in columns]).astype("<i8")
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
 
 
-def _longer(longest: int):
+def _unpacked(data: bytes, rows: int, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data, rows * columns * 8, codec="zstd", asbytes=True), dtype=np.uint8)
+    steps = np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel().reshape(columns, rows)
+    return list(np.cumsum(steps, axis=1))
+
+
+_PACKED_SCHEMA = "shard long, bucket int, size int, rows int, data binary"
+
+
+def _packed_rows(shard: int, words: np.ndarray, count: np.ndarray, buckets: int) -> list[tuple]:
+    """A shard's phrases of one length, by buckets that all shards share, each sorted and packed."""
+    size = words.shape[1]
+    spread = mix(words[:, 0].astype(np.uint64) * np.uint64(31) + words[:, 1].astype(np.uint64)) % np.uint64(buckets)
+    order = np.lexsort((*words.T[::-1], spread))
+    words, count, spread = words[order], count[order], spread[order]
+    edges = np.append(np.flatnonzero(np.diff(spread, prepend=np.uint64(buckets))), len(spread))
+    return [(shard, int(spread[i]), size, int(j - i), _packed([*words[i:j].T, count[i:j]])) for i, j in pairwise(edges.tolist())]
+
+
+def _packed_table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("shard", "bucket", "size", "rows", "data"), columns, types, strict=True)})
+
+
+def _pairs(buckets: int):
+    """Pairs of frequent words of a shard, by their global numbers."""
     def run(shard: pa.Table, told: pa.Table) -> pa.Table:
-        columns: list[list[np.ndarray]] = [[] for _ in range(longest + 1)]
-        if shard.num_rows:
+        if not shard.num_rows or not told.num_rows:
+            return _packed_table([])
+        symbols, known = _symbols(shard, told)
+        runs = enumerate_runs(symbols, 2)[0]
+        return _packed_table(_packed_rows(shard.column("shard")[0].as_py(), known[runs.symbols], runs.count, buckets))
+
+    return run
+
+
+def _longer(buckets: int, longest: int):
+    """Phrases of three and more words of a shard, within what its frequent pairs join."""
+    def run(shard: pa.Table, told: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if shard.num_rows and told.num_rows:
             symbols, known = _symbols(shard, told)
-            pairs = told.filter(pc.is_valid(told.column("second")))
+            back = np.argsort(known[1:])
+            frequent = np.zeros(0, dtype=np.int64)
             width = np.int64(len(known))
-            frequent = np.sort(pairs.column("first").to_numpy() * width + pairs.column("second").to_numpy())
-            here = symbols[:-1] * width + symbols[1:]
-            at = np.searchsorted(frequent, here)
+            for r, data in zip(told.column("rows").to_pylist(), told.column("pairs").to_pylist(), strict=True):
+                if data is not None:
+                    w1, w2 = (back[np.searchsorted(known[1:], w, sorter=back)] + 1 for w in _unpacked(data, r, 2))
+                    frequent = np.append(frequent, w1 * width + w2)
             joined = np.zeros(len(symbols), dtype=bool)
-            joined[:-1] = (at < len(frequent)) & (frequent[np.minimum(at, len(frequent) - 1)] == here) if len(frequent) else False
+            joined[:-1] = np.isin(symbols[:-1] * width + symbols[1:], frequent)
             # Each word that a frequent pair holds, and a break where the next pair is not one.
             kept = joined | np.concatenate(([False], joined[:-1]))
             symbols, ends = symbols[kept], ~joined[kept]
             spaced = np.insert(symbols, np.flatnonzero(ends) + 1, 0)
             for runs in enumerate_runs(spaced, longest)[1:]:
-                for i in range(longest):
-                    columns[i].append(known[runs.symbols[:, i]] if i < runs.symbols.shape[1] else np.full(len(runs.count), -1))
-                columns[longest].append(runs.count)
-        names = [f"w{i + 1}" for i in range(longest)] + ["count"]
-        return pa.table({n: np.concatenate([np.zeros(0, dtype=np.int64), *c]) for n, c in zip(names, columns, strict=True)})
+                rows += _packed_rows(shard.column("shard")[0].as_py(), known[runs.symbols], runs.count, buckets)
+        return _packed_table(rows)
 
     return run
 
 
+def _summed(least: int, longest: int, reply: bool):
+    """The frequent phrases of a bucket, and with ``reply`` for each shard those that it holds."""
+    def run(held: pa.Table) -> pa.Table:
+        ids, totals, replies = [], [], []
+        for size in range(2, longest + 1):
+            parts = held.filter(pc.equal(held.column("size"), size))
+            if not parts.num_rows:
+                continue
+            counts = parts.column("rows").to_pylist()
+            each = [_unpacked(d, r, size + 1) for r, d in zip(counts, parts.column("data").to_pylist(), strict=True)]
+            columns = [np.concatenate([e[i] for e in each]) for i in range(size + 1)]
+            order = np.lexsort(columns[:size][::-1])
+            new = np.zeros(len(order), dtype=bool)
+            for c in columns[:size]:
+                new |= np.diff(c[order], prepend=c[order[0]] - 1) != 0
+            f = np.add.reduceat(columns[size][order], np.flatnonzero(new))
+            often = f >= least
+            first = order[np.flatnonzero(new)][often]
+            ids += np.stack([c[first] for c in columns[:size]], axis=1).tolist()
+            totals += f[often].tolist()
+            if reply:
+                kept = np.zeros(len(order), dtype=bool)
+                kept[order] = often[np.cumsum(new) - 1]
+                for shard, (i, j) in zip(parts.column("shard").to_pylist(), pairwise([0, *accumulate(counts)]), strict=True):
+                    own = np.flatnonzero(kept[i:j]) + i
+                    if len(own):
+                        replies.append((shard, len(own), _packed([c[own] for c in columns[:size]])))
+        n, m = len(ids), len(replies)
+        shard, rows, data = zip(*replies, strict=True) if replies else ((), (), ())
+        return pa.table({"ids": pa.array([*ids, *[None] * m], pa.list_(pa.int64())), "f": pa.array([*totals, *[None] * m], pa.int64()),
+                         "shard": pa.array([*[None] * n, *shard], pa.int64()), "rows": pa.array([*[None] * n, *rows], pa.int32()), "pairs": pa.array([*[None] * n, *data], pa.binary())})
+
+    return run
+
+
+_SUMMED_SCHEMA = "ids array<long>, f long, shard long, rows int, pairs binary"
+
+
 def phrase_counts(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES, lang_col: str = "lang",
                   text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words ``id, lang, word, f`` and phrases ``ids, f`` of 2 and more that occur ``least`` times, and all words ``lang, n``.
@@ -161,17 +233,17 @@ def phrase_counts(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST
     totals = stored(own.groupBy("lang").agg(F.sum("count").alias("n")), "word_totals")
     # Numbers are given once, and stand in the stored table.
     words = stored(counted.filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "frequent_words")
-    told = stored(own.join(words.select("lang", "word", "id"), ["lang", "word"])
-                  .select(F.col("shard").alias("of_shard"), F.col("own").cast("long").alias("first"), F.lit(None).cast("long").alias("second"), F.col("id").alias("word")), "told_words")
+    told = stored(own.join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("shard").alias("of_shard"), F.col("own").alias("first"), F.col("id").alias("word")), "told_words")
+    total = int(totals.agg(F.sum("n")).head()[0] or 0)
+    buckets = max(LEAST_BUCKETS, total // BUCKET_WORDS)
     symbols = shards.filter("symbols is not null").select("shard", "symbols").groupBy("shard")
-    pairs = stored(symbols.cogroup(told.groupBy("of_shard")).applyInArrow(_pairs, "shard long, first long, second long, w1 long, w2 long, count long"), "pairs")
-    frequent = stored(pairs.groupBy("w1", "w2").agg(F.sum("count").alias("f")).filter(F.col("f") >= least), "frequent_pairs")
-    told_pairs = pairs.join(frequent, ["w1", "w2"]).select(F.col("shard").alias("of_shard"), "first", "second", F.lit(None).cast("long").alias("word"))
-    names = [f"w{i + 1}" for i in range(longest)]
-    more = (symbols.cogroup(told.unionByName(told_pairs).groupBy("of_shard"))
-            .applyInArrow(_longer(longest), ", ".join(f"{n} long" for n in [*names, "count"]))
-            .groupBy(*names).agg(F.sum("count").alias("f")).filter(F.col("f") >= least))
-    phrases = frequent.select(F.array("w1", "w2").alias("ids"), "f").union(more.select(F.filter(F.array(*names), lambda x: x >= 0).alias("ids"), "f"))
+    pairs = symbols.cogroup(told.groupBy("of_shard")).applyInArrow(_pairs(buckets), _PACKED_SCHEMA)
+    frequent = stored(pairs.groupBy("bucket").applyInArrow(_summed(least, 2, True), _SUMMED_SCHEMA), "frequent_pairs")
+    told_pairs = frequent.filter("pairs is not null").select(F.col("shard").alias("of_shard"), "rows", "pairs")
+    more = symbols.cogroup(told.unionByName(told_pairs, allowMissingColumns=True).groupBy("of_shard")).applyInArrow(_longer(buckets, longest), _PACKED_SCHEMA)
+    phrases = frequent.filter("f is not null").select("ids", "f")
+    if longest > 2:
+        phrases = phrases.union(more.groupBy("bucket").applyInArrow(_summed(least, longest, False), _SUMMED_SCHEMA).select("ids", "f"))
     return words, stored(phrases, "frequent_phrases"), totals
 
 

@@ -2,9 +2,12 @@
 
 SimHash prints of the sets find candidates by the multi-index method of ``simhash``, at a radius
 wide enough for that share; each candidate pair is then checked on the sets themselves. Texts of
-one set are one node. Pairs are looked for at rising radii, and at each only between nodes that
-verified pairs do not join yet, so a large group is not compared within itself at the wide one.
-Sets too different in size to be alike never meet: keys hold a class of sizes.
+one set are one node. Sets too different in size to be alike never meet: keys hold a class of sizes.
+
+A large group is not compared within itself. First every key has a few centres, more in each
+round, and the nodes that ask for the key meet only those: candidates are in proportion to the
+nodes. What verified pairs join is one root from then on. The last round compares all nodes of
+different roots that a key brings together, so no pair within the radius is left out.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from graticule.llm.tables import id_and_text, stored
 from graticule.llm.textblocks import blocks
 
 SIMILARITY, SHINGLE, SEED = 0.8, 5, 42
-#: Differing bits of the rounds, and segments of a print.
-RADII, SEGMENTS = (6, 10, 15), 8
+#: Differing bits, and segments of a print.
+RADIUS, SEGMENTS = 15, 8
+#: Centres of each key in the rounds before the last.
+CENTRES = (1, 4, 16)
 #: Nodes, about, in each bucket of the pairs that are checked together.
 BUCKET_NODES = 2000
 _CHUNK = 1 << 15
@@ -78,9 +83,14 @@ def _nodes(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFra
     return texts.mapInArrow(run, "doc_id long, blob long, node long, print long, size long")
 
 
-def candidates(nodes: DataFrame, *, radius: int, segments: int = SEGMENTS, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs ``a, b`` of ``node, print, size, root`` once each: within the radius, of sizes that allow
-    the similarity, and of different roots."""
+def candidates(nodes: DataFrame, *, radius: int = RADIUS, segments: int = SEGMENTS, similarity: float = SIMILARITY,
+               centres: int | None = None) -> DataFrame:
+    """Pairs ``a, b`` of ``node, print, size, root``: within the radius, of sizes that allow the
+    similarity, and of different roots.
+
+    With ``centres``, ``b`` is one of so many nodes of each key, and a pair may come again under
+    another key; without, all pairs come once each.
+    """
     plan = segment_plan(radius, segments)
     # A little wider than the share asks for, so rounding keeps sizes that allow it in neighbouring classes.
     size_class = F.floor(F.log("size") / F.lit(-np.log(similarity) * 1.0001 + 1e-9)).cast("long")
@@ -99,10 +109,14 @@ def candidates(nodes: DataFrame, *, radius: int, segments: int = SEGMENTS, simil
     query = held.select(F.col("node").alias("a"), F.col("print").alias("print_a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"), F.explode(asked).alias("key"))
     table = held.select(F.col("node").alias("b"), F.col("print").alias("print_b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"), F.explode(kept).alias("key_b"))
     bits = F.col("print_a").bitwiseXOR(F.col("print_b"))
-    first = F.coalesce(*[F.when(F.bit_count(part(bits, n)) <= ball, F.lit(n).cast("long")) for n, (_, _, ball) in enumerate(plan)])
+    near = (F.bit_count(bits) <= radius) & (F.col("root_a") != F.col("root_b")) & (F.least("size_a", "size_b") / F.greatest("size_a", "size_b") >= similarity)
+    if centres:
+        place = F.xxhash64("b", F.lit(centres))
+        chosen = table.groupBy("key_b", F.pmod(place, F.lit(centres)).alias("part")).agg(F.min_by(F.struct("b", "print_b", "size_b", "root_b"), place).alias("c"))
+        return query.join(chosen.select("key_b", "c.*"), (F.col("key") == F.col("key_b")) & near).select("a", "b")
     smaller = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
-    near = (F.bit_count(bits) <= radius) & (F.col("root_a") != F.col("root_b")) & smaller & (F.col("size_a") / F.col("size_b") >= similarity)
-    return query.join(table, (F.col("key") == F.col("key_b")) & near & (first == F.shiftright("key", 54))).select("a", "b")
+    first = F.coalesce(*[F.when(F.bit_count(part(bits, n)) <= ball, F.lit(n).cast("long")) for n, (_, _, ball) in enumerate(plan)])
+    return query.join(table, (F.col("key") == F.col("key_b")) & near & smaller & (first == F.shiftright("key", 54))).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, *, similarity: float, shingle: int) -> DataFrame:
@@ -128,21 +142,23 @@ def verified(pairs: DataFrame, texts: DataFrame, *, similarity: float, shingle:
     return placed.groupBy("block").cogroup(held.groupBy("of_block")).applyInArrow(check, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, radii: tuple[int, ...] = RADII,
+def one_of_each(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, centres: tuple[int, ...] = CENTRES,
                 segments: int = SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one of each group of near copies: the smallest id, then text hash.
 
     A group is what pairs of ``similarity`` or more reach. Words are lower-cased (A-Z) and parted
     at ASCII white space; shorter texts count as one shingle. Texts without words, null ones among
     them, are one group. Rows without an id stand after all others; of rows equal in id and text
-    one stays. A pair whose prints differ in more than the last radius is missed.
+    one stays. An empty table gives an empty one, and all columns are kept whatever their names.
+    A pair whose prints differ in more than the radius is missed; tests measure how many.
     """
     each = stored(_nodes(docs, shingle, id_col, text_col), "prints")
     nodes = stored(each.groupBy("node").agg(F.min("print").alias("print"), F.min("size").alias("size"), F.min("blob").alias("chosen_blob")), "nodes")
     texts = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).withColumn("own_blob", F.xxhash64("text"))
     rooted, links = nodes.withColumn("root", F.col("node")), None
-    for radius in radii:
-        pairs = stored(candidates(rooted, radius=radius, segments=segments, similarity=similarity), "candidates")
+    for many in (*centres, None):
+        pairs = candidates(rooted, radius=radius, segments=segments, similarity=similarity, centres=many)
+        pairs = stored(pairs.distinct() if many else pairs, "candidates")
         wanted = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").select("node", "chosen_blob")
         own = stored(texts.join(wanted, F.col("own_blob") == F.col("chosen_blob")).dropDuplicates(["node"]).select("node", "text"), "pair_texts")
         found = stored(verified(pairs, own, similarity=similarity, shingle=shingle), "verified")
