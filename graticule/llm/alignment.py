@@ -97,6 +97,7 @@ class Aligner:
     def __init__(self, byte_level_path: str, piece_path: str):
         self.encode_a, self.bytes_a = _byte_level(byte_level_path)
         self.encode_b, self.bytes_b = _pieces(piece_path)
+        self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
         # Plain tuples of numbers and strings cost the garbage collector nothing.
         self.memory = Memory(lambda texts: [x and tuple(x) for x in self.whole(texts)])
 
@@ -105,9 +106,8 @@ class Aligner:
         found: list[Aligned | None] = []
         for text, ids_a, ids_b in zip(texts, self.encode_a([" " + t for t in texts]), self.encode_b(texts), strict=True):
             data = b" " + text.encode()
-            parts_a, parts_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-            same = b"".join(parts_a) == data == b"".join(parts_b)
-            found.append(align_ids(ids_a, list(map(len, parts_a)), ids_b, list(map(len, parts_b))) if same else None)
+            same = b"".join([self.bytes_a[i] for i in ids_a]) == data == b"".join([self.bytes_b[i] for i in ids_b])
+            found.append(align_ids(ids_a, [self.size_a[i] for i in ids_a], ids_b, [self.size_b[i] for i in ids_b]) if same else None)
         return found
 
     def texts(self, held: list[str]) -> Iterator[Aligned | None]:

@@ -3,11 +3,12 @@
 The merges of a rank file decide which token may follow which: a row of tokens is the encoding of
 its bytes exactly if each two neighbours, merged by rank on their own, stay those two tokens. So
 each prefix of a text has one last token, and reading a byte only needs the tokens that end there.
-The transducer guesses, for every place in the bytes not yet given out, that a token may begin
-there; a state holds all guesses that some longer token can still meet. Where the ways back from
-all of them share a boundary, tokens up to it are certain and given out, and the state forgets
-them: it is the last token given out and the bytes after it, fewer than the longest token takes.
-States and moves are made when first met.
+The transducer guesses, at every place where some token can still begin, that one does: a guess is
+a node of the tree of tokens, the token before it, and the tokens since the last one given out. A
+state is the set of all guesses that the bytes leave open, so the machine is deterministic; tokens
+with which all of them begin are certain and given out, and the state forgets them. A guess is
+open for fewer bytes than the longest token has, so lookahead is bounded. States and moves are
+made when first met.
 
 Decoding looks tokens up in chunks and passes their bytes through a UTF-8 state machine, so a
 character that is cut by a chunk waits for the next one.
@@ -24,13 +25,12 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from graticule.llm.segments import Memory, segments, slices
 from graticule.llm.tables import id_and_text, reach_workers
 
 #: Moves and checked neighbours that a worker keeps before it begins anew; nothing but time depends on them.
-MOST_MOVES, MOST_NEIGHBOURS = 600_000, 600_000
+MOST_MOVES, MOST_NEIGHBOURS = 800_000, 500_000
 #: Ids that the decoder takes at once.
 CHUNK_IDS = 8192
 
@@ -53,6 +53,10 @@ def merged(data: bytes, ranks: dict[bytes, int], below: float = float("inf")) ->
     return parts
 
 
+#: A place where a token may begin: node of the tree of tokens reached since, rank of the token that ends there, ranks not yet given out.
+_Open = tuple[int, int, tuple[int, ...]]
+
+
 class Transducer:
     """Reads bytes of one piece of text and gives out ids as little-endian unsigned 32-bit integers."""
 
@@ -60,29 +64,28 @@ class Transducer:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the ranks lack single bytes; some texts could not be encoded")
         self.ranks = ranks
-        self.ids = {token: int(rank).to_bytes(4, "little") for token, rank in ranks.items()}
-        self.heads = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.neighbours: dict[tuple[bytes, bytes], bool] = {}
+        self.token = {rank: token for token, rank in ranks.items()}
+        self.none = max(self.token) + 1
+        # The tree of tokens: 256 times a node plus a byte gives the next node; nodes that are tokens have their rank.
+        self.tree: dict[int, int] = {}
+        self.ends: dict[int, int] = {}
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                node = self.tree.setdefault(node << 8 | byte, len(self.tree) + 1)
+            self.ends[node] = rank
+        self.inner = {edge >> 8 for edge in self.tree}
+        self.neighbours: dict[int, bool] = {}
         self.edges: dict[tuple[bytes, int], list[tuple[bytes, float]] | None] = {}
         self._begin()
 
     def _begin(self) -> None:
-        self.number: dict[tuple[bytes, bytes], int] = {}
-        #: Of each state: the last token given out, the bytes after it, where the token that ends at each
-        #: place begins, the boundaries on the way back from each place as bits, and the open places.
-        self.held: list[tuple[bytes, bytes, tuple[int, ...], tuple[int, ...], tuple[int, ...]]] = []
+        start: tuple[_Open, ...] = ((0, self.none, ()),)
+        self.number: dict[tuple[_Open, ...], int] = {start: 0}
+        #: Of each state its open places in order; the last is the end of what was read.
+        self.held: list[tuple[_Open, ...]] = [start]
         #: By 256 times the state plus the byte: the next state and the ids given out.
         self.moves: dict[int, tuple[int, bytes]] = {}
-        self.rest: list[bytes | None] = []
-        self._state(b"", b"", (0,), (1,), (0,))
-
-    def _state(self, last: bytes, waiting: bytes, begins: tuple[int, ...], ways: tuple[int, ...], opened: tuple[int, ...]) -> int:
-        found = self.number.get((last, waiting))
-        if found is None:
-            found = self.number[last, waiting] = len(self.held)
-            self.held.append((last, waiting, begins, ways, opened))
-            self.rest.append(None)
-        return found
 
     def _edge(self, token: bytes, side: int) -> list[tuple[bytes, float]] | None:
         """What lies at the left (0) or right (1) edge of a token while it is merged, from byte to token,
@@ -116,60 +119,51 @@ class Transducer:
                 return True
             i, j = (i + 1, j) if x_goes <= y_goes else (i, j + 1)
 
-    def _may_follow(self, left: bytes, right: bytes) -> bool:
-        if not left:
-            return self._edge(right, 0) is not None
-        known = self.neighbours.get((left, right))
-        if known is None:
-            if len(self.neighbours) >= MOST_NEIGHBOURS:
-                self.neighbours.clear()
-            known = self.neighbours[left, right] = self._stay_two(left, right)
+    def _may_follow(self, left: int, right: int) -> bool:
+        if len(self.neighbours) >= MOST_NEIGHBOURS:
+            self.neighbours.clear()
+        after = self.token[right]
+        known = self._edge(after, 0) is not None if left == self.none else self._stay_two(self.token[left], after)
+        self.neighbours[left << 32 | right] = known
         return known
 
-    def _ids(self, waiting: bytes, begins: tuple[int, ...], place: int) -> bytes:
-        """Ids of the tokens on the way to a place."""
-        found = []
-        while place:
-            found.append(self.ids[waiting[begins[place] : place]])
-            place = begins[place]
-        return b"".join(reversed(found))
-
     def _move(self, state: int, byte: int) -> tuple[int, bytes]:
-        last, waiting, begins, ways, opened = self.held[state]
-        waiting += bytes([byte])
-        end = len(waiting)
-        start, still = -1, []
-        for i in opened:
-            part = waiting[i:]
-            if start < 0 and part in self.ranks and self._may_follow(waiting[begins[i] : i] if i else last, part):
-                start = i  # no other token can end here
-            if part in self.heads:
-                still.append(i)
-        begins, ways = (*begins, start), (*ways, ways[start] | 1 << end)
-        shared = ways[end]
-        for i in still:
-            shared &= ways[i]
-        still.append(end)
-        certain = shared.bit_length() - 1
+        tree, ends, neighbours = self.tree, self.ends, self.neighbours
+        found, still = None, []
+        for node, left, way in self.held[state]:
+            node = tree.get(node << 8 | byte)
+            if node is None:
+                continue  # no token has these bytes
+            rank = ends.get(node)
+            if rank is not None and found is None:  # else another token ends here already, and only one can
+                known = neighbours.get(left << 32 | rank)
+                if self._may_follow(left, rank) if known is None else known:
+                    found = (0, rank, (*way, rank))
+            if node in self.inner:
+                still.append((node, left, way))
+        still.append(found)
         given = b""
-        if certain:
-            given = self._ids(waiting, begins, certain)
-            last, waiting = waiting[begins[certain] : certain], waiting[certain:]
-            begins = tuple([i - certain for i in begins[certain:]])
-            ways = tuple([way >> certain for way in ways[certain:]])
-            still = [i - certain for i in still]
-        return self._state(last, waiting, begins, ways, tuple(still)), given
-
-    def _rest(self, state: int) -> bytes:
-        _, waiting, begins, _, _ = self.held[state]
-        given = self.rest[state] = self._ids(waiting, begins, len(waiting))
-        return given
+        if all(way for _, _, way in still):
+            certain = 0
+            for same in zip(*[way for _, _, way in still], strict=False):
+                if same.count(same[0]) < len(same):
+                    break
+                certain += 1
+            if certain:
+                given = b"".join(rank.to_bytes(4, "little") for rank in still[0][2][:certain])
+                still = [(node, left, way[certain:]) for node, left, way in still]
+        key = tuple(still)
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.held)
+            self.held.append(key)
+        return to, given
 
     def encode(self, piece: bytes) -> bytes:
         """The ids of one piece; a piece that is a token itself is that token."""
-        whole = self.ids.get(piece)
+        whole = self.ranks.get(piece)
         if whole is not None:
-            return whole
+            return whole.to_bytes(4, "little")
         if len(self.moves) > MOST_MOVES:
             self._begin()
         moves, state, out = self.moves, 0, []
@@ -180,8 +174,7 @@ class Transducer:
             state, given = move
             if given:
                 out.append(given)
-        rest = self.rest[state]
-        out.append(self._rest(state) if rest is None else rest)
+        out += [rank.to_bytes(4, "little") for rank in self.held[state][-1][2]]
         return b"".join(out)
 
 
@@ -291,14 +284,9 @@ def decode_stream(chunks: Iterable[bytes], tokens: list[bytes]) -> Iterator[tupl
 def _encoder(ranks_path: str, pattern: str) -> tuple[Memory, Memory]:
     """Ids of segments that follow a space, and of those that begin a text."""
     machine, splitter = Transducer(read_ranks(ranks_path)), Splitter(pattern)
-    pieces = Memory(lambda held: [machine.encode(p.encode()) for p in held])
 
     def encode(texts: list[str]) -> list[bytes]:
-        parts = [splitter.split(t) for t in texts]
-        pieces.learn(set().union(*parts))
-        found = [b"".join(map(pieces.__getitem__, p)) for p in parts]
-        pieces.trim()
-        return found
+        return [b"".join([machine.encode(p.encode()) for p in splitter.split(t)]) for t in texts]
 
     return Memory(lambda batch: encode([" " + s for s in batch])), Memory(encode)
 
@@ -312,18 +300,34 @@ def _tokens(ranks_path: str) -> list[bytes]:
     return table
 
 
-def encode(docs: DataFrame, ranks_path: str, *, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id",
+def _read_back(ids: bytes, tokens: list[bytes]) -> tuple[bytes, str]:
+    size = 4 * CHUNK_IDS
+    own = list(decode_stream((ids[i : i + size] for i in range(0, len(ids), size)), tokens))
+    return b"".join(x for x, _ in own), "".join(x for _, x in own)
+
+
+def _rows(named: pa.Array, ids: list[bytes], tokens: list[bytes] | None) -> pa.RecordBatch:
+    columns = {"doc_id": named, "ids": pa.array(ids, pa.binary())}
+    if tokens is not None:
+        back = [_read_back(x, tokens) for x in ids]
+        columns |= {"decoded": pa.array([x for x, _ in back], pa.binary()), "text": pa.array([x for _, x in back], pa.string())}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def encode(docs: DataFrame, ranks_path: str, *, pattern: str = public_tokenizers.PATTERN, read_back: bool = False, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` of each row: the ids of the whole text as little-endian unsigned 32-bit integers.
 
     Each match of ``pattern`` is encoded by itself; the pattern must begin a match at a space between two
-    characters that are not white space, as those of byte-level vocabularies do. A null text is empty and has no ids, a null id
-    stays null, repeated rows are encoded each by itself, an empty table gives an empty one, and
-    other columns are not read. Length is not limited: a worker holds one slice of texts, or one
-    longer text, and the memory of pieces and states is bounded. There is no shuffle.
+    characters that are not white space, as those of byte-level vocabularies do. With ``read_back``
+    the ids are decoded in the same pass, and the columns of ``decode`` follow. A null
+    text is empty and has no ids, a null id stays null, repeated rows are encoded each by itself, an
+    empty table gives an empty one, and other columns are not read. Length is not limited: a worker
+    holds one slice of texts, or one longer text, and what it remembers is bounded. There is no shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later, front = _encoder(ranks_path, pattern)
+        tokens = _tokens(ranks_path) if read_back else None
         for batch in batches:
             for first, held in slices(batch.column("text")):
                 parts = [segments(t) for t in held]
@@ -332,9 +336,10 @@ def encode(docs: DataFrame, ranks_path: str, *, pattern: str = public_tokenizers
                 ids = [front[p[0]] + b"".join(map(later.__getitem__, p[1:])) if p else b"" for p in parts]
                 front.trim()
                 later.trim()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(held)), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                yield _rows(batch.column("doc_id").slice(first, len(held)), ids, tokens)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
+    schema = "doc_id long, ids binary" + ", decoded binary, text string" * read_back
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -344,18 +349,10 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     that are no UTF-8. Null ids count as none; an id beyond the vocabulary stops the job.
     """
     reach_workers(encoded.sparkSession)
-    size = 4 * CHUNK_IDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(ranks_path)
         for batch in batches:
-            data, text = [], []
-            for value in batch.column("ids"):
-                ids = value.as_py() or b""
-                own = list(decode_stream((ids[i : i + size] for i in range(0, len(ids), size)), tokens))
-                data.append(b"".join(x for x, _ in own))
-                text.append("".join(x for _, x in own))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(data, pa.binary()), pa.array(text, pa.string())],
-                                             names=["doc_id", "ids", "decoded", "text"])
-
-    return encoded.select("doc_id", F.col("ids")).mapInArrow(run, "doc_id long, ids binary, decoded binary, text string")
+            yield _rows(batch.column("doc_id"), [x.as_py() or b"" for x in batch.column("ids")], tokens)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary, text string")
