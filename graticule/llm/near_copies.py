@@ -4,7 +4,9 @@ SimHash prints of the sets find candidates by the multi-index method of ``simhas
 wide enough for that share; each candidate pair is then checked on the sets themselves. Texts of
 one set are one node. Sets too different in size to be alike never meet: keys hold a class of sizes.
 
-A large group is not compared within itself. First every key has a few centres, more in each
+The print decides where a node is looked for; a longer sketch, one bit of each of many minima of
+the set, is compared in the same join, so texts that are somewhat alike are no candidates. A large
+group is not compared within itself. First every key has a few centres, more in each
 round, and the nodes that ask for the key meet only those: candidates are in proportion to the
 nodes. What verified pairs join is one root from then on. The last round compares all nodes of
 different roots that a key brings together, so no pair within the radius is left out.
@@ -13,6 +15,7 @@ different roots that a key brings together, so no pair within the radius is left
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -24,13 +27,15 @@ from pyspark.sql import functions as F
 from graticule.llm.components import components
 from graticule.llm.simhash import _masks, segment_plan
 from graticule.llm.tables import id_and_text, stored
-from graticule.llm.textblocks import blocks
+from graticule.llm.textblocks import blocks, mix
 
 SIMILARITY, SHINGLE, SEED = 0.8, 5, 42
 #: Differing bits, and segments of a print.
 RADIUS, SEGMENTS = 15, 8
+#: 64-bit words of a sketch, and standard deviations that a pair of the least similarity may lie beyond its mean.
+SKETCH_WORDS, SKETCH_WIDTH = 8, 3.0
 #: Centres of each key in the rounds before the last.
-CENTRES = (1, 4, 16)
+CENTRES = (1, 8)
 #: Nodes, about, in each bucket of the pairs that are checked together.
 BUCKET_NODES = 2000
 _CHUNK = 1 << 15
@@ -58,6 +63,30 @@ def print_of(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").tobytes(), "little")
 
 
+#: Odd factors, one for each bit of a sketch.
+_FACTORS = mix(np.arange(1, 64 * SKETCH_WORDS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """One bit of the least product of a set's hashes with each factor, as signed 64-bit words.
+
+    Two sets agree in a bit with probability (1 + similarity) / 2.
+    """
+    if not len(hashes):
+        return np.zeros(SKETCH_WORDS, dtype=np.int64)
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    step = max(1, (1 << 18) // len(_FACTORS))
+    for i in range(0, len(hashes), step):
+        np.minimum(least, (hashes[i : i + step, None] * _FACTORS).min(axis=0), out=least)
+    return np.packbits((mix(least) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def most_differing(similarity: float) -> int:
+    """Differing bits that sketches of a pair of this similarity rarely pass."""
+    n, p = 64 * SKETCH_WORDS, (1 - similarity) / 2
+    return int(n * p + SKETCH_WIDTH * (n * p * (1 - p)) ** 0.5)
+
+
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether the Jaccard similarity of two sets reaches a share."""
     if min(len(a), len(b)) / max(len(a), len(b), 1) < similarity:
@@ -66,27 +95,31 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both / (len(a) + len(b) - both) >= similarity
 
 
+_SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+
+
 def _nodes(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, blob, node, print, size`` of each row: hashes of its text and of its set."""
+    """``doc_id, blob, node, print, size`` and the sketch of each row: hashes of its text and of its set."""
+    names = ["node", "print", "size", *_SKETCH]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for b in blocks(batch.column("text")):
                 for i in range(b.size):
                     own = shingle_set(b.text(i), shingle)
-                    found.append((xxhash.xxh64_intdigest(own.tobytes(), SEED), print_of(own), len(own)))
-            node, prints, size = (np.array([f[k] for f in found], dtype=np.uint64).view(np.int64) for k in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("blob"), pa.array(node), pa.array(prints), pa.array(size)],
-                                             names=["doc_id", "blob", "node", "print", "size"])
+                    found.append((*np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED), print_of(own), len(own)], dtype=np.uint64).view(np.int64), *sketch_of(own)))
+            columns = np.array(found, dtype=np.int64).reshape(-1, len(names)).T
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("blob"), *(pa.array(c) for c in columns)], names=["doc_id", "blob", *names])
 
     texts = id_and_text(docs, id_col, text_col).withColumn("blob", F.xxhash64("text"))
-    return texts.mapInArrow(run, "doc_id long, blob long, node long, print long, size long")
+    return texts.mapInArrow(run, ", ".join(f"{n} long" for n in ["doc_id", "blob", *names]))
 
 
 def candidates(nodes: DataFrame, *, radius: int = RADIUS, segments: int = SEGMENTS, similarity: float = SIMILARITY,
                centres: int | None = None) -> DataFrame:
-    """Pairs ``a, b`` of ``node, print, size, root``: within the radius, of sizes that allow the
-    similarity, and of different roots.
+    """Pairs ``a, b`` of ``node, print, size, root`` and sketches: within the radius, of sizes and
+    sketches that allow the similarity, and of different roots.
 
     With ``centres``, ``b`` is one of so many nodes of each key, and a pair may come again under
     another key; without, all pairs come once each.
@@ -106,13 +139,15 @@ def candidates(nodes: DataFrame, *, radius: int = RADIUS, segments: int = SEGMEN
     asked = F.array(*[key(n, size_class, own[n].bitwiseXOR(F.lit(m))) for n, (_, width, ball) in enumerate(plan) for m in _masks(width, ball)])
     kept = F.array(*[key(n, size_class - k, own[n]) for n in range(len(plan)) for k in (0, 1)])
     held = nodes.filter("size > 0")
-    query = held.select(F.col("node").alias("a"), F.col("print").alias("print_a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"), F.explode(asked).alias("key"))
-    table = held.select(F.col("node").alias("b"), F.col("print").alias("print_b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"), F.explode(kept).alias("key_b"))
+    told = ["print", "size", "root", *_SKETCH]
+    query = held.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in told], F.explode(asked).alias("key"))
+    table = held.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in told], F.explode(kept).alias("key_b"))
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _SKETCH])
     bits = F.col("print_a").bitwiseXOR(F.col("print_b"))
-    near = (F.bit_count(bits) <= radius) & (F.col("root_a") != F.col("root_b")) & (F.least("size_a", "size_b") / F.greatest("size_a", "size_b") >= similarity)
+    near = (F.bit_count(bits) <= radius) & (F.col("root_a") != F.col("root_b")) & (F.least("size_a", "size_b") / F.greatest("size_a", "size_b") >= similarity) & (apart <= most_differing(similarity))
     if centres:
         place = F.xxhash64("b", F.lit(centres))
-        chosen = table.groupBy("key_b", F.pmod(place, F.lit(centres)).alias("part")).agg(F.min_by(F.struct("b", "print_b", "size_b", "root_b"), place).alias("c"))
+        chosen = table.groupBy("key_b", F.pmod(place, F.lit(centres)).alias("part")).agg(F.min_by(F.struct("b", *[f"{c}_b" for c in told]), place).alias("c"))
         return query.join(chosen.select("key_b", "c.*"), (F.col("key") == F.col("key_b")) & near).select("a", "b")
     smaller = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
     first = F.coalesce(*[F.when(F.bit_count(part(bits, n)) <= ball, F.lit(n).cast("long")) for n, (_, _, ball) in enumerate(plan)])
@@ -150,10 +185,12 @@ def one_of_each(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int
     at ASCII white space; shorter texts count as one shingle. Texts without words, null ones among
     them, are one group. Rows without an id stand after all others; of rows equal in id and text
     one stays. An empty table gives an empty one, and all columns are kept whatever their names.
-    A pair whose prints differ in more than the radius is missed; tests measure how many.
+    A pair whose prints differ in more than the radius, or whose sketches differ in more than
+    ``most_differing``, is missed; a test measures how many.
     """
     each = stored(_nodes(docs, shingle, id_col, text_col), "prints")
-    nodes = stored(each.groupBy("node").agg(F.min("print").alias("print"), F.min("size").alias("size"), F.min("blob").alias("chosen_blob")), "nodes")
+    told = ["print", "size", *_SKETCH]
+    nodes = stored(each.groupBy("node").agg(*[F.min(c).alias(c) for c in told], F.min("blob").alias("chosen_blob")), "nodes")
     texts = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).withColumn("own_blob", F.xxhash64("text"))
     rooted, links = nodes.withColumn("root", F.col("node")), None
     for many in (*centres, None):
@@ -164,7 +201,7 @@ def one_of_each(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int
         found = stored(verified(pairs, own, similarity=similarity, shingle=shingle), "verified")
         links = found if links is None else links.union(found)
         roots = components(links).withColumnRenamed("root", "new_root")
-        rooted = stored(nodes.join(roots, "node", "left").select("node", "print", "size", F.coalesce("new_root", "node").alias("root")), "rooted")
+        rooted = stored(nodes.join(roots, "node", "left").select("node", *told, F.coalesce("new_root", "node").alias("root")), "rooted")
     named = each.join(rooted.select("node", "root"), "node")
     least = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "blob")).alias("least"))
     chosen = least.select(F.col("least.doc_id").alias("chosen_id"), F.col("least.blob").alias("chosen_blob")).distinct()
