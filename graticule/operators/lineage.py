@@ -65,46 +65,113 @@ def ancestry_closure(edges: DataFrame, max_depth: int | None = None) -> DataFram
     return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 
+#: Single steps that handle lists take before distances double.
+_STEPS = 4
+
+
+def _twice(jumps: DataFrame) -> DataFrame:
+    """Pairs at twice the number of steps, from pairs ``ws, at, ancestor`` at exactly so many."""
+    onward = jumps.select("ws", F.col("at").alias("ancestor"), F.col("ancestor").alias("far"))
+    return jumps.join(onward, ["ws", "ancestor"]).select("ws", "at", F.col("far").alias("ancestor")).distinct()
+
+
 def ancestry(edges: DataFrame, handles: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Ancestors of the given handles (``ws, handle``), breadth first.
+    """Ancestors of the given handles (``ws, handle``) with their shortest depth.
 
-    Each round steps the frontier along the edges and drops pairs seen before, so diamonds
-    do not multiply and cycles end. Suited to handle lists with short histories; for whole
-    tables or long chains use :func:`ancestry_closure`.
+    The first rounds step the frontier along the edges and drop pairs seen before, so short
+    histories cost what they hold, diamonds do not multiply and cycles end. What is still open
+    then is a long chain: from there pairs found within k steps are joined with pairs at exactly
+    k steps, which are doubled each round, so a chain of depth d takes log2(d) more rounds. Only
+    edges of the workspaces that are still open are doubled.
     """
-    e = cut_lineage(
-        edges.select("ws", F.col("target").alias("at"), F.col("source").alias("ancestor")).distinct(),
-        "edges",
-    )
+    e = cut_lineage(edges.select("ws", F.col("target").alias("at"), F.col("source").alias("ancestor")).distinct(), "edges")
+    pair = ["ws", "handle", "ancestor"]
     frontier = handles.select("ws", "handle", F.col("handle").alias("at")).distinct()
     levels: list[DataFrame] = []
     depth = 0
-    while max_depth is None or depth < max_depth:
+    while depth < _STEPS and (max_depth is None or depth < max_depth):
         depth += 1
-        step = frontier.join(e, ["ws", "at"]).select("ws", "handle", "ancestor").distinct()
+        step = frontier.join(e, ["ws", "at"]).select(*pair).distinct()
         for seen in levels:
-            step = step.join(seen.select("ws", "handle", "ancestor"), ["ws", "handle", "ancestor"], "left_anti")
+            step = step.join(seen.select(*pair), pair, "left_anti")
         level = cut_lineage(step.withColumn("depth", F.lit(depth)), "frontier")
+        levels.append(level)
         if level.isEmpty():
             break
-        levels = _fold(levels, level)
         frontier = level.select("ws", "handle", F.col("ancestor").alias("at"))
     if not levels:
-        return step.withColumn("depth", F.lit(0)).limit(0)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
-
-
-def _fold(levels: list[DataFrame], level: DataFrame) -> list[DataFrame]:
-    """Merge found levels now and then, so a round never anti-joins more than a few tables."""
-    if len(levels) < 4:
-        return [*levels, level]
-    merged = level
-    for seen in levels:
-        merged = merged.unionByName(seen)
-    return [cut_lineage(merged, "seen")]
+        return frontier.select("ws", "handle", F.col("at").alias("ancestor"), F.lit(0).alias("depth")).limit(0)
+    if depth < _STEPS or depth == max_depth or levels[-1].isEmpty():
+        return reduce(DataFrame.unionByName, levels)
+    jumps = e.join(frontier.select("ws").distinct(), "ws", "left_semi")
+    for _ in range(_STEPS.bit_length() - 1):
+        jumps = cut_lineage(_twice(jumps), "jumps")
+    parts, k = levels, depth
+    while max_depth is None or k < max_depth:
+        known = reduce(DataFrame.unionByName, parts)
+        onward = known.select("ws", "handle", F.col("ancestor").alias("at"), "depth").join(jumps, ["ws", "at"])
+        longer = onward.groupBy(*pair).agg((F.min("depth") + F.lit(k)).cast("int").alias("depth"))
+        fresh = cut_lineage(longer.join(known.select(*pair), pair, "left_anti"), "ancestors")
+        if fresh.isEmpty():
+            break
+        parts = [*parts, fresh]
+        jumps = cut_lineage(_twice(jumps), "jumps")
+        k *= 2
+    found = reduce(DataFrame.unionByName, parts)
+    return found if max_depth is None else found.where(F.col("depth") <= max_depth)
+
+
+def extend_closure(closure: DataFrame, new_edges: DataFrame) -> DataFrame:
+    """The rows of a stored closure that appended edges add or shorten.
+
+    ``closure``: ``ws, handle, ancestor, depth`` as ``ancestry_closure`` gives without a depth
+    limit; ``new_edges``: ``ws, target, source``. A new pair goes along one or more new edges, with
+    stored stretches before, between and after them. So the new edges are brought together first
+    (as many rounds as the logarithm of the most new edges on one way), and the stored closure is
+    read only at their ends. Put the rows in the place of those of the same pair.
+    """
+    pair = ["ws", "handle", "ancestor"]
+    step = new_edges.select("ws", F.col("target").alias("handle"), F.col("source").alias("ancestor")).distinct().withColumn("depth", F.lit(1))
+    step = cut_lineage(step, "new_edges")
+    ends = step.select("ws", F.col("handle").alias("ancestor")).distinct()
+    # Stored stretches from one new edge's source to another's target, none at all among them.
+    between = closure.join(step.select("ws", F.col("ancestor").alias("handle")).distinct(), ["ws", "handle"], "left_semi").join(ends, ["ws", "ancestor"], "left_semi")
+    bridges = cut_lineage(between.select("ws", F.col("handle").alias("out"), F.col("ancestor").alias("into"), F.col("depth").alias("gap")), "bridges")
+
+    def joined(front: DataFrame, back: DataFrame) -> DataFrame:
+        """Ways of two parts: the second begins where the first ends, or beyond a bridge."""
+        first = front.select("ws", "handle", F.col("ancestor").alias("out"), F.col("depth").alias("done"))
+        direct = first.select("ws", "handle", F.col("out").alias("into"), "done")
+        over = first.join(bridges, ["ws", "out"]).select("ws", "handle", "into", (F.col("done") + F.col("gap")).alias("done"))
+        onward = back.select("ws", F.col("handle").alias("into"), "ancestor", F.col("depth").alias("more"))
+        met = direct.unionByName(over).join(onward, ["ws", "into"])
+        return met.select(*pair, (F.col("done") + F.col("more")).alias("depth"))
+
+    def shortest(ways: DataFrame) -> DataFrame:
+        return ways.groupBy(*pair).agg(F.min("depth").alias("depth"))
+
+    ways = step
+    while True:
+        longer = cut_lineage(shortest(ways.unionByName(joined(ways, ways))), "new_ways")
+        better = longer.join(ways.withColumnRenamed("depth", "old"), pair, "left").where("old is null or depth < old")
+        done = better.isEmpty()
+        ways = longer
+        if done:
+            break
+    before = closure.select("ws", F.col("handle").alias("start"), F.col("ancestor").alias("handle"), F.col("depth").alias("lead"))
+    after = closure.select("ws", F.col("handle").alias("ancestor"), F.col("ancestor").alias("end"), F.col("depth").alias("tail"))
+    led = ways.unionByName(ways.join(before, ["ws", "handle"]).select("ws", F.col("start").alias("handle"), "ancestor", (F.col("depth") + F.col("lead")).alias("depth")))
+    led = shortest(led)
+    whole = led.unionByName(led.join(after, ["ws", "ancestor"]).select("ws", "handle", F.col("end").alias("ancestor"), (F.col("depth") + F.col("tail")).alias("depth")))
+    known = closure.select(*pair, F.col("depth").alias("old"))
+    return shortest(whole).join(known, pair, "left").where("old is null or depth < old").select(*pair, F.col("depth").cast("int").alias("depth"))
+
+
+def merge_closure(closure: DataFrame, changed: DataFrame) -> DataFrame:
+    """A stored closure with the rows of ``extend_closure`` in place."""
+    pair = ["ws", "handle", "ancestor"]
+    kept = closure.select(*pair, "depth").join(changed.select(*pair), pair, "left_anti")
+    return kept.unionByName(changed.select(*pair, "depth"))
 
 
 def provenance_view(edges: DataFrame, events: DataFrame, handles: DataFrame) -> DataFrame:
