@@ -30,7 +30,7 @@ from graticule.llm.segments import Memory, segments, slices
 from graticule.llm.tables import id_and_text, reach_workers
 
 #: Moves and checked neighbours that a worker keeps before it begins anew; nothing but time depends on them.
-MOST_MOVES, MOST_NEIGHBOURS = 800_000, 500_000
+MOST_MOVES, MOST_NEIGHBOURS = 400_000, 300_000
 #: Ids that the decoder takes at once.
 CHUNK_IDS = 8192
 
