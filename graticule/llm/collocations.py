@@ -11,6 +11,7 @@ is broadcast.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import accumulate, pairwise
 
@@ -27,60 +28,74 @@ from graticule.llm.textblocks import mix
 
 LEAST, LONGEST, TOP, WITHIN_PERCENT, NO_LANG = 100, 5, 2000, 100, "und"
 #: Bytes of text in a shard; words of text for each bucket that phrases are summed in. Results do not depend on them.
-SHARD_BYTES, BUCKET_WORDS, LEAST_BUCKETS = 8 << 20, 1_000_000, 64
+SHARD_BYTES, BUCKET_WORDS, LEAST_BUCKETS = 12 << 20, 1_000_000, 64
 
 _PARTS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\t", b"\n" * 10 + b" ")
-_WORD_SCHEMA = "shard long, symbols binary, lang string, word string, own int, count long"
+_SHARD_SCHEMA = "shard long, symbols binary, words binary, lang_of binary, counts binary, size int, raw int, langs array<string>, n array<long>"
 
 
 class _Words(dict):
     """Numbers of words, given when first asked for."""
 
-    def __init__(self, taken: list[tuple[str, bytes]], lang: str):
+    def __init__(self, taken: list[bytes], lang_of: list[int], lang: int):
         super().__init__({b"": -1, b"\n": 0})
-        self.taken, self.lang = taken, lang
+        self.taken, self.lang_of, self.lang = taken, lang_of, lang
 
     def __missing__(self, word: bytes) -> int:
-        self.taken.append((self.lang, word))
+        self.taken.append(word)
+        self.lang_of.append(self.lang)
         self[word] = len(self.taken)
         return len(self.taken)
 
 
+def _zipped(values: bytes | np.ndarray) -> bytes:
+    return pa.compress(values if isinstance(values, bytes) else values.tobytes(), codec="zstd", asbytes=True)
+
+
 class _Shard:
     def __init__(self, number: int):
-        self.number, self.size = number, 0
-        self.taken: list[tuple[str, bytes]] = []
+        self.number, self.bytes = number, 0
+        self.taken: list[bytes] = []
+        self.lang_of: list[int] = []
         self.words: dict[str, _Words] = {}
         self.texts: list[np.ndarray] = []
 
     def add(self, text: bytes, lang: str) -> None:
         """Words of each lang have their own numbers, so phrases of two langs never meet."""
         if lang not in self.words:
-            self.words[lang] = _Words(self.taken, lang)
+            self.words[lang] = _Words(self.taken, self.lang_of, len(self.words))
         parts = text.lower().translate(_PARTS).replace(b"\n", b" \n ").split(b" ")
         numbers = np.array(list(map(self.words[lang].__getitem__, parts)), dtype=np.int32)
         self.texts += [numbers[numbers >= 0], np.zeros(1, dtype=np.int32)]
-        self.size += len(text)
+        self.bytes += len(text)
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
+    def row(self) -> pa.RecordBatch:
         symbols = np.concatenate(self.texts) if self.texts else np.zeros(0, dtype=np.int32)
         again = np.zeros(len(symbols), dtype=bool)
         again[1:] = (symbols[1:] == 0) & (symbols[:-1] == 0)
         symbols = symbols[~again]
         count = np.bincount(symbols, minlength=len(self.taken) + 1)[1:]
-        names = _WORD_SCHEMA.replace(",", "").split()[::2]
-        yield pa.RecordBatch.from_arrays([pa.array([self.number], pa.int64()), pa.array([symbols.astype("<i4").tobytes()], pa.binary()),
-                                          pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], names=names)
-        for i in range(0, len(self.taken), 1 << 16):
-            part = self.taken[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([self.number] * len(part), pa.int64()), pa.nulls(len(part), pa.binary()), pa.array([x for x, _ in part], pa.string()),
-                 pa.array([w.decode() for _, w in part], pa.string()), pa.array(range(i + 1, i + 1 + len(part)), pa.int32()), pa.array(count[i : i + len(part)], pa.int64())],
-                names=names)
+        lang_of = np.array(self.lang_of, dtype=np.int32)
+        n = np.bincount(lang_of, weights=count, minlength=len(self.words)).astype(np.int64)
+        words = b"\n".join(self.taken)
+        columns = [[self.number], [_numbers(symbols)], [_zipped(words)], [_numbers(lang_of)], [_numbers(count)], [len(symbols)], [len(words)], [list(self.words)], [n.tolist()]]
+        types = [pa.int64(), *[pa.binary()] * 4, pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64())]
+        names = _SHARD_SCHEMA.replace(",", "").split()[::2]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def _numbers(values: np.ndarray) -> bytes:
+    """32-bit numbers by byte, packed."""
+    return _zipped(np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T))
+
+
+def _of_numbers(data: bytes, size: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, 4 * size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
 
 
 def _shards(docs: DataFrame, lang_col: str, text_col: str, shard_bytes: int) -> DataFrame:
-    """A row with the symbols of each shard, and one for each of its words."""
+    """A row for each shard: its symbols, its words with their counts, and how many words of each lang it has."""
     reach_workers(docs.sparkSession)
     texts = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
                         F.coalesce(docs[lang_col].cast("string"), F.lit(NO_LANG)).alias("lang"))
@@ -91,21 +106,92 @@ def _shards(docs: DataFrame, lang_col: str, text_col: str, shard_bytes: int) ->
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
                 shard.add(text.as_py().encode(), lang.as_py())
-                if shard.size >= shard_bytes:
-                    yield from shard.rows()
+                if shard.bytes >= shard_bytes:
+                    yield shard.row()
                     number += 1
                     shard = _Shard(number)
-        if shard.size:
-            yield from shard.rows()
+        if shard.bytes:
+            yield shard.row()
+
+    return texts.mapInArrow(run, _SHARD_SCHEMA)
+
+
+_DEALT_SCHEMA = "bucket int, shard long, langs array<string>, size int, raw int, words binary, lang_of binary, own binary, counts binary"
+
+
+def _dealt_words(shards: DataFrame, buckets: int) -> DataFrame:
+    """The words of each shard by buckets that all shards share."""
+    names = _DEALT_SCHEMA.replace(",", "").split()[::2]
+    types = [pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.to_pylist():
+                raw = pa.decompress(shard["words"], shard["raw"], codec="zstd", asbytes=True)
+                words = raw.split(b"\n") if raw else []
+                lang_of, counts = _of_numbers(shard["lang_of"], len(words)), _of_numbers(shard["counts"], len(words))
+                starts = [zlib.crc32(lang.encode()) for lang in shard["langs"]]
+                spread = np.fromiter((zlib.crc32(w, starts[k]) for w, k in zip(words, lang_of.tolist(), strict=True)), np.int64, len(words)) % buckets
+                order = np.argsort(spread, kind="stable")
+                edges = np.append(np.flatnonzero(np.diff(spread[order], prepend=-1)), len(order)).tolist()
+                rows = []
+                for i, j in pairwise(edges):
+                    at = order[i:j]
+                    text = b"\n".join([words[k] for k in at.tolist()])
+                    rows.append((int(spread[at[0]]), shard["shard"], shard["langs"], len(at), len(text), _zipped(text), _numbers(lang_of[at]), _numbers(at + 1), _numbers(counts[at])))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return shards.select("shard", "words", "raw", "lang_of", "counts", "langs").mapInArrow(run, _DEALT_SCHEMA)
+
+
+_SUMMED_WORDS_SCHEMA = "id long, lang string, word string, f long, shard long, rows int, told binary"
+
+
+def _summed_words(least: int):
+    """The frequent words of a bucket with numbers of their own, and for each shard the numbers of those that it holds."""
+    def run(held: pa.Table) -> pa.Table:
+        rows, totals, each = held.to_pylist(), {}, []
+        for r in rows:
+            words = pa.decompress(r["words"], r["raw"], codec="zstd", asbytes=True).split(b"\n")
+            keys = [(r["langs"][k], w) for k, w in zip(_of_numbers(r["lang_of"], r["size"]).tolist(), words, strict=True)]
+            each.append(keys)
+            for key, n in zip(keys, _of_numbers(r["counts"], r["size"]).tolist(), strict=True):
+                totals[key] = totals.get(key, 0) + n
+        # Sorted, so a bucket that is summed again gives the same numbers.
+        often = sorted(key for key, n in totals.items() if n >= least)
+        base = rows[0]["bucket"] << 32
+        number = {key: base + i for i, key in enumerate(often)}
+        replies = []
+        for r, keys in zip(rows, each, strict=True):
+            own = _of_numbers(r["own"], r["size"])
+            known = np.array([number.get(key, -1) for key in keys], dtype=np.int64)
+            if (known >= 0).any():
+                own, known = own[known >= 0], known[known >= 0]
+                order = np.argsort(known)
+                replies.append((r["shard"], len(own), _packed([known[order], own[order]])))
+        n, m = len(often), len(replies)
+        shard, size, data = zip(*replies, strict=True) if replies else ((), (), ())
+        none_n, none_m = [None] * n, [None] * m
+        return pa.table({
+            "id": pa.array([*(number[k] for k in often), *none_m], pa.int64()), "lang": pa.array([*(k[0] for k in often), *none_m], pa.string()),
+            "word": pa.array([*(k[1].decode() for k in often), *none_m], pa.string()), "f": pa.array([*(totals[k] for k in often), *none_m], pa.int64()),
+            "shard": pa.array([*none_n, *shard], pa.int64()), "rows": pa.array([*none_n, *size], pa.int32()), "told": pa.array([*none_n, *data], pa.binary())})
+
+    return run
+
 
-    return texts.mapInArrow(run, _WORD_SCHEMA)
+def _told(told: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns of numbers that buckets have sent to a shard."""
+    parts = [_unpacked(data, rows, 2) for rows, data in zip(told.column("rows").to_pylist(), told.column(column).to_pylist(), strict=True) if data is not None]
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *(p[0] for p in parts)]), np.concatenate([none, *(p[1] for p in parts)])
 
 
 def _symbols(shard: pa.Table, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """A shard's frequent words by rising number, 1 and more, with one break for what stands between them; and their global numbers."""
-    symbols = np.frombuffer(shard.column("symbols")[0].as_py(), dtype="<i4").astype(np.int64)
-    words = told.filter(pc.is_valid(told.column("first")))
-    own, known = words.column("first").to_numpy(), words.column("word").to_numpy()
+    symbols = _of_numbers(shard.column("symbols")[0].as_py(), shard.column("size")[0].as_py())
+    known, own = _told(told, "told")
     order = np.argsort(own)
     own, known = own[order], known[order]
     number = np.zeros(int(max(symbols.max(initial=0), own.max(initial=0))) + 1, dtype=np.int64)
@@ -164,12 +250,9 @@ def _longer(buckets: int, longest: int):
         if shard.num_rows and told.num_rows:
             symbols, known = _symbols(shard, told)
             back = np.argsort(known[1:])
-            frequent = np.zeros(0, dtype=np.int64)
             width = np.int64(len(known))
-            for r, data in zip(told.column("rows").to_pylist(), told.column("pairs").to_pylist(), strict=True):
-                if data is not None:
-                    w1, w2 = (back[np.searchsorted(known[1:], w, sorter=back)] + 1 for w in _unpacked(data, r, 2))
-                    frequent = np.append(frequent, w1 * width + w2)
+            w1, w2 = (back[np.searchsorted(known[1:], w, sorter=back)] + 1 for w in _told(told, "pairs"))
+            frequent = w1 * width + w2
             joined = np.zeros(len(symbols), dtype=bool)
             joined[:-1] = np.isin(symbols[:-1] * width + symbols[1:], frequent)
             # Each word that a frequent pair holds, and a break where the next pair is not one.
@@ -228,15 +311,13 @@ def phrase_counts(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST
     Counts are of all contiguous occurrences within pieces, overlaps included.
     """
     shards = stored(_shards(docs, lang_col, text_col, shard_bytes), "shards")
-    own = shards.filter("word is not null").select("shard", "lang", "word", "own", "count")
-    counted = own.groupBy("lang", "word").agg(F.sum("count").alias("f"))
-    totals = stored(own.groupBy("lang").agg(F.sum("count").alias("n")), "word_totals")
-    # Numbers are given once, and stand in the stored table.
-    words = stored(counted.filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "frequent_words")
-    told = stored(own.join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("shard").alias("of_shard"), F.col("own").alias("first"), F.col("id").alias("word")), "told_words")
+    totals = stored(shards.select(F.explode(F.arrays_zip("langs", "n")).alias("x")).groupBy("x.langs").agg(F.sum("x.n").alias("n")).withColumnRenamed("langs", "lang"), "word_totals")
     total = int(totals.agg(F.sum("n")).head()[0] or 0)
     buckets = max(LEAST_BUCKETS, total // BUCKET_WORDS)
-    symbols = shards.filter("symbols is not null").select("shard", "symbols").groupBy("shard")
+    summed = stored(_dealt_words(shards, buckets).groupBy("bucket").applyInArrow(_summed_words(least), _SUMMED_WORDS_SCHEMA), "frequent_words")
+    words = summed.filter("id is not null").select("id", "lang", "word", "f")
+    told = summed.filter("told is not null").select(F.col("shard").alias("of_shard"), "rows", "told")
+    symbols = shards.select("shard", "symbols", "size").groupBy("shard")
     pairs = symbols.cogroup(told.groupBy("of_shard")).applyInArrow(_pairs(buckets), _PACKED_SCHEMA)
     frequent = stored(pairs.groupBy("bucket").applyInArrow(_summed(least, 2, True), _SUMMED_SCHEMA), "frequent_pairs")
     told_pairs = frequent.filter("pairs is not null").select(F.col("shard").alias("of_shard"), "rows", "pairs")
