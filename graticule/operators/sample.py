@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graticule.functions.location import bbox_from_geojson
-from graticule.session import is_small
+from graticule.session import cut_lineage, is_small
 
 
 def point_of_aoi(geojson: Column, bbox: Column) -> Column:
@@ -110,3 +112,80 @@ def sample_points_irregular(
         .where(F.col("time").between(F.col("t0"), F.col("t1")))
         .select("point_id", "lat", "lon", "time", *variables)
     )
+
+
+# -- scattered cells -------------------------------------------------------------------------
+
+#: Halvings of the cube around the globe; the smallest tiles are about 80 km wide.
+_LEVELS = 7
+EARTH_KM = 6371.0088
+
+
+def _unit(lat: Column, lon: Column) -> list[Column]:
+    """The point of the unit sphere; poles and the antimeridian are places like any other there."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
+
+
+def _tile(xyz: list[Column], level: int) -> list[Column]:
+    return [F.floor((c + 1.0) * float(2 ** (level - 1))).cast("int") for c in xyz]
+
+
+def nearest_scattered(points: DataFrame, cells: DataFrame, by: list[str] | None = None, levels: int = _LEVELS) -> DataFrame:
+    """The nearest cell of each point among cells without regular axes, as in swaths.
+
+    ``points``: ``point_id, lat, lon``; ``cells``: ``cell_id, lat, lon``; with ``by`` both have
+    those columns too (a granule, say) and meet only within them. Gives ``point_id``, ``by``,
+    ``cell_id`` and ``distance_km`` along the globe; equal distances take the lower ``cell_id``. Points
+    and cells without a place take no part. Exact, poles and antimeridian included.
+
+    Occupied tiles form a tree of boxes around the cells. Points go down it by equi-joins on the parent tile; a
+    tile is left out if even its nearest corner is farther than the farthest corner of another
+    one, so each point holds a handful of tiles on each level, and meets only the cells of the last ones.
+    """
+    by = by or []
+    axes = ("x", "y", "z")
+    placed = cells.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("cell_id", *by, *[c.alias(a) for c, a in zip(_unit(F.col("lat"), F.col("lon")), axes, strict=True)])
+    own = lambda level: [F.struct(*_tile([F.col(a) for a in axes], level)).alias("tile")]
+    placed = cut_lineage(placed.withColumn("tile", own(levels)[0]), "scattered_cells")
+    # Boxes of each level from those of the level below, the smallest from the cells.
+    bounds = [F.min(a).alias(f"{a}0") for a in axes] + [F.max(a).alias(f"{a}1") for a in axes]
+    again = [F.min(f"{a}0").alias(f"{a}0") for a in axes] + [F.max(f"{a}1").alias(f"{a}1") for a in axes]
+    half = F.transform(F.array("tile.col1", "tile.col2", "tile.col3"), lambda t: F.floor(t / 2).cast("int"))
+    parent = F.struct(half[0].alias("col1"), half[1].alias("col2"), half[2].alias("col3"))
+    boxes = {levels: cut_lineage(placed.groupBy(*by, "tile").agg(*bounds).withColumn("parent", parent), "tiles")}
+    for level in range(levels - 1, 0, -1):
+        boxes[level] = cut_lineage(boxes[level + 1].groupBy(*by, F.col("parent").alias("tile")).agg(*again).withColumn("parent", parent), "tiles")
+    p = [F.col(f"p{a}") for a in axes]
+    asked = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
+        "point_id", *by, *[c.alias(f"p{a}") for c, a in zip(_unit(F.col("lat"), F.col("lon")), axes, strict=True)])
+    zero = F.lit(0).cast("int")
+    open_tiles = asked.withColumn("tile", F.struct(zero.alias("col1"), zero.alias("col2"), zero.alias("col3")))
+    square = lambda parts: reduce(lambda a, b: a + b, [d * d for d in parts])
+    nearest = square([F.greatest(F.lit(0.0), F.col(f"{a}0") - c, c - F.col(f"{a}1")) for a, c in zip(axes, p, strict=True)])
+    farthest = square([F.greatest(F.abs(F.col(f"{a}0") - c), F.abs(c - F.col(f"{a}1"))) for a, c in zip(axes, p, strict=True)])
+    keys = ["point_id", *by, *[f"p{a}" for a in axes]]
+    for level in range(1, levels + 1):
+        met = open_tiles.withColumnRenamed("tile", "parent").join(boxes[level], [*by, "parent"]).select(*keys, "tile", nearest.alias("_near"), farthest.alias("_far"))
+        bound = met.groupBy("point_id", *by).agg(F.min("_far").alias("_bound"))
+        # A little slack, so rounding never drops the tile of the nearest cell.
+        kept = met.join(bound, ["point_id", *by]).where(F.col("_near") <= F.col("_bound") + 1e-12).select(*keys, "tile")
+        open_tiles = cut_lineage(kept, "open_tiles") if level % 3 == 0 else kept
+    apart = square([F.col(a) - c for a, c in zip(axes, p, strict=True)])
+    best = (open_tiles.join(placed, [*by, "tile"]).withColumn("_apart", apart)
+            .groupBy("point_id", *by).agg(F.min(F.struct("_apart", "cell_id")).alias("_best")))
+    distance = 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt("_best._apart") / 2))
+    return best.select("point_id", *by, F.col("_best.cell_id").alias("cell_id"), distance.alias("distance_km"))
+
+
+def sample_scattered(cells: DataFrame, points: DataFrame, variables: list[str]) -> DataFrame:
+    """Time series of the nearest cell of each point on a grid whose places are tables themselves.
+
+    ``cells``: ``cell_id, lat, lon, time`` and variables, a cell's place the same at all times;
+    ``points``: ``point_id, lat, lon, t0, t1`` (``t1`` inclusive).
+    """
+    places = cells.groupBy("cell_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
+    near = nearest_scattered(points, places)
+    asked = points.select("point_id", "t0", "t1").join(near, "point_id")
+    return (cells.select("cell_id", "time", *variables).join(asked, "cell_id").where(F.col("time").between(F.col("t0"), F.col("t1")))
+            .select("point_id", "cell_id", "distance_km", "time", *variables))

@@ -96,6 +96,22 @@ class Views:
           FROM (SELECT l_shipdate, (l_suppkey * 7919 + l_orderkey * 31) % 360 AS lat_idx, (l_partkey * 104729 + l_orderkey * 17) % 720 AS lon_idx, l_quantity
             FROM {self.t('lineitem')}) GROUP BY 1, 2, 3)"""
 
+    def swath(self) -> str:
+        """Cells that lie on no axes: one per customer, with a value for each of its orders' days."""
+        return f"""(SELECT c_custkey AS cell_id, CAST(-90 + (c_custkey * 7919) % 18001 * 0.01 AS DOUBLE) AS lat,
+            CAST(-180 + (c_custkey * 104729) % 36000 * 0.01 AS DOUBLE) AS lon,
+            CAST(o_orderdate AS {'TIMESTAMP' if self.duck else 'TIMESTAMP_NTZ'}) AS time, CAST(count(*) AS BIGINT) AS amount
+          FROM {self.t('customer')} JOIN {self.t('orders')} ON c_custkey = o_custkey GROUP BY c_custkey, o_orderdate)"""
+
+    def swath_points(self) -> str:
+        """Points all over the globe, some at the poles and on the antimeridian."""
+        k = "s_suppkey"
+        start = "TIMESTAMP '1995-01-01'" if self.duck else "TIMESTAMP_NTZ '1995-01-01'"
+        return f"""(SELECT {k} AS point_id, CAST(CASE {k} % 9 WHEN 0 THEN 90 WHEN 1 THEN -90 ELSE -89 + ({k} * 31) % 178 END AS DOUBLE) AS lat,
+            CAST(CASE {k} % 5 WHEN 0 THEN 180 WHEN 1 THEN -180 ELSE -179 + ({k} * 53) % 358 END AS DOUBLE) AS lon,
+            {self.plus_days(start, f'{k} % 200')} AS t0, {self.plus_days(start, f'{k} % 200 + 500')} AS t1
+          FROM {self.t('supplier')})"""
+
     # -- catalog ----------------------------------------------------------------------
 
     def collections(self) -> str:

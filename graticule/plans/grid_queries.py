@@ -645,6 +645,18 @@ def result_file_choice(spark, sf):
     return fl.pick_result_files(manifest)
 
 
+_CHORD = "2 - 2 * (sin(radians(p.lat)) * sin(radians(c.lat)) + cos(radians(p.lat)) * cos(radians(c.lat)) * cos(radians(p.lon - c.lon)))"
+
+
+@query("point_samples_scattered", "JOIN-14", sql=f"""WITH s AS (SELECT * FROM {DUCK.swath()}), c AS (SELECT DISTINCT cell_id, lat, lon FROM s),
+    near AS (SELECT point_id, t0, t1, min_by(cell_id, (round({_CHORD}, 13), cell_id)) AS cell_id, min({_CHORD}) AS apart FROM {DUCK.swath_points()} p CROSS JOIN c GROUP BY 1, 2, 3)
+  SELECT point_id, cell_id, round(2 * 6371.0088 * asin(least(1.0, sqrt(greatest(apart, 0)) / 2)), 1) AS distance_km, time, amount
+  FROM near JOIN s USING (cell_id) WHERE time BETWEEN t0 AND t1""")
+def point_samples_scattered(spark, sf):
+    found = sm.sample_scattered(view(spark, sf, SPARK.swath()), view(spark, sf, SPARK.swath_points()), ["amount"])
+    return found.withColumn("distance_km", F.round("distance_km", 1))
+
+
 # Files of a task: a listing, the results (three kinds of header), and for some a second result file.
 _RESULT_FILES = {
     "granule-list.csv": ("true", "'name,size'", "'g' || event_id || ',1'"),
