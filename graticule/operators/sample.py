@@ -128,7 +128,8 @@ def _unit(lat: Column, lon: Column) -> list[Column]:
 
 
 def _tile(xyz: list[Column], level: int) -> list[Column]:
-    return [F.floor((c + 1.0) * float(2 ** (level - 1))).cast("int") for c in xyz]
+    # The far ends of the cube belong to the last tiles.
+    return [F.least(F.floor((c + 1.0) * float(2 ** (level - 1))), F.lit(2**level - 1)).cast("int") for c in xyz]
 
 
 def nearest_scattered(points: DataFrame, cells: DataFrame, by: list[str] | None = None, levels: int = _LEVELS) -> DataFrame:
