@@ -1,8 +1,8 @@
 """URL filtering by listed rules and by association rules mined from labelled URLs.
 
 URLs become sets of tokens (scheme, host labels, path words, ending, query keys, fragment).
-FP-growth mines token combinations that go with a label; rules of high confidence and support,
-with evidence under two or more sources of labels, are kept. Each is filed under its rarest token,
+FP-growth mines token combinations that go with a label; rules of high confidence and support are
+kept. Each is filed under its rarest token,
 so a URL meets only rules of which it has that token, and the whole antecedent is then verified.
 """
 
@@ -18,8 +18,8 @@ from graticule.llm.tables import stored
 
 #: Share of labelled URLs with the antecedent and the label; share of the antecedent's URLs.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.9
-#: Sources of labels (list entries) that must speak for a rule.
-MIN_SOURCES = 2
+#: Sources of labels (list entries) that must speak for a rule; one asks for nothing more than the two above.
+MIN_SOURCES = 1
 ALLOW, BLOCK = "allow", "block"
 
 
@@ -62,17 +62,16 @@ def listed(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def tokens_of(url: Column, host: Column, path: Column) -> Column:
-    """The distinct tokens of a URL. Path words with a digit are numbers of pages, not words."""
+    """The distinct tokens of a URL."""
     def named(kind: str, values: Column) -> Column:
         return F.transform(F.filter(values, lambda v: v != ""), lambda v: F.concat(F.lit(kind + "="), v))
 
-    segments = F.filter(F.split(path, "/"), lambda v: ~v.rlike("[0-9]"))
     query = F.regexp_extract(url, r"\A[^?#]*\?([^#]*)", 1)
     keys = F.transform(F.split(query, "&"), lambda v: F.regexp_extract(v, r"\A([^=]*)", 1))
     one = F.array(F.regexp_extract(url, r"\A([A-Za-z]+)://", 1))
     ending = F.array(F.regexp_extract(path, r"\.([A-Za-z]+)\z", 1))
     fragment = F.array(F.when(F.contains(url, F.lit("#")), "any").otherwise(""))
-    return F.array_distinct(F.concat(named("scheme", one), named("host", F.split(host, r"\.")), named("path", segments),
+    return F.array_distinct(F.concat(named("scheme", one), named("host", F.split(host, r"\.")), named("path", F.split(path, "/")),
                                      named("ending", ending), named("key", keys), named("fragment", fragment)))
 
 

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -247,10 +248,32 @@ def test_mined_rules(spark):
     asked = [(1, "https://promo.new.example.com/buy/7?aff=2"), (2, "https://blog.new.example.com/read/7"), (3, "https://only.new.example.com/odd/1"), (4, "https://a.b/c")]
     got = {r.page_id: r for r in url_rules.judge(spark.createDataFrame(asked, "page_id long, url string"), rules=(), labels=frame).collect()}
     assert got[1].verdict == "block" and got[1].mined and got[2].verdict == "allow"
-    assert got[3].verdict == "allow", "one list's word alone is not evidence"
+    assert got[3].verdict == "block" and got[3].mined
+    strict = url_rules.judge(spark.createDataFrame(asked, "page_id long, url string"), rules=(), labels=frame, min_sources=2)
+    assert {r.page_id: r.verdict for r in strict.collect()}[3] == "allow", "one list's word alone is not evidence if two are asked for"
     assert got[4].verdict == "allow" and got[4].mined is None
 
 
+def test_mined_rules_equal_enumeration(spark):
+    """All token sets of a small table, tested one by one."""
+    rng = random.Random(12)
+    rows = [(sorted({f"path={rng.choice('abcd')}", f"host={rng.choice('xyz')}", f"key={rng.choice('pq')}"}), rng.choice(["allow", "block", "block"]), f"s{rng.randint(0, 2)}") for _ in range(60)]
+    rows += [(["host=x", "path=2024"], "block", "s0")] * 8
+    wanted = {}
+    for size in (1, 2, 3):
+        for part in {c for tokens, _, _ in rows for c in combinations(sorted(tokens), size)}:
+            fits = [label for tokens, label, _ in rows if set(part) <= set(tokens)]
+            for label in ("allow", "block"):
+                n = fits.count(label)
+                if n / len(rows) >= 0.03 and n / len(fits) >= 0.7:
+                    wanted[part, label] = n / len(fits)
+    lean = {k: c for k, c in wanted.items() if not any(label == k[1] and set(part) < set(k[0]) and d >= c - 1e-12 for (part, label), d in wanted.items())}
+    frame = spark.createDataFrame(rows, "tokens array<string>, label string, source string")
+    got = {(tuple(r.antecedent), r.label): r.confidence for r in url_rules.mine(frame, min_support=0.03, min_confidence=0.7).collect()}
+    assert set(got) == set(lean) and len(lean) > 3 and (("path=2024",), "block") in got
+    assert all(abs(got[k] - c) < 1e-9 for k, c in lean.items())
+
+
 # -- blocks ------------------------------------------------------------------------------------
 
 
