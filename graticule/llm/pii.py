@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 from graticule.llm.spans import Pattern, counted, joined, spans_of
 from graticule.llm.tables import stored
 
-#: Code points on either side of an entity whose terms count as occurring with it.
-CONTEXT = 80
 #: A term reveals an entity from this share of the entity's information content, and only if it
-#: was seen with it in so many different contexts (copies of a passage are one context).
+#: was seen with it in so many different texts (copies of a text are one).
 DISCLOSURE, SUPPORT = 0.9, 3
 TERM = "term"
 
@@ -69,25 +67,26 @@ def _terms(text: Column) -> Column:
 def disclosures(docs: DataFrame, *, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """``entity, term, disclosure``: the terms that reveal an entity, from all of ``text``.
 
-    Counts are of rows: N all, n(e) and n(t) with the entity or term, n(e, t) with the term
-    near the entity. The disclosure is log(n(e,t) N / (n(e) n(t))) / log(N / n(e)).
+    Counts are of rows: N all, n(e) and n(t) with the entity or term, n(e, t) with both, wherever
+    they stand in the text. The disclosure is log(n(e,t) N / (n(e) n(t))) / log(N / n(e)). An entity in fewer
+    different texts than ``support`` cannot have a term in so many, so only the others' texts are
+    cut into terms.
     """
     numbered = docs.select("text", base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0)
-
-    def near(s: Column) -> Column:
-        start = F.greatest(s["start"] - CONTEXT, F.lit(0).cast("long"))
-        before = F.col("text").substr((start + 1).cast("int"), (s["start"] - start).cast("int"))
-        after = F.col("text").substr((s["end"] + 1).cast("int"), F.lit(CONTEXT))
-        return F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), F.concat_ws(" | ", before, after).alias("context"))
-
-    seen = stored(numbered.select(F.xxhash64("text").alias("row"), F.monotonically_increasing_id().alias("at"), F.explode(F.transform("spans", near)).alias("n"))
-                  .select("row", "at", "n.entity", "n.context"), "entities")
-    near_terms = (seen.select("entity", "at", F.xxhash64("context").alias("context"), F.explode(F.array_distinct(_terms(F.col("context")))).alias("term"))
-                  .groupBy("entity", "term", "context").agg(F.count_distinct("at").alias("rows")))
-    pairs = near_terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("rows").alias("n_et")).filter(F.col("contexts") >= support)
+    entities = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    seen = stored(numbered.select(F.xxhash64("text").alias("blob"), F.explode(entities).alias("entity")), "entities")
+    # Rows of equal texts are counted once each, and looked into once.
+    times = seen.groupBy("entity", "blob").agg(F.count(F.lit(1)).alias("rows"))
+    often = times.groupBy("entity").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
+    wanted = stored(times.join(often.select("entity"), "entity"), "shared_entities")
+    held = (docs.select("text", F.xxhash64("text").alias("blob")).join(wanted.select("blob").distinct(), "blob", "left_semi")
+            .groupBy("blob").agg(F.any_value(F.array_distinct(_terms(F.col("text")))).alias("terms")))
+    pairs = (wanted.join(held, "blob").select("entity", "rows", F.explode("terms").alias("term"))
+             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("rows").alias("n_et")).filter(F.col("contexts") >= support))
     pairs = stored(pairs, "pairs")
-    n_entity = seen.groupBy("entity").agg(F.count_distinct("at").alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_entity = times.groupBy("entity").agg(F.sum("rows").alias("n_e"))
+    words = (docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(pairs.select("term").distinct(), "term", "left_semi")
+             .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
     measured = pairs.join(n_entity, "entity").join(words, "term").withColumn("n", docs.agg(F.count(F.lit(1))).scalar())
     ratio = F.log(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n") / F.col("n_e"))
     return measured.filter("n_e < n").select("entity", "term", ratio.alias("disclosure")).filter(F.col("disclosure") >= threshold)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -78,6 +80,29 @@ def test_terms_that_reveal_an_entity(spark):
     assert not any(f"term:{rows[0][1].index('clerk')}:" in got[i] for i in range(6))
 
 
+def test_disclosures_equal_brute_force(spark):
+    """Every term of every text with an entity, however far from it, by counting rows."""
+    rng = random.Random(3)
+    filler = " ".join("filler" for _ in range(120))
+    texts = [f"Zephyrina {filler} {rng.choice(['one', 'two', 'six'])} letter{'abcdef'[i]} wrote to anna@corp.example" for i in range(6)]
+    texts += [f"{rng.choice(['bob@x.example', '', '10.0.0.1'])} common words {rng.choice(['Nordwind', 'harbour', 'zephyr'])} {'uvwxyz'[i % 6]}uv" for i in range(60)]
+    texts += ["Quentin has cleo@x.example"] * 5 + ["", None]
+    entity = re.compile(r"[a-z]+@[a-z.]+|10\.0\.0\.1")
+    rows = [(set(entity.findall(t or "")), {w for w in re.split(r"[^A-Za-z]+", t or "") if len(w) >= 3}, t) for t in texts]
+    n, want = len(rows), {}
+    for e in set().union(*[r[0] for r in rows]):
+        n_e = sum(e in r[0] for r in rows)
+        for w in set().union(*[r[1] for r in rows if e in r[0]]):
+            both = [r for r in rows if e in r[0] and w in r[1]]
+            if len({r[2] for r in both}) >= 3 and n_e < n:
+                share = math.log(len(both) * n / (n_e * sum(w in r[1] for r in rows))) / math.log(n / n_e)
+                if share >= 0.9 - 1e-12:
+                    want[("ip:" if e[0] == "1" else "email:") + e, w] = share
+    got = {(r.entity, r.term): r.disclosure for r in pii.disclosures(spark.createDataFrame([(t or "",) for t in texts], "text string")).collect()}
+    assert set(got) == set(want) and ("email:anna@corp.example", "Zephyrina") in got and not any(w == "Quentin" for _, w in got)
+    assert all(abs(got[k] - x) < 1e-9 for k, x in want.items())
+
+
 def test_copies_are_one_context(spark):
     rows = [(i, "from Zephyrina at anna@corp.example", "en") for i in range(6)] + [(i, f"other text {i}", "en") for i in range(6, 100)]
     assert all("term" not in r.spans for r in pii.personal_data(table(spark, rows)).collect())
