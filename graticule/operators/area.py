@@ -185,6 +185,14 @@ def ambiguous_candidates(locations: DataFrame, watersheds: DataFrame) -> DataFra
     )
 
 
+def free_names(locations: DataFrame, region_keys: DataFrame) -> DataFrame:
+    """The rows whose ``text`` is a name: no shape, box, point, code or region."""
+    keys = F.broadcast(region_keys.select(F.col("region_key").alias("_key"), F.lit(True).alias("_is_region")))
+    keyed = locations.join(keys, F.lower(F.trim("text")) == F.col("_key"), "left")
+    kind = loc.classify_location(F.col("text"), F.coalesce("_is_region", F.lit(False)))
+    return keyed.where(kind == "name").drop("_key", "_is_region")
+
+
 # -- the whole location job --------------------------------------------------------
 
 

@@ -101,7 +101,10 @@ def watershed_codes(spark, sf):
     ).drop("text")
 
 
-_FREE = f"SELECT DISTINCT text FROM {DUCK.locations()} WHERE id % 8 = 6 OR text = 'Denver, CO'"
+# Neither a shape, four parts, two numbers, a code, nor a region.
+_FREE = f"""SELECT DISTINCT text FROM {DUCK.locations()} WHERE NOT starts_with(text, '{{') AND len(string_split(text, ',')) <> 4
+    AND NOT regexp_full_match(text, '-?[0-9.]+,-?[0-9.]+') AND NOT regexp_full_match(text, '(HUC-8 )?[0-9]+')
+    AND lower(trim(text)) NOT IN (SELECT key FROM (VALUES {_REGION_VALUES}) k(key, w, s, e, n))"""
 _NAMES_CTE = f"""n AS ({_FREE}), h AS (SELECT * FROM {DUCK.watersheds()}),
   w1 AS (SELECT text, level, count(*) AS c, min_by(h, code) AS hit FROM n JOIN h ON contains(lower(name), lower(text)) GROUP BY 1, 2),
   w2 AS (SELECT text, min(level) AS level, min_by(c, level) AS c, min_by(hit, level) AS hit FROM w1 GROUP BY 1),
@@ -117,8 +120,7 @@ _NAMES_CTE = f"""n AS ({_FREE}), h AS (SELECT * FROM {DUCK.watersheds()}),
 
 
 def _free_names(spark, sf):
-    l = view(spark, sf, SPARK.locations())
-    return l.where((F.col("id") % 8 == 6) | (F.col("text") == "Denver, CO"))
+    return ar.free_names(view(spark, sf, SPARK.locations()), lk.region_keys(lk.region_entries(spark)))
 
 
 @query("watershed_names", "JOIN-10", sql=f"""WITH {_NAMES_CTE}
