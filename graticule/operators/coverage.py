@@ -29,16 +29,12 @@ def _lon_parts(w: Column, e: Column) -> Column:
     )
 
 
-def _spread(boxes: DataFrame, prefix: str) -> DataFrame:
-    """Copies of each box, one per tile it touches, on its own level and coarser ones.
+def _leveled(boxes: DataFrame, prefix: str) -> DataFrame:
+    """Boxes in parts that do not cross the antimeridian, with the levels of their size and time span.
 
-    Its own level is the finest whose tiles are at least as wide as the box, so a box has
-    at most four tiles per level however large it is. Two boxes meet on the coarser of
-    their own levels, where both have copies.
+    A level is the finest whose tiles are at least as wide as the box, so a box touches at most
+    four tiles of it however large it is.
     """
-    def tiles(low: Column, high: Column, width: Column) -> Column:
-        return F.sequence(F.floor(low / width), F.floor(high / width))
-
     c = lambda name: F.col(prefix + name)
     parts = boxes.withColumn("_p", F.explode(_lon_parts(c("w"), c("e")))).select(
         "*", F.col("_p.part").alias(prefix + "part"), F.col("_p.pw").alias(prefix + "pw"),
@@ -50,9 +46,23 @@ def _spread(boxes: DataFrame, prefix: str) -> DataFrame:
         level = F.when(size <= _TILES[i], i).otherwise(level)
     days = (micros(c("t1")) - micros(c("t0"))) / _DAY_MICROS
     time_level = F.when(days <= _DAYS[0] * _MAX_BUCKETS, 0).when(days <= _DAYS[1] * _MAX_BUCKETS, 1).otherwise(2)
-    out = parts.withColumns({prefix + "lv": level, prefix + "tl": time_level})
-    out = out.withColumn("_lv", F.explode(F.sequence(F.col(prefix + "lv"), F.lit(len(_TILES) - 1))))
-    out = out.withColumn("_tl", F.explode(F.sequence(F.col(prefix + "tl"), F.lit(len(_DAYS) - 1))))
+    return parts.withColumns({prefix + "lv": level, prefix + "tl": time_level})
+
+
+def _spread(boxes: DataFrame, prefix: str, others: DataFrame, other_prefix: str) -> DataFrame:
+    """Copies of each box, one per tile it touches, on the levels where it can meet the other side.
+
+    Two boxes meet on the coarser of their own levels. The other side's levels are few, and are read
+    from it in one small aggregation, so a box is copied only to the levels that they make coarser.
+    """
+    def tiles(low: Column, high: Column, width: Column) -> Column:
+        return F.sequence(F.floor(low / width), F.floor(high / width))
+
+    c = lambda name: F.col(prefix + name)
+    met = others.agg(F.collect_set(F.struct(F.col(other_prefix + "lv").alias("lv"), F.col(other_prefix + "tl").alias("tl")))).scalar()
+    shared = F.transform("_met", lambda x: F.struct(F.greatest(x["lv"], c("lv")).alias("lv"), F.greatest(x["tl"], c("tl")).alias("tl")))
+    out = boxes.withColumn("_met", met).withColumn("_level", F.explode(F.array_distinct(shared)))
+    out = out.select("*", F.col("_level.lv").alias("_lv"), F.col("_level.tl").alias("_tl")).drop("_level", "_met")
     width = F.element_at(F.array(*[F.lit(t) for t in _TILES]), F.col("_lv") + 1)
     bucket = F.element_at(F.array(*[F.lit(float(d * _DAY_MICROS)) for d in _DAYS]), F.col("_tl") + 1)
     return (
@@ -89,7 +99,8 @@ def overlap_join(requests: DataFrame, granules: DataFrame) -> DataFrame:
     g = granules.select(
         "collection_id", F.struct(*keep).alias("_g"), *_closed("g_", "time_start", "time_end"),
     )
-    left, right = _spread(r, "r_"), _spread(g, "g_")
+    r, g = _leveled(r, "r_"), _leveled(g, "g_")
+    left, right = _spread(r, "r_", g, "g_"), _spread(g, "g_", r, "r_")
     pairs = right.join(left, ["collection_id", "_lv", "_tl", "_x", "_y", "_t"])
     c = F.col
     meet_lon = F.greatest(c("r_pw"), c("g_pw"))

@@ -102,6 +102,28 @@ def test_granule_searches_equal_single_ones(spark):
     assert "WindowGroupLimit" in plan_of(bulk.search_granules_in_bulk(granules, table))
 
 
+def test_boxes_are_copied_only_to_levels_that_the_other_side_has(spark):
+    rng = random.Random(11)
+
+    def boxes(n, size, days, prefix):
+        rows = []
+        for i in range(n):
+            w, s, t = rng.uniform(-180, 120), rng.uniform(-90, 20), rng.randint(1, 200)
+            rows.append((i, w, s, w + size, s + size, f"2020-01-{1 + t % 28:02}", days))
+        frame = spark.createDataFrame(rows, f"{prefix}id long, {prefix}w double, {prefix}s double, {prefix}e double, {prefix}n double, d string, days int")
+        start = F.col("d").cast("timestamp_ntz")
+        frame = frame.withColumn(f"{prefix}t0", start).withColumn(f"{prefix}t1", start + F.make_dt_interval("days")).drop("d", "days")
+        return coverage._leveled(frame, prefix)
+
+    small, wide = boxes(80, 3.0, 2, "g_"), boxes(30, 50.0, 400, "r_")
+    for frame, prefix, other, own in ((small, "g_", wide, "r_"), (wide, "r_", small, "g_")):
+        copies = [r["count"] for r in coverage._spread(frame, prefix, other, own).groupBy(f"{prefix}id").count().collect()]
+        assert len(copies) == frame.count() and max(copies) <= 4 * 14
+    # Both sides small: one level of place and time, so four tiles and two buckets at most.
+    copies = [r["count"] for r in coverage._spread(small, "g_", boxes(5, 2.0, 1, "r_"), "r_").groupBy("g_id").count().collect()]
+    assert max(copies) <= 8
+
+
 # -- files ---------------------------------------------------------------------------------------
 
 
