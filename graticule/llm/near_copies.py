@@ -167,7 +167,8 @@ def verified(pairs: DataFrame, texts: DataFrame, *, similarity: float, shingle:
         return F.pmod(F.xxhash64(c), F.lit(buckets))
 
     placed = pairs.withColumn("block", bucket("a") * buckets + bucket("b"))
-    held = placed.select(F.explode(F.array("a", "b")).alias("node"), F.col("block").alias("of_block")).distinct().join(texts, "node")
+    ends = placed.select(F.col("a").alias("node"), "block").union(placed.select("b", "block")).distinct()
+    held = ends.withColumnRenamed("block", "of_block").join(texts, "node")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         sets = {n: shingle_set(t.as_py().encode(), shingle) for n, t in zip(right.column("node").to_pylist(), right.column("text"), strict=True)}
