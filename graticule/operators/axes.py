@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graticule.functions.text import leaf_name
-from graticule.session import BROADCAST_ROWS
+from graticule.session import BROADCAST_ROWS, by_shuffle
 
 # Accepted axis names, in the order they are tried.
 LON_NAMES = ("lon", "longitude", "x")
@@ -205,24 +205,19 @@ def own_dimension_length(dimensions: Column, leaf: Column) -> Column:
 
 
 def axis_lengths(variables: DataFrame, coordinates: DataFrame) -> DataFrame:
-    """``collection_id, lat_length, lon_length`` from the coordinate variables."""
-    by_leaf = first_by_leaf(variables).select(
-        "collection_id", "leaf", own_dimension_length(F.col("dimensions"), F.col("leaf")).alias("n")
-    )
-
-    def side(axis: str) -> DataFrame:
-        return by_leaf.select(
-            "collection_id", F.col("leaf").alias(f"_{axis}"), F.col("n").alias(f"{axis}_length")
-        )
+    """Adds ``lat_length, lon_length`` to ``coordinates``, from the coordinate variables.
 
-    c = coordinates.withColumn("_lat", leaf_name(F.col("coord_lat"))).withColumn(
-        "_lon", leaf_name(F.col("coord_lon"))
-    )
-    return (
-        c.join(side("lat"), ["collection_id", "_lat"], "left")
-        .join(side("lon"), ["collection_id", "_lon"], "left")
-        .drop("_lat", "_lon")
-    )
+    Variables meet the names of their collection and are grouped by it, on one partitioning; of
+    those with the name asked for the first in list order counts.
+    """
+    leaf = leaf_name(F.coalesce("name", F.lit("")))
+    lengths = variables.select(
+        "collection_id", leaf.alias("leaf"), "pos", own_dimension_length(F.col("dimensions"), leaf).alias("n"))
+    axis = {a: leaf_name(F.col(f"coord_{a}")).alias(f"_{a}") for a in ("lat", "lon")}
+    named = lengths.join(by_shuffle(coordinates.select("collection_id", *axis.values())), "collection_id")
+    found = named.groupBy("collection_id").agg(*[
+        F.min_by("n", F.when(F.col("leaf") == F.col(f"_{a}"), F.col("pos"))).alias(f"{a}_length") for a in axis])
+    return coordinates.join(by_shuffle(found), "collection_id", "left")
 
 
 def collection_axes(extents: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -231,7 +226,7 @@ def collection_axes(extents: DataFrame, lengths: DataFrame) -> DataFrame:
     Either axis missing leaves both null: half a geometry cannot bracket a variable.
     """
     x = F.col("spatial_extent")
-    g = lengths.join(extents, "collection_id", "left").select(
+    g = lengths.join(by_shuffle(extents), "collection_id", "left").select(
         "collection_id", "coord_lat", "coord_lon", "coord_time",
         axis_geometry(x["s"], x["n"], F.col("lat_length")).alias("lat_axis"),
         axis_geometry(x["w"], x["e"], F.col("lon_length")).alias("lon_axis"),

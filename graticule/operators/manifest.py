@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graticule.functions import text as tx
 from graticule.operators.axes import dimension_plan, first_by_leaf, index_range, longitude_index_range
+from graticule.session import by_shuffle
 
 #: Granules taken into one subset request.
 GRANULES_PER_REQUEST = 50
@@ -55,8 +56,8 @@ def with_dimension_plans(requested: DataFrame, variables: DataFrame, coordinates
     dims = first_by_leaf(variables)
     keyed = requested.withColumn("leaf", tx.leaf_name(F.col("resolved")))
     return (
-        keyed.join(dims, ["collection_id", "leaf"], "left")
-        .join(coordinates.select("collection_id", "coord_lat", "coord_lon"), "collection_id", "left")
+        keyed.join(by_shuffle(dims), ["collection_id", "leaf"], "left")
+        .join(by_shuffle(coordinates.select("collection_id", "coord_lat", "coord_lon")), "collection_id", "left")
         .withColumn(
             "dim_plan",
             dimension_plan(
@@ -141,7 +142,7 @@ def subset_manifest(constrained: DataFrame, granules: DataFrame) -> DataFrame:
     g = granules.where(F.col("access_url").isNotNull()).select(
         "request_id", "rank", F.floor((F.col("rank") - 1) / GRANULES_PER_REQUEST).alias("batch"), "granule_ur", "access_url")
     url = subset_url(F.col("access_url"), F.col("constraint"))
-    return g.join(constrained.select("request_id", "constraint", "status"), "request_id").select(
+    return g.join(by_shuffle(constrained.select("request_id", "constraint", "status")), "request_id").select(
         "request_id", "rank", "batch", "granule_ur", "status", url.alias("url"),
         tx.file_name_from_url(url).alias("file_name")
     )

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graticule.operators import bulk_search as bulk
-from graticule.operators import catalog, coverage, lineage, sample, tiles
+from graticule.operators import axes as ax
+from graticule.operators import catalog, coverage, lineage, manifest, routing, sample, tiles
 from graticule.operators import grid as gr
 from graticule.session import scratch_path
 from graticule.sources import chunks, files
@@ -317,3 +318,24 @@ def test_sums_are_corrected_and_compacted(spark):
     compact = scratch_path(spark, "compact")
     means.compact_sums(spark, path, ["v"], ["cell"], compact)
     assert seen(compact) == want and spark.read.parquet(compact).count() == 3
+
+
+# -- sides that grow ---------------------------------------------------------------------------
+
+
+def test_axis_tables_are_not_collected_by_the_driver(spark):
+    dims = "array<struct<name:string,size:bigint>>"
+    v = spark.createDataFrame([
+        ("C1", 0, "lat", None, [("lat", 4)]), ("C1", 1, "LON", None, [("x", 2), ("lon", 8)]), ("C1", 2, "/b/lat", None, [("lat", 9)]),
+        ("C1", 3, "ndvi", None, [("time", 3), ("lat", 4), ("lon", 8)]), ("C2", 0, "lat", None, [("lat", 0)]), ("C3", 0, "ndvi", None, None),
+    ], f"collection_id string, pos long, name string, standard_name string, dimensions {dims}")
+    names = ax.discover_coordinates(v)
+    lengths = ax.axis_lengths(v, names)
+    found = {r.collection_id: (r.lat_length, r.lon_length) for r in lengths.collect()}
+    assert found == {"C1": (4, 8), "C2": (None, None), "C3": (None, None)}
+    asked = spark.createDataFrame([(1, 0, "C1", "ndvi"), (2, 0, "C2", "lat")], "request_id long, pos long, collection_id string, variable string")
+    resolved = routing.resolve_paths(asked, v)
+    planned = manifest.with_dimension_plans(resolved, v, names)
+    for df in (lengths, planned, routing.ambiguous_paths(resolved, v)):
+        df.collect()
+        assert "Broadcast" not in plan_of(df)
