@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graticule.functions.text import layer_key, leaf_name
+from graticule.session import by_shuffle
 from graticule.sources.metadata import NEEDS
 
 def _unmet(service: Column) -> Column:
@@ -137,7 +138,7 @@ def resolve_paths(requested: DataFrame, variables: DataFrame) -> DataFrame:
     keyed = requested.withColumn("leaf", F.lower("variable"))
     full = F.startswith("variable", F.lit("/"))
     n = F.coalesce("n_paths", F.lit(0))
-    return keyed.join(by_leaf, ["collection_id", "leaf"], "left").select(
+    return keyed.join(by_shuffle(by_leaf), ["collection_id", "leaf"], "left").select(
         "request_id", "pos", "collection_id", "variable",
         F.when(full | (n == 0), F.col("variable")).when(n == 1, F.col("path")).alias("resolved"),
         F.when(full, "full_path").when(n == 0, "unmatched").when(n == 1, "ok")
@@ -152,7 +153,7 @@ def ambiguous_paths(resolved: DataFrame, variables: DataFrame) -> DataFrame:
         "request_id", "collection_id", "variable", F.lower("variable").alias("leaf")
     )
     paths = variables.select("collection_id", leaf_name(F.col("name")).alias("leaf"), F.col("name").alias("path"))
-    return keyed.join(paths, ["collection_id", "leaf"]).select("request_id", "collection_id", "variable", "path")
+    return keyed.join(by_shuffle(paths), ["collection_id", "leaf"]).select("request_id", "collection_id", "variable", "path")
 
 
 def match_layers(requested: DataFrame, layers: DataFrame) -> DataFrame:
