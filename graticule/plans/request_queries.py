@@ -15,7 +15,7 @@ from graticule.plans.catalog_queries import CAPABILITIES_SQL, capabilities
 from graticule.plans.fixtures import DUCK, SPARK, table, view
 from graticule.plans.place_queries import PAIRS_SQL
 from graticule.plans.registry import query
-from graticule.session import cut_lineage
+from graticule.session import by_shuffle, cut_lineage
 from graticule.sources import metadata as md
 from graticule.sources.metadata import NEEDS
 
@@ -71,7 +71,7 @@ def dimension_plans(spark, sf):
     v = fx.variable_table(spark, sf)
     c = ax.discover_coordinates(v).select("collection_id", tx.leaf_name(F.col("coord_lat")).alias("la"), tx.leaf_name(F.col("coord_lon")).alias("lo"))
     plan = ax.dimension_plan(F.col("dimensions"), F.col("la"), F.col("lo"))
-    joined = v.join(c, "collection_id").withColumn("plan", plan)
+    joined = v.join(by_shuffle(c), "collection_id").withColumn("plan", plan)
     dims = F.transform("plan", lambda d: F.concat(d["leaf"], F.lit("="), F.coalesce(d["size"].cast("string"), F.lit(""))))
     return joined.select(
         F.concat(F.lit("V"), F.substring("collection_id", 2, 20), F.lit("_"), F.col("pos").cast("string")).alias("concept_id"),
@@ -335,7 +335,7 @@ def _constrained(spark, sf):
         F.when(F.col("processing_level") == "2", "swath").otherwise("grid").alias("output_shape"),
     )
     full = (
-        r.join(plans, "request_id", "left").join(axes, "collection_id").join(shape, "collection_id")
+        r.join(by_shuffle(plans), "request_id", "left").join(by_shuffle(axes), "collection_id").join(by_shuffle(shape), "collection_id")
         .select("request_id", "variables", "ambiguous", "coord_lat", "coord_lon", "coord_time", "lat_axis", "lon_axis", "output_shape",
                 F.lit(True).alias("needs_bbox"), F.struct("w", "s", "e", "n").alias("bbox"))
     )
@@ -362,7 +362,7 @@ def subset_manifest(spark, sf):
     g = md.parse_granules(fx.granule_records(spark, sf)).select("granule_ur", tx.access_url(F.col("related_urls")).alias("access_url"))
     boxes = view(spark, sf, SPARK.granules()).select("granule_ur", "collection_id", "w", "s", "e", "n", "time_start", "time_end")
     pairs = cov.overlap_join(view(spark, sf, SPARK.aois()), boxes).select("request_id", "granule_ur", "time_start")
-    pairs = pairs.join(g, "granule_ur")
+    pairs = pairs.join(by_shuffle(g), "granule_ur")
     return mf.subset_manifest(_constrained(spark, sf), cov.first_granules(pairs, None)).withColumn("rank", F.col("rank").cast("long"))
 
 
