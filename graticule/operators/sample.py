@@ -119,6 +119,8 @@ def sample_points_irregular(
 #: Halvings of the cube around the globe; the smallest tiles are about 80 km wide.
 _LEVELS = 7
 EARTH_KM = 6371.0088
+#: Digits of the squared chord that count; beyond them lies the rounding of sines and cosines.
+_DIGITS = 13
 
 
 def _unit(lat: Column, lon: Column) -> list[Column]:
@@ -137,7 +139,8 @@ def nearest_scattered(points: DataFrame, cells: DataFrame, by: list[str] | None
 
     ``points``: ``point_id, lat, lon``; ``cells``: ``cell_id, lat, lon``; with ``by`` both have
     those columns too (a granule, say) and meet only within them. Gives ``point_id``, ``by``,
-    ``cell_id`` and ``distance_km`` along the globe; equal distances take the lower ``cell_id``. Points
+    ``cell_id`` and ``distance_km`` along the globe; equal distances, which are those with the same squared chord on the unit
+    sphere to 13 digits, take the lower ``cell_id``. Points
     and cells without a place take no part. Exact, poles and antimeridian included.
 
     Occupied tiles form a tree of boxes around the cells. Points go down it by equi-joins on the parent tile; a
@@ -174,8 +177,8 @@ def nearest_scattered(points: DataFrame, cells: DataFrame, by: list[str] | None
         open_tiles = cut_lineage(kept, "open_tiles") if level % 3 == 0 else kept
     apart = square([F.col(a) - c for a, c in zip(axes, p, strict=True)])
     best = (open_tiles.join(placed, [*by, "tile"]).withColumn("_apart", apart)
-            .groupBy("point_id", *by).agg(F.min(F.struct("_apart", "cell_id")).alias("_best")))
-    distance = 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt("_best._apart") / 2))
+            .groupBy("point_id", *by).agg(F.min(F.struct(F.round("_apart", _DIGITS).alias("_apart"), "cell_id")).alias("_best"), F.min("_apart").alias("_least")))
+    distance = 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt("_least") / 2))
     return best.select("point_id", *by, F.col("_best.cell_id").alias("cell_id"), distance.alias("distance_km"))
 
 

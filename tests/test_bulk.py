@@ -339,3 +339,10 @@ def test_axis_tables_are_not_collected_by_the_driver(spark):
     for df in (lengths, planned, routing.ambiguous_paths(resolved, v)):
         df.collect()
         assert "Broadcast" not in plan_of(df)
+
+
+def test_equal_distances_take_the_lower_cell(spark):
+    # At a pole all cells of a latitude are equally far, but for rounding.
+    cells = spark.createDataFrame([(i, 80.5, -180 + (i * 7919) % 36000 * 0.01) for i in range(200)], "cell_id long, lat double, lon double")
+    points = spark.createDataFrame([(1, 90.0, 0.0), (2, 90.0, 77.0), (3, 90.0, -180.0)], "point_id long, lat double, lon double")
+    assert [r.cell_id for r in sample.nearest_scattered(points, cells).collect()] == [0, 0, 0]
