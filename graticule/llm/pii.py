@@ -85,8 +85,8 @@ def disclosures(docs: DataFrame, *, threshold: float = DISCLOSURE, support: int
              .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("rows").alias("n_et")).filter(F.col("contexts") >= support))
     pairs = stored(pairs, "pairs")
     n_entity = times.groupBy("entity").agg(F.sum("rows").alias("n_e"))
-    words = (docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(pairs.select("term").distinct(), "term", "left_semi")
-             .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+    # Counted before they meet the pairs: tasks send one row a term, not one for each of its texts.
+    words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     measured = pairs.join(n_entity, "entity").join(words, "term").withColumn("n", docs.agg(F.count(F.lit(1))).scalar())
     ratio = F.log(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n") / F.col("n_e"))
     return measured.filter("n_e < n").select("entity", "term", ratio.alias("disclosure")).filter(F.col("disclosure") >= threshold)
@@ -107,7 +107,9 @@ def with_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                  .select(F.sha2("text", 256).alias("blob"), F.explode("spans").alias("s"))
                  .select("blob", F.concat_ws(":", F.col("s.kind"), F.lower("s.value")).alias("entity")).distinct()
                  .join(terms, "entity").groupBy("blob").agg(F.collect_set("term").alias("terms")))
-    joined_up = based.withColumn("blob", F.sha2("text", 256)).join(revealing, "blob", "left")
+    # Only texts that hold an entity are dealt out to meet its terms.
+    open_rows = based.filter(F.size("spans") > 0).withColumn("blob", F.sha2("text", 256)).join(revealing, "blob", "left").drop("blob")
+    joined_up = open_rows.unionByName(based.filter(F.size("spans") == 0).withColumn("terms", F.lit(None).cast("array<string>")))
     regex = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     added = F.filter(spans_of(F.col("text"), Pattern(TERM, regex)), lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     return joined_up.select("row", "text", F.concat("spans", F.when(F.col("terms").isNotNull(), added).otherwise(F.array().cast(_NO_SPANS))).alias("spans"))

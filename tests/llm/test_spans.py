@@ -146,3 +146,12 @@ def test_many_spans_in_one_text(spark):
     got = pii.personal_data(table(spark, [(1, text, "en")])).head()
     counts, digest = expected(text, PII)
     assert (got.n_email, got.base_sha256) == (3000, digest) and counts[0] == 3000
+
+
+def test_texts_without_entities_are_not_dealt_out(spark):
+    rows = [(i, f"Mail ann@example.org about Wolfram {'abc'[i]}") for i in range(3)] + [(i, f"plain words {i}") for i in range(3, 30)] + [(30, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.with_spans(docs, threshold=0.5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and len(found.collect()) == 31
+    assert {r.row.doc_id for r in found.filter(F.exists("spans", lambda s: s["kind"] == "term")).collect()} == {0, 1, 2}
