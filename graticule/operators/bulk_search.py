@@ -3,11 +3,15 @@
 No search is compared with every record. A catalog search has up to five keys (one of its words,
 an identifier, a name, a provider, a level); records are listed under theirs in an inverted index,
 and a search reads only the list that is shortest. What the list gives is tested in full. Searches
-that ask the same are answered once.
+that ask the same are answered once. Results stand by identifier, so the lists are read in that
+order, in rounds of growing length, and a search that has its rows leaves: what it would meet later
+could only stand behind them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,9 @@ GRANULE_SEARCH_COLUMNS = {
 #: Granule columns to sort by; ``-`` in front turns the order.
 SORT_COLUMNS = ("time_start", "time_end", "granule_ur", "cloud_cover", "size_mb")
 
+#: So many first records, by identifier, are met in each round of a catalog search; the last round has all others.
+_ROUNDS = (128, 1024, 8192, 65536)
+
 _WHITE = r"\s+"
 
 
@@ -132,7 +139,25 @@ def search_catalog(collections: DataFrame, searches: DataFrame, limit: int = DEF
         "concept_id", "short_name", "provider_id", "entry_title", "abstract", "processing_level", "time_start", "time_end", F.col("has_granules").alias("found_granules"),
         *[F.col(c).alias(f"g{c}") for c in "wsen"]), "records")
     index = cut_lineage(_index(records), "index")
-    routes = _routes(distinct, index)
+    routes = cut_lineage(_routes(distinct, index), "ways")
+    front = [r[0] for r in records.where("concept_id is not null").select("concept_id").orderBy("concept_id").limit(_ROUNDS[-1]).collect()]
+    cuts = [front[n - 1] for n in _ROUNDS if n <= len(front)]
+    found, left = [], routes
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        block = index if low is None else index.where(F.col("concept_id") > low)
+        block = block if high is None else block.where(F.col("concept_id") <= high)
+        found.append(cut_lineage(_hits(left, block, records, distinct), "round"))
+        so_far = reduce(DataFrame.unionByName, found)
+        if high is None:
+            break
+        done = so_far.groupBy("ask").agg(F.count(F.lit(1)).alias("n"), F.any_value("limit").alias("limit")).where("n >= limit").select("ask")
+        left = cut_lineage(left.join(done, "ask", "left_anti"), "ways")
+    best = _top(so_far, "ask", [F.col("concept_id")])
+    return each.select("search_id", "ask").join(best, "ask").select("search_id", F.col("rank").cast("long").alias("rank"), "concept_id", "short_name", "entry_title")
+
+
+def _hits(routes: DataFrame, index: DataFrame, records: DataFrame, distinct: DataFrame) -> DataFrame:
+    """What searches find under their keys in a part of the index: their first rows, with ``limit``."""
     met = routes.join(index, ["kind", "value"]).select("ask", "concept_id").distinct()
     hit = met.join(records.withColumnsRenamed({"concept_id": "found_id", "short_name": "found_name"}), F.col("concept_id") == F.col("found_id")).drop("concept_id").join(distinct, "ask")
     c = F.col
@@ -146,8 +171,7 @@ def search_catalog(collections: DataFrame, searches: DataFrame, limit: int = DEF
         & asks("t1", c("time_start") <= c("t1")) & asks("t0", c("time_end") >= c("t0"))
         & asks("w", _lon_overlap(c("w"), c("e"), c("gw"), c("ge")) & (c("gs") <= c("n")) & (c("gn") >= c("s")))
     )
-    best = _top(hit, "ask", [c("found_id")]).select("ask", "rank", c("found_id").alias("concept_id"), c("found_name").alias("short_name"), "entry_title")
-    return each.select("search_id", "ask").join(best, "ask").select("search_id", c("rank").cast("long").alias("rank"), "concept_id", "short_name", "entry_title")
+    return _top(hit, "ask", [c("found_id")]).select("ask", "limit", c("found_id").alias("concept_id"), c("found_name").alias("short_name"), "entry_title")
 
 
 def search_granules_in_bulk(granules: DataFrame, searches: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:

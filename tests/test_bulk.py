@@ -346,3 +346,18 @@ def test_equal_distances_take_the_lower_cell(spark):
     cells = spark.createDataFrame([(i, 80.5, -180 + (i * 7919) % 36000 * 0.01) for i in range(200)], "cell_id long, lat double, lon double")
     points = spark.createDataFrame([(1, 90.0, 0.0), (2, 90.0, 77.0), (3, 90.0, -180.0)], "point_id long, lat double, lon double")
     assert [r.cell_id for r in sample.nearest_scattered(points, cells).collect()] == [0, 0, 0]
+
+
+def test_searches_with_their_rows_meet_no_further_records(spark, collections, monkeypatch):
+    monkeypatch.setattr(bulk, "_ROUNDS", (4, 16, 64))
+    met = []
+    hits = bulk._hits
+    monkeypatch.setattr(bulk, "_hits", lambda routes, index, *a: (met.append((routes.select("ask").distinct().count(), index.select("concept_id").distinct().count())), hits(routes, index, *a))[1])
+    asks = [(1, "a", 2), (2, None, 5), (3, "daily", 50), (4, "nowhere", 5)]
+    searches = spark.createDataFrame(asks, "search_id long, keyword string, limit long")
+    got = defaultdict(list)
+    for r in bulk.search_catalog(collections, searches).orderBy("search_id", "rank").collect():
+        got[r.search_id].append(r.concept_id)
+    text = {r.concept_id: " ".join(x for x in (r.short_name, r.entry_title, r.abstract) if x is not None).lower() for r in collections.collect()}
+    assert got == {i: ids for i, word, n in asks if (ids := [k for k in sorted(text) if word is None or word in text[k]][:n])}
+    assert [m[1] for m in met] == [4, 12, 48, 56] and met[-1][0] < met[0][0]
