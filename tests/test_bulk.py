@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from graticule.operators import bulk_search as bulk
 from graticule.operators import axes as ax
-from graticule.operators import catalog, coverage, lineage, manifest, routing, sample, tiles
+from graticule.operators import area, catalog, coverage, lineage, manifest, routing, sample, tiles
 from graticule.operators import grid as gr
-from graticule.session import scratch_path
+from graticule.session import cut_lineage, scratch_path
 from graticule.sources import chunks, files
 from graticule.streaming import job_state, means
 
@@ -361,3 +361,22 @@ def test_searches_with_their_rows_meet_no_further_records(spark, collections, mo
     text = {r.concept_id: " ".join(x for x in (r.short_name, r.entry_title, r.abstract) if x is not None).lower() for r in collections.collect()}
     assert got == {i: ids for i, word, n in asks if (ids := [k for k in sorted(text) if word is None or word in text[k]][:n])}
     assert [m[1] for m in met] == [4, 12, 48, 56] and met[-1][0] < met[0][0]
+
+
+def test_names_are_routed_by_long_pieces(spark, monkeypatch):
+    """3,000 names share all three-letter pieces of a query; it meets only those with its longer one."""
+    written = {}
+
+    def keep(df, label="stage"):
+        written[label] = cut_lineage(df, label)
+        return written[label]
+
+    monkeypatch.setattr(area, "cut_lineage", keep)
+    names = spark.createDataFrame([(i, f"Aa Creek 1232341{i:04d}") for i in range(3000)] + [(5000, "Bb Creek 12341 12341"), (5001, "x")], "code long, name string")
+    asked = [("12341",), ("creek",), ("9",), ("k 12",), ("341 1",), ("nowhere",), ("bb creek 12341 12",), ("",)]
+    queries = spark.createDataFrame(asked, "text string").withColumn("parts", F.array("text"))
+    found = area.contains_join(queries, names, "parts", "name").select("text", "match_code")
+    rows = [(r["code"], r["name"].lower()) for r in names.collect()]
+    assert sorted((r[0], r[1]) for r in found.collect()) == sorted((q, code) for (q,) in asked for code, name in rows if q and q in name)
+    routed = {r["_parts"][0]: r["_gram"] for r in written["rarest"].collect()}
+    assert routed["12341"] == "12341" and len(routed["bb creek 12341 12"]) == 8 and "nowhere" not in routed
