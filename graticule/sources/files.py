@@ -172,12 +172,26 @@ def _inferred_types(rows: DataFrame, names: list[str]) -> dict[str, str]:
     return {name: kind(i) for i, name in enumerate(names)}
 
 
-def result_files_to_parquet(spark: SparkSession, manifest: DataFrame, root: str, parquet_path: str) -> DataFrame:
+def lines_of_files(spark: SparkSession, root: str) -> DataFrame:
+    """The text files under a folder as an archive: ``path, at, front, value``.
+
+    Every file is opened and listed by itself, which suits thousands of files; millions of small
+    ones belong in an archive, a table of this shape that is written once.
+    """
+    scan = spark.read.option("recursiveFileLookup", True).text(root)
+    return scan.select(
+        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"),
+        (F.col("_metadata.file_block_start") == 0).alias("front"), "value")
+
+
+def result_files_to_parquet(spark: SparkSession, manifest: DataFrame, files: str | DataFrame, parquet_path: str) -> DataFrame:
     """The result file of every task of a manifest → one Parquet table: ``task_id`` and all columns.
 
     ``manifest``: ``task_id, pos, file_id, file_name, file_type`` as in ``pick_result_files``, and
-    ``path`` as Spark names it in ``_metadata.file_path``; the files lie somewhere under ``root``.
-    All are read in one scan and meet their task by path, so no list of paths is on the driver.
+    ``path`` as Spark names it in ``_metadata.file_path``. ``files`` is a folder under which the files
+    lie, or an archive of them: a row per line, ``path, at`` (the line's place in its file), ``value``,
+    and optionally ``front`` (false for parts of a file that cannot hold its header). All are read in one
+    scan and meet their task by path; of an archive no list of files is ever on the driver.
     Headers may differ: columns are united by name, in alphabetical order, a column
     that a file lacks is null there, and of equal names in one header the first counts. Types are
     inferred over all tasks; empty fields are null, empty lines are left out, and quoted fields do
@@ -186,10 +200,10 @@ def result_files_to_parquet(spark: SparkSession, manifest: DataFrame, root: str,
     """
     chosen = pick_result_files(manifest).where("status = 'ok'").select("task_id", "file_id")
     paths = manifest.join(chosen, ["task_id", "file_id"]).select("task_id", F.col("path").alias("_path"))
-    scan = spark.read.option("recursiveFileLookup", True).text(root)
-    lines = scan.where(F.trim("value") != "").select(
-        F.regexp_replace("value", "^﻿", "").alias("line"), F.col("_metadata.file_path").alias("_path"),
-        (F.col("_metadata.file_block_start") == 0).alias("_front"), F.monotonically_increasing_id().alias("_at"))
+    archive = lines_of_files(spark, files) if isinstance(files, str) else files
+    front = F.col("front") if "front" in archive.columns else F.lit(True)
+    lines = archive.where(F.trim("value") != "").select(
+        F.regexp_replace("value", "^﻿", "").alias("line"), F.col("path").alias("_path"), front.alias("_front"), F.col("at").alias("_at"))
     held = cut_lineage(lines.join(paths, "_path").drop("_path"), "result_lines")
     first = held.where("_front").groupBy("task_id").agg(F.min("_at").alias("_first"), F.min_by("line", "_at").alias("_header"))
     width = first.agg(F.max(F.length("_header") - F.length(F.replace("_header", F.lit(","), F.lit(""))))).head()[0]

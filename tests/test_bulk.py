@@ -380,3 +380,15 @@ def test_names_are_routed_by_long_pieces(spark, monkeypatch):
     assert sorted((r[0], r[1]) for r in found.collect()) == sorted((q, code) for (q,) in asked for code, name in rows if q and q in name)
     routed = {r["_parts"][0]: r["_gram"] for r in written["rarest"].collect()}
     assert routed["12341"] == "12341" and len(routed["bb creek 12341 12"]) == 8 and "nowhere" not in routed
+
+
+def test_result_files_come_from_an_archive(spark):
+    """2,000 tasks of one small file each, in one table; before, every file was one on disk."""
+    lines = spark.range(2000).select(F.concat(F.lit("t"), "id").alias("path"), F.expr(
+        "explode(array(struct(-1L as at, if(id % 2 = 0, '﻿ID,v', 'v,\"a, b\",ID') as value), struct(7L as at, '' as value), "
+        "struct(3L as at, if(id % 2 = 0, id || ',1.5', ',\"x, y\",' || id) as value)))").alias("x")).select("path", "x.*")
+    manifest = spark.range(2000).select(F.col("id").alias("task_id"), F.lit(0).alias("pos"), F.lit("f").alias("file_id"), F.lit("Results.csv").alias("file_name"), F.lit("csv").alias("file_type"), F.concat(F.lit("t"), "id").alias("path"))
+    got = files.result_files_to_parquet(spark, manifest, lines, scratch_path(spark, "archived"))
+    assert dict(got.dtypes) == {"task_id": "bigint", "ID": "bigint", "a, b": "string", "v": "double"}
+    even = {(r.task_id, r.ID, r.v, r["a, b"]) for r in got.collect()}
+    assert even == {(i, i, 1.5, None) if i % 2 == 0 else (i, i, None, "x, y") for i in range(2000)}
