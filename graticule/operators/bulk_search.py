@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graticule.operators.area import contains_join
-from graticule.operators.coverage import DEFAULT_LIMIT, overlap_join
+from graticule.operators.coverage import AREA, DEFAULT_LIMIT, once_each, overlap_join
 from graticule.session import cut_lineage
 
 #: Rows that one search may ask for.
@@ -185,14 +185,17 @@ def search_granules_in_bulk(granules: DataFrame, searches: DataFrame, limit: int
     an unknown key counts as none.
     """
     each = _with_columns(searches, GRANULE_SEARCH_COLUMNS, limit)
-    pairs = overlap_join(each.select("request_id", "collection_id", "t0", "t1", "w", "s", "e", "n"), granules)
-    more = each.select("request_id", "cloud_min", "cloud_max", F.lower("day_night_flag").alias("wanted_flag"), "sort_key", "limit")
+    also = ("cloud_min", "cloud_max", "wanted_flag", "sort_key", "limit")
+    each = each.withColumn("wanted_flag", F.lower("day_night_flag")).select("request_id", *AREA, *also)
     c = F.col
-    met = pairs.join(more, "request_id").where(
-        (c("cloud_min").isNull() | (c("cloud_cover") >= c("cloud_min"))) & (c("cloud_max").isNull() | (c("cloud_cover") <= c("cloud_max")))
-        & (c("wanted_flag").isNull() | (F.lower("day_night_flag") == c("wanted_flag"))))
     order = []
     for name in SORT_COLUMNS:  # of all these only the one that the row names differs within a search
         order += [F.when(c("sort_key") == name, c(name)).asc(), F.when(c("sort_key") == f"-{name}", c(name)).desc()]
-    found = _top(met, "request_id", [*order, c("time_start"), c("granule_ur")])
-    return found.withColumn("rank", c("rank").cast("long")).drop("cloud_min", "cloud_max", "wanted_flag", "sort_key", "limit")
+
+    def answer(asked: DataFrame) -> DataFrame:
+        met = overlap_join(asked, granules, also).where(
+            (c("cloud_min").isNull() | (c("cloud_cover") >= c("cloud_min"))) & (c("cloud_max").isNull() | (c("cloud_cover") <= c("cloud_max")))
+            & (c("wanted_flag").isNull() | (F.lower("day_night_flag") == c("wanted_flag"))))
+        return _top(met, "request_id", [*order, c("time_start"), c("granule_ur")]).withColumn("rank", c("rank").cast("long")).drop(*also)
+
+    return once_each(each, answer, (*AREA, *also))
