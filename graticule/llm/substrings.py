@@ -9,9 +9,9 @@ A window is ``WINDOW`` consecutive words of one text. The steps:
    in an earlier one is kept.
 3. Those places are gathered into phrases: stretches of ``STEP`` window starts of the
    earlier document. Each document gets the phrases that its confirmed windows lie in.
-4. Documents are streamed in blocks of bounded size. A block compiles an Aho-Corasick automaton
-   of the phrases that its documents need (its shard of all phrases), finds every occurrence of
-   their parts, and verifies words before and after. Only real equal words are removed.
+4. Documents are streamed in blocks of bounded size. A block compiles Aho-Corasick automata
+   of the phrases that its documents need, one for each share of bounded size, finds every
+   occurrence of their parts, and verifies words before and after. Only real equal words are removed.
 
 No step holds more than a block of texts and its phrases; what two documents share is found by
 grouping, so neither a pass per phrase nor a table of all phrases is needed anywhere.
@@ -35,6 +35,9 @@ from graticule.llm.textblocks import Block, blocks, mix, runs
 WINDOW, GRAM, STEP = 13, 5, 64
 #: Words per automaton part: any window holds a whole one at a multiple of it.
 PART = (WINDOW + 1) // 2
+#: Bytes of texts of a block of step 4, and of the phrases of one automaton (one phrase at the least).
+#: An automaton takes some 50 times the bytes of its phrases.
+COVER_BYTES, SHARD_BYTES = 1 << 18, 1 << 18
 
 
 def _windows(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -159,9 +162,9 @@ class Shard:
             self.automaton.add_word(part, (len(part), places))
         self.automaton.make_automaton()
 
-    def covered(self, words: list[bytes], doc: int) -> bytearray:
-        """1 for each word inside an occurrence of a window of an earlier document."""
-        out = bytearray(len(words))
+    def covered(self, words: list[bytes], doc: int, out: bytearray | None = None) -> bytearray:
+        """1 for each word inside an occurrence of a window of an earlier document; added to ``out``."""
+        out = bytearray(len(words)) if out is None else out
         if len(words) < WINDOW or not self.phrases:
             return out
         number = np.array([self.numbers.get(w, -1) for w in words])
@@ -189,6 +192,47 @@ class Shard:
         return out
 
 
+def _shares(phrases: set[tuple[int, str]]) -> Iterator[set[tuple[int, str]]]:
+    """The phrases in shares of at most ``SHARD_BYTES``; each window lies whole in one phrase."""
+    share: set[tuple[int, str]] = set()
+    held = 0
+    for phrase in sorted(phrases, key=lambda x: x[1]):
+        if share and held + len(phrase[1]) > SHARD_BYTES:
+            yield share
+            share, held = set(), 0
+        share.add(phrase)
+        held += len(phrase[1])
+    if share:
+        yield share
+
+
+def _without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc_id, n_words, n_removed, kept, kept_sha256`` from documents with their phrases."""
+    for batch in batches:
+        ids, lists = batch.column("doc_id"), batch.column("phrases")
+        for block in blocks(batch.column("text"), COVER_BYTES):
+            held = [(i, ids[block.first + i].as_py()) for i in range(block.size) if lists[block.first + i].is_valid]
+            wanted = {(x["source"], x["phrase"]) for i, _ in held for x in lists[block.first + i].as_py()}
+            words = {i: block.text(i).split() for i, _ in held}
+            covers = {i: bytearray(len(words[i])) for i, _ in held}
+            for share in _shares(wanted):
+                shard = Shard(share)
+                for i, doc in held:
+                    shard.covered(words[i], doc, covers[i])
+            n, gone, kept = [], [], []
+            for i in range(block.size):
+                left = words.pop(i) if i in covers else block.text(i).split()
+                n.append(len(left))
+                if i in covers:
+                    left = [w for w, c in zip(left, covers[i], strict=True) if not c]
+                gone.append(n[-1] - len(left))
+                kept.append(b" ".join(left))
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(block.first, block.size), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode() for k in kept], pa.string()),
+                 pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
+                names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept, kept_sha256`` of each row.
 
@@ -208,27 +252,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     needs = stored(_needs(_candidates(named, shared)), "needs")
     phrases = _phrases(named, needs)
     lists = (needs.join(phrases, ["source", "piece"]).groupBy("doc_id")
-             .agg(F.collect_set(F.struct("source", "phrase")).alias("phrases")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, lists_in = batch.column("doc_id"), batch.column("phrases")
-            n, gone, kept = [], [], []
-            for block in blocks(batch.column("text")):
-                rows = [lists_in[block.first + i].as_py() or () for i in range(block.size)]
-                shard = Shard({(x["source"], x["phrase"]) for row in rows for x in row})
-                for i, row in enumerate(rows):
-                    words = block.text(i).split()
-                    n.append(len(words))
-                    if row:
-                        cover = shard.covered(words, ids[block.first + i].as_py())
-                        words = [w for w, c in zip(words, cover, strict=True) if not c]
-                    gone.append(n[-1] - len(words))
-                    kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode() for k in kept], pa.string()),
-                 pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
-
+             .agg(F.collect_list(F.struct("source", "phrase")).alias("phrases")))
     return docs.join(lists, "doc_id", "left").select("doc_id", "text", "phrases").mapInArrow(
-        run, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+        _without_repeats, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")

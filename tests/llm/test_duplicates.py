@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -152,3 +153,21 @@ def test_removal_of_nothing(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
     rows = [(1, "all different words here", "en"), (2, None, "en")]
     assert {r.n_removed for r in substrings.remove_repeats(table(spark, rows)).collect()} == {0}
+
+
+def test_removal_with_more_phrases_than_one_automaton_holds(monkeypatch):
+    """A text's phrases may be many times the text; no automaton takes more than its share."""
+    rng = random.Random(5)
+    sources = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(76)) for _ in range(200)]
+    text = " ".join(s.rsplit(" ", 1 + i % 60)[0] for i, s in enumerate(sources))
+    asked, shard = [], substrings.Shard
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 1 << 13)
+    monkeypatch.setattr(substrings, "Shard", lambda phrases: asked.append(sum(len(p) for _, p in phrases)) or shard(phrases))
+    phrases = [{"source": i, "phrase": s} for i, s in enumerate(sources)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([500, 501]), pa.array([text, "new " + sources[3]]),
+         pa.array([phrases, None], pa.list_(pa.struct([("source", pa.int64()), ("phrase", pa.string())])))],
+        names=["doc_id", "text", "phrases"])
+    got = [r for out in substrings._without_repeats(iter([batch])) for r in out.to_pylist()]
+    assert [(r["doc_id"], r["n_words"] - r["n_removed"]) for r in got] == [(500, 0), (501, 77)]
+    assert len(asked) > 10 and max(asked) <= 1 << 13
