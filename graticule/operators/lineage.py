@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graticule.functions.text import handle_kind, plain_number
-from graticule.session import cut_lineage, is_small
+from graticule.session import among, bits_of, cut_lineage, is_small
 
 # Prefixes of short-lived URLs, keys that may hold lasting ones, event types.
 URL_PREFIXES = ("http://", "https://", "s3://", "gs://")
@@ -25,22 +25,19 @@ _EDGE_BROADCAST = 200_000
 # -- ancestry --------------------------------------------------------------------------
 
 
-def ancestry_closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """All ancestors of all handles with their shortest depth, inside each workspace.
+#: Depth up to which distances double from single edges; what lies deeper is put together from stretches.
+_NEAR = 16
+
 
-    ``edges``: ``ws, target, source``. Distances double each round: every pair at depth
-    k+1 … 2k is a pair at exactly k followed by one of at most k, so a chain of depth d
-    takes log2(d) joins and no pair is derived from every split of its path. Each round writes
-    only the pairs it found, to the scratch folder, which cuts lineage. On a cycle a handle is its own ancestor.
+def _doubled(edges: DataFrame, max_depth: int | None) -> list[DataFrame]:
+    """Pairs of ``ws, handle, ancestor`` with their shortest depth, as one table for each round.
+
+    Distances double: every pair at depth k+1 … 2k is a pair at exactly k followed by one of at
+    most k, so a chain of depth d takes log2(d) joins and no pair is derived from every split of its
+    path. Each round writes only the pairs it found, to the scratch folder, which cuts lineage.
     """
     pair = ["ws", "handle", "ancestor"]
-    parts = [
-        cut_lineage(
-            edges.select("ws", F.col("target").alias("handle"), F.col("source").alias("ancestor"))
-            .distinct().withColumn("depth", F.lit(1)),
-            "closure",
-        )
-    ]
+    parts = [cut_lineage(edges.select(*pair).distinct().withColumn("depth", F.lit(1)), "closure")]
     k = 1
     while max_depth is None or k < max_depth:
         known = reduce(DataFrame.unionByName, parts)
@@ -61,7 +58,63 @@ def ancestry_closure(edges: DataFrame, max_depth: int | None = None) -> DataFram
             break
         parts.append(fresh)
         k *= 2
-    found = reduce(DataFrame.unionByName, parts)
+    return parts
+
+
+def _shortest(ways: DataFrame) -> DataFrame:
+    return ways.groupBy("ws", "handle", "ancestor").agg(F.min("depth").alias("depth"))
+
+
+def _closure_by_stretches(edges: DataFrame, max_depth: int | None) -> DataFrame:
+    """The closure of ``ws, handle, ancestor``: near pairs by doubling, far ones by one join.
+
+    A shortest way of more than ``_NEAR`` steps is some whole stretches of ``_NEAR`` and a near
+    rest. Stretches are edges of a graph with few pairs, whose closure is taken by doubling; so a
+    far pair is made once, at the end, in place of being read again in every later round.
+    """
+    near_parts = _doubled(edges, _NEAR if max_depth is None else min(_NEAR, max_depth))
+    near = reduce(DataFrame.unionByName, near_parts)
+    stretch = near_parts[-1].where(F.col("depth") == _NEAR)
+    if (max_depth is not None and max_depth <= _NEAR) or stretch.isEmpty():
+        return near if max_depth is None else near.where(F.col("depth") <= max_depth)
+    stretches = reduce(DataFrame.unionByName, _doubled(stretch, None if max_depth is None else -(-max_depth // _NEAR)))
+    lead = stretches.select("ws", "handle", F.col("ancestor").alias("mid"), (F.col("depth") * _NEAR).alias("lead"))
+    rest = near.select("ws", F.col("handle").alias("mid"), "ancestor", "depth")
+    far = lead.join(rest, ["ws", "mid"]).select("ws", "handle", "ancestor", (F.col("lead") + F.col("depth")).alias("depth"))
+    found = _shortest(near.unionByName(far))
+    return found if max_depth is None else found.where(F.col("depth") <= max_depth)
+
+
+def _split_tops(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges of handles that are nobody's source, and the other edges; written."""
+    sources = edges.select("ws", F.col("ancestor").alias("handle")).distinct().withColumn("_is_source", F.lit(True))
+    marked = cut_lineage(edges.join(sources, ["ws", "handle"], "left"), "edges")
+    return marked.where("_is_source is null").drop("_is_source"), marked.where("_is_source").drop("_is_source")
+
+
+def ancestry_closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """All ancestors of all handles with their shortest depth, inside each workspace.
+
+    ``edges``: ``ws, target, source``. Handles that are nobody's source (most, where many results
+    come from few inputs) are left out of the rounds: their ancestors are their sources and those
+    of their sources, by one join at the end. This is repeated while it halves the edges; the
+    closure of the others is taken by doubling. On a cycle a handle is its own ancestor.
+    """
+    left = cut_lineage(edges.select("ws", F.col("target").alias("handle"), F.col("source").alias("ancestor")).distinct(), "edges")
+    layers: list[DataFrame] = []
+    while True:
+        tops, inner = _split_tops(left)
+        if tops.isEmpty() or tops.count() < inner.count():
+            break
+        layers.append(tops)
+        left = inner
+    found = _closure_by_stretches(left, max_depth)
+    for tops in reversed(layers):
+        found = cut_lineage(found, "closure")
+        bits = bits_of(tops.select(F.struct("ws", "ancestor").alias("_at")).distinct(), "_at")
+        onward = found.where(among(F.struct("ws", "handle"), bits)).select("ws", F.col("handle").alias("mid"), "ancestor", (F.col("depth") + 1).alias("depth"))
+        beyond = tops.withColumnRenamed("ancestor", "mid").join(onward, ["ws", "mid"]).select("ws", "handle", "ancestor", "depth")
+        found = found.unionByName(_shortest(tops.withColumn("depth", F.lit(1)).unionByName(beyond)))
     return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from graticule.operators import jobs as jb
@@ -182,3 +183,40 @@ def test_late_job_events_are_counted(spark, tmp_path):
         job_state.track_jobs(spark.readStream.schema(schema).parquet(source), path, str(tmp_path / "progress")).awaitTermination()
     got = {r["job_id"]: (r["seq"], r["state"], r["illegal"], r["late"]) for r in job_state.current_state(spark, path).collect()}
     assert got == {1: (6, "running", 0, 3), 2: (2, "pending", 0, 0)}
+
+
+def _plain_closure(edges, limit=None):
+    onward, found = {}, {}
+    for ws, target, source in edges:
+        onward.setdefault((ws, target), set()).add(source)
+    for ws, start in onward:
+        near, depth, seen = {start}, 0, {}
+        while near and (limit is None or depth < limit):
+            depth += 1
+            near = {y for x in near for y in onward.get((ws, x), ())} - seen.keys()
+            seen |= dict.fromkeys(near, depth)
+        found |= {(ws, start, y): d for y, d in seen.items()}
+    return found
+
+
+@pytest.mark.parametrize("limit", [None, 21])
+def test_closure_of_long_ways_and_tops_equals_brute_force(spark, limit):
+    """Ways of many stretches, shortcuts across them, a long cycle, tops over tops, two workspaces."""
+    rng = random.Random(8)
+    edges = [("a", f"p{i}", f"p{i - 1}") for i in range(1, 71)] + [("a", f"p{i}", f"p{i - rng.randint(2, 9)}") for i in (20, 33, 52)]
+    edges += [("a", f"y{i}", f"y{(i + 1) % 41}") for i in range(41)] + [("a", "p0", "y3"), ("b", "y2", "p70")]
+    edges += [("a", f"t{i}", rng.choice([f"p{rng.randrange(71)}", f"y{rng.randrange(41)}"])) for i in range(400) for _ in range(2)]
+    edges += [("a", f"u{i}", f"t{rng.randrange(400)}") for i in range(1500)]
+    got = ln.ancestry_closure(spark.createDataFrame(edges, "ws string, target string, source string"), limit)
+    rows = got.collect()
+    assert len(rows) == len(_plain_closure(edges, limit))
+    assert {(r.ws, r.handle, r.ancestor): r.depth for r in rows} == _plain_closure(edges, limit)
+
+
+def test_tops_take_no_part_in_the_rounds(spark, monkeypatch):
+    edges = [("a", f"p{i}", f"p{i - 1}") for i in range(1, 41)] + [("a", f"t{i}", f"p{i % 41}") for i in range(500)]
+    sizes, small = [], ln.is_small
+    monkeypatch.setattr(ln, "is_small", lambda df, limit: sizes.append(df.count()) or small(df, limit))
+    got = ln.ancestry_closure(spark.createDataFrame(edges, "ws string, target string, source string"))
+    assert {(r.ws, r.handle, r.ancestor): r.depth for r in got.collect()} == _plain_closure(edges)
+    assert max(sizes) <= 40 and len(sizes) <= 8
