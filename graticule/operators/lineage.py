@@ -156,7 +156,12 @@ def ancestry(edges: DataFrame, handles: DataFrame, max_depth: int | None = None)
         return frontier.select("ws", "handle", F.col("at").alias("ancestor"), F.lit(0).alias("depth")).limit(0)
     if depth < _STEPS or depth == max_depth or levels[-1].isEmpty():
         return reduce(DataFrame.unionByName, levels)
-    jumps = e.join(frontier.select("ws").distinct(), "ws", "left_semi")
+    # Only what a given handle can reach goes on: first handles that nobody has asked for and that are
+    # nobody's source leave, then those that are no source of what is left, for jumps begin at ancestors.
+    sources = lambda of: of.select("ws", F.col("ancestor").alias("at"))
+    asked = handles.select("ws", F.col("handle").alias("at"))
+    held = e.join(frontier.select("ws").distinct(), "ws", "left_semi").join(sources(e).unionByName(asked).distinct(), ["ws", "at"], "left_semi")
+    jumps = cut_lineage(held.join(sources(held).distinct(), ["ws", "at"], "left_semi"), "jumps")
     for _ in range(_STEPS.bit_length() - 1):
         jumps = cut_lineage(_twice(jumps), "jumps")
     parts, k = levels, depth

@@ -213,6 +213,19 @@ def test_closure_of_long_ways_and_tops_equals_brute_force(spark, limit):
     assert {(r.ws, r.handle, r.ancestor): r.depth for r in rows} == _plain_closure(edges, limit)
 
 
+def test_handles_that_reach_no_other_edges_leave_them_out_of_the_jumps(spark, monkeypatch):
+    """Edges that no given handle can reach are not doubled, however many they are."""
+    edges = [("a", f"p{i}", f"p{i - 1}") for i in range(1, 30)] + [("a", f"o{i}", f"c{i % 50}") for i in range(3000)]
+    edges += [("a", f"c{i}", f"p{i % 3 + 20}") for i in range(50)]
+    sizes, twice = [], ln._twice
+    monkeypatch.setattr(ln, "_twice", lambda jumps: sizes.append(jumps.count()) or twice(jumps))
+    handles = [("a", f"c{i}") for i in range(0, 50, 2)]
+    got = ln.ancestry(spark.createDataFrame(edges, "ws string, target string, source string"), spark.createDataFrame(handles, "ws string, handle string"))
+    plain = {k: d for k, d in _plain_closure(edges).items() if k[:2] in set(handles)}
+    assert {(r.ws, r.handle, r.ancestor): r.depth for r in got.collect()} == plain
+    assert max(sizes) <= 30
+
+
 def test_tops_take_no_part_in_the_rounds(spark, monkeypatch):
     edges = [("a", f"p{i}", f"p{i - 1}") for i in range(1, 41)] + [("a", f"t{i}", f"p{i % 41}") for i in range(500)]
     sizes, small = [], ln.is_small
