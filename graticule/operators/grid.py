@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from graticule.functions.quality import nan_to_null, quality_mask, unpack, widened_type
 from graticule.functions.temporal import decode_cf_time, time_bounds
 from graticule.operators.axes import find_axis, find_horizontal
+from graticule.session import by_shuffle, is_small, spread_out
 
 INDEX_SUFFIX = "_idx"
 
@@ -142,7 +143,9 @@ def subset_by_requests(cells: DataFrame, requests: DataFrame, tile: float = 5.0)
 
     ``requests``: ``request_id, w, s, e, n, t_low, t_high`` (``t_high`` exclusive, time
     limits may be null). Requests are spread over lat/lon tiles and meet the cells by an
-    equi-join on the tile; every cell lies in one tile, so no pair appears twice.
+    equi-join on the tile; every cell lies in one tile, so no pair appears twice. Requests stay
+    dealt over tasks where the cells are few (counted), else both sides meet by shuffle; copies of
+    requests are never held whole in one task.
     """
     lon, lat = find_horizontal(cells.columns)
     if lon is None or lat is None:
@@ -152,7 +155,7 @@ def subset_by_requests(cells: DataFrame, requests: DataFrame, tile: float = 5.0)
         return F.explode(F.sequence(F.floor(F.col(low) / tile), F.floor(F.col(high) / tile)))
 
     spread = (
-        requests.where((F.col("w") <= F.col("e")) & (F.col("s") <= F.col("n")))
+        spread_out(requests.where((F.col("w") <= F.col("e")) & (F.col("s") <= F.col("n"))))
         .withColumn("_tx", tiles("w", "e")).withColumn("_ty", tiles("s", "n"))
     )
     keyed = cells.withColumn("_tx", F.floor(F.col(lon) / tile)).withColumn(
@@ -165,7 +168,8 @@ def subset_by_requests(cells: DataFrame, requests: DataFrame, tile: float = 5.0)
             & (F.col("t_low").isNull() | (F.col("time") >= F.col("t_low")))
             & (F.col("t_high").isNull() | (F.col("time") < F.col("t_high")))
         )
-    return keyed.join(spread, ["_tx", "_ty"]).where(inside).select("request_id", *cells.columns)
+    met = spread.join(F.broadcast(keyed), ["_tx", "_ty"]) if is_small(cells) else keyed.join(by_shuffle(spread), ["_tx", "_ty"])
+    return met.where(inside).select("request_id", *cells.columns)
 
 
 # -- values --------------------------------------------------------------------

@@ -192,6 +192,21 @@ def test_tiled_requests(spark, tiled):
     assert "dynamicpruning" in plan_of(got).lower()
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_requests_are_never_held_whole(spark, tiled, monkeypatch, small):
+    """Their copies by tile grow with the requests: not broadcast, and dealt over tasks before they are made."""
+    cells, _, _ = tiled
+    asks = spark.range(400).selectExpr("id AS request_id", "CAST(-170 + id % 300 AS DOUBLE) AS w", "CAST(-80 + id % 90 AS DOUBLE) AS s", "CAST(-150 + id % 300 AS DOUBLE) AS e",
+                                       "CAST(-60 + id % 90 AS DOUBLE) AS n", "CAST(NULL AS TIMESTAMP_NTZ) AS t_low", "TIMESTAMP_NTZ '2020-09-01' AS t_high")
+    monkeypatch.setattr(gr, "is_small", lambda df: small)
+    got = gr.subset_by_requests(cells, asks)
+    want = cells.join(F.broadcast(asks), F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n")) & (F.col("time") < F.col("t_high")))
+    pairs = lambda df: sorted((r.request_id, r.v) for r in df.select("request_id", "v").collect())
+    assert pairs(got) == pairs(want) != []
+    plan = plan_of(got).split("== Physical Plan ==")[1]
+    assert ("BroadcastHashJoin" in plan) == small and "REPARTITION_BY_NUM" in plan
+
+
 def test_chunks_are_cut_before_cells_are_made(spark):
     shape = (3, 4, 5)
     rows, axes = [], []
