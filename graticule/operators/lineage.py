@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graticule.functions.text import handle_kind, plain_number
-from graticule.session import among, bits_of, cut_lineage, is_small
+from graticule.session import among, bits_of, by_shuffle, cut_lineage, is_small
 
 # Prefixes of short-lived URLs, keys that may hold lasting ones, event types.
 URL_PREFIXES = ("http://", "https://", "s3://", "gs://")
@@ -61,16 +61,46 @@ def _doubled(edges: DataFrame, max_depth: int | None) -> list[DataFrame]:
     return parts
 
 
+#: Most ancestors in one list.
+_LIST = 1_000
+
+#: Ways that one task takes beyond their ends, so that what it unpacks does not grow with the tables.
+_WAYS_A_TASK = 200_000
+
+
 def _shortest(ways: DataFrame) -> DataFrame:
     return ways.groupBy("ws", "handle", "ancestor").agg(F.min("depth").alias("depth"))
 
 
+def _listed(pairs: DataFrame) -> DataFrame:
+    """Pairs ``ws, handle, ancestor, depth`` as ``ws, handle, items``, in lists of at most ``_LIST``."""
+    place = F.row_number().over(Window.partitionBy("handle", "ws").orderBy("ancestor"))
+    shared = pairs.withColumn("_list", F.floor((place - 1) / _LIST))
+    return shared.groupBy("ws", "handle", "_list").agg(F.collect_list(F.struct("ancestor", "depth")).alias("items")).drop("_list")
+
+
+def _beyond(ways: DataFrame, lists: DataFrame) -> DataFrame:
+    """Ways ``ws, handle, ancestor, depth`` and what is listed for their ends, still as lists."""
+    onward = by_shuffle(lists.withColumnRenamed("handle", "ancestor"))
+    end = F.array(F.struct("ancestor", F.lit(0).alias("depth")))
+    held = F.when(F.col("items").isNull(), end).otherwise(F.concat(end, "items"))
+    return ways.join(onward, ["ws", "ancestor"], "left").select("ws", "handle", F.col("depth").alias("lead"), held.alias("items"))
+
+
+def _unpacked(lists: DataFrame, ways: int) -> DataFrame:
+    """The shortest of listed pairs: lists of a handle are dealt to one task and unpacked only there."""
+    least = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lists.repartition(max(least, ways // _WAYS_A_TASK), "ws", "handle")
+    return _shortest(dealt.select("ws", "handle", "lead", F.inline("items")).select("ws", "handle", "ancestor", (F.col("lead") + F.col("depth")).alias("depth")))
+
+
 def _closure_by_stretches(edges: DataFrame, max_depth: int | None) -> DataFrame:
     """The closure of ``ws, handle, ancestor``: near pairs by doubling, far ones by one join.
 
     A shortest way of more than ``_NEAR`` steps is some whole stretches of ``_NEAR`` and a near
     rest. Stretches are edges of a graph with few pairs, whose closure is taken by doubling; so a
-    far pair is made once, at the end, in place of being read again in every later round.
+    far pair is made once, at the end, in place of being read again in every later round. Near
+    pairs meet the stretches as lists.
     """
     near_parts = _doubled(edges, _NEAR if max_depth is None else min(_NEAR, max_depth))
     near = reduce(DataFrame.unionByName, near_parts)
@@ -78,10 +108,9 @@ def _closure_by_stretches(edges: DataFrame, max_depth: int | None) -> DataFrame:
     if (max_depth is not None and max_depth <= _NEAR) or stretch.isEmpty():
         return near if max_depth is None else near.where(F.col("depth") <= max_depth)
     stretches = reduce(DataFrame.unionByName, _doubled(stretch, None if max_depth is None else -(-max_depth // _NEAR)))
-    lead = stretches.select("ws", "handle", F.col("ancestor").alias("mid"), (F.col("depth") * _NEAR).alias("lead"))
-    rest = near.select("ws", F.col("handle").alias("mid"), "ancestor", "depth")
-    far = lead.join(rest, ["ws", "mid"]).select("ws", "handle", "ancestor", (F.col("lead") + F.col("depth")).alias("depth"))
-    found = _shortest(near.unionByName(far))
+    lead = stretches.withColumn("depth", F.col("depth") * _NEAR)
+    lists = cut_lineage(_listed(near), "lists")
+    found = _unpacked(_beyond(lead, lists).unionByName(lists.withColumn("lead", F.lit(0))), stretches.count())
     return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 
@@ -92,6 +121,28 @@ def _split_tops(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("_is_source is null").drop("_is_source"), marked.where("_is_source").drop("_is_source")
 
 
+def _layers(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Layers of edges of handles that are nobody's source below, while they halve the edges, and the rest."""
+    layers: list[DataFrame] = []
+    while True:
+        tops, inner = _split_tops(edges)
+        if tops.isEmpty() or tops.count() < inner.count():
+            return layers, edges
+        layers.append(tops)
+        edges = inner
+
+
+def _with_layers(found: DataFrame, layers: list[DataFrame]) -> DataFrame:
+    """The closure of all edges from that of the innermost: a layer meets its sources' ancestors once, as lists."""
+    for tops in reversed(layers):
+        found = cut_lineage(found, "closure")
+        bits = bits_of(tops.select(F.struct("ws", "ancestor").alias("_at")).distinct(), "_at")
+        lists = _listed(found.where(among(F.struct("ws", "handle"), bits)))
+        ways = tops.select("ws", "handle", "ancestor", F.lit(1).alias("depth"))
+        found = found.unionByName(_unpacked(_beyond(ways, lists), tops.count()))
+    return found
+
+
 def ancestry_closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All ancestors of all handles with their shortest depth, inside each workspace.
 
@@ -100,21 +151,8 @@ def ancestry_closure(edges: DataFrame, max_depth: int | None = None) -> DataFram
     of their sources, by one join at the end. This is repeated while it halves the edges; the
     closure of the others is taken by doubling. On a cycle a handle is its own ancestor.
     """
-    left = cut_lineage(edges.select("ws", F.col("target").alias("handle"), F.col("source").alias("ancestor")).distinct(), "edges")
-    layers: list[DataFrame] = []
-    while True:
-        tops, inner = _split_tops(left)
-        if tops.isEmpty() or tops.count() < inner.count():
-            break
-        layers.append(tops)
-        left = inner
-    found = _closure_by_stretches(left, max_depth)
-    for tops in reversed(layers):
-        found = cut_lineage(found, "closure")
-        bits = bits_of(tops.select(F.struct("ws", "ancestor").alias("_at")).distinct(), "_at")
-        onward = found.where(among(F.struct("ws", "handle"), bits)).select("ws", F.col("handle").alias("mid"), "ancestor", (F.col("depth") + 1).alias("depth"))
-        beyond = tops.withColumnRenamed("ancestor", "mid").join(onward, ["ws", "mid"]).select("ws", "handle", "ancestor", "depth")
-        found = found.unionByName(_shortest(tops.withColumn("depth", F.lit(1)).unionByName(beyond)))
+    layers, left = _layers(cut_lineage(edges.select("ws", F.col("target").alias("handle"), F.col("source").alias("ancestor")).distinct(), "edges"))
+    found = _with_layers(_closure_by_stretches(left, max_depth), layers)
     return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 
@@ -179,18 +217,12 @@ def ancestry(edges: DataFrame, handles: DataFrame, max_depth: int | None = None)
     return found if max_depth is None else found.where(F.col("depth") <= max_depth)
 
 
-def extend_closure(closure: DataFrame, new_edges: DataFrame) -> DataFrame:
-    """The rows of a stored closure that appended edges add or shorten.
+def _new_ways(closure: DataFrame, step: DataFrame) -> DataFrame:
+    """Pairs from a new edge's target to a new edge's source along new edges and stored stretches between them.
 
-    ``closure``: ``ws, handle, ancestor, depth`` as ``ancestry_closure`` gives without a depth
-    limit; ``new_edges``: ``ws, target, source``. A new pair goes along one or more new edges, with
-    stored stretches before, between and after them. So the new edges are brought together first
-    (as many rounds as the logarithm of the most new edges on one way), and the stored closure is
-    read only at their ends. Put the rows in the place of those of the same pair.
+    ``step``: the new edges as pairs of depth 1, written.
     """
     pair = ["ws", "handle", "ancestor"]
-    step = new_edges.select("ws", F.col("target").alias("handle"), F.col("source").alias("ancestor")).distinct().withColumn("depth", F.lit(1))
-    step = cut_lineage(step, "new_edges")
     ends = step.select("ws", F.col("handle").alias("ancestor")).distinct()
     # Stored stretches from one new edge's source to another's target, none at all among them.
     between = closure.join(step.select("ws", F.col("ancestor").alias("handle")).distinct(), ["ws", "handle"], "left_semi").join(ends, ["ws", "ancestor"], "left_semi")
@@ -205,24 +237,65 @@ def extend_closure(closure: DataFrame, new_edges: DataFrame) -> DataFrame:
         met = direct.unionByName(over).join(onward, ["ws", "into"])
         return met.select(*pair, (F.col("done") + F.col("more")).alias("depth"))
 
-    def shortest(ways: DataFrame) -> DataFrame:
-        return ways.groupBy(*pair).agg(F.min("depth").alias("depth"))
-
     ways = step
     while True:
-        longer = cut_lineage(shortest(ways.unionByName(joined(ways, ways))), "new_ways")
+        longer = cut_lineage(_shortest(ways.unionByName(joined(ways, ways))), "new_ways")
         better = longer.join(ways.withColumnRenamed("depth", "old"), pair, "left").where("old is null or depth < old")
         done = better.isEmpty()
         ways = longer
         if done:
-            break
+            return ways
+
+
+def _led(closure: DataFrame, ways: DataFrame) -> DataFrame:
+    """Ways from a new edge's target, and from all that the closure has before it."""
     before = closure.select("ws", F.col("handle").alias("start"), F.col("ancestor").alias("handle"), F.col("depth").alias("lead"))
+    led = ways.join(before, ["ws", "handle"]).select("ws", F.col("start").alias("handle"), "ancestor", (F.col("depth") + F.col("lead")).alias("depth"))
+    return _shortest(ways.unionByName(led))
+
+
+def _steps(new_edges: DataFrame) -> DataFrame:
+    return new_edges.select("ws", F.col("target").alias("handle"), F.col("source").alias("ancestor")).distinct().withColumn("depth", F.lit(1))
+
+
+def extend_closure(closure: DataFrame, new_edges: DataFrame) -> DataFrame:
+    """The rows of a stored closure that appended edges add or shorten.
+
+    ``closure``: ``ws, handle, ancestor, depth`` as ``ancestry_closure`` gives without a depth
+    limit; ``new_edges``: ``ws, target, source``. A new pair goes along one or more new edges, with
+    stored stretches before, between and after them. So the new edges are brought together first
+    (as many rounds as the logarithm of the most new edges on one way), and the stored closure is
+    read only at their ends. Put the rows in the place of those of the same pair.
+    """
+    pair = ["ws", "handle", "ancestor"]
+    led = _led(closure, _new_ways(closure, cut_lineage(_steps(new_edges), "new_edges")))
     after = closure.select("ws", F.col("handle").alias("ancestor"), F.col("ancestor").alias("end"), F.col("depth").alias("tail"))
-    led = ways.unionByName(ways.join(before, ["ws", "handle"]).select("ws", F.col("start").alias("handle"), "ancestor", (F.col("depth") + F.col("lead")).alias("depth")))
-    led = shortest(led)
     whole = led.unionByName(led.join(after, ["ws", "ancestor"]).select("ws", "handle", F.col("end").alias("ancestor"), (F.col("depth") + F.col("tail")).alias("depth")))
     known = closure.select(*pair, F.col("depth").alias("old"))
-    return shortest(whole).join(known, pair, "left").where("old is null or depth < old").select(*pair, F.col("depth").cast("int").alias("depth"))
+    return _shortest(whole).join(known, pair, "left").where("old is null or depth < old").select(*pair, F.col("depth").cast("int").alias("depth"))
+
+
+def extended_closure(closure: DataFrame, new_edges: DataFrame) -> DataFrame:
+    """A stored closure with appended edges, whole: what ``merge_closure`` makes of ``extend_closure``.
+
+    For appends that change much of the closure; ``extend_closure`` is for few. A new pair is again
+    put together from stored stretches and new edges, but only among handles that are somebody's
+    source. The others take their ancestors from their sources' lists, by one join along their
+    edges, which the closure holds at depth 1. No pair is compared with its stored one by a join.
+    """
+    held = closure.where("depth = 1").select("ws", "handle", "ancestor", F.lit(False).alias("new"))
+    step = _steps(new_edges).select("ws", "handle", "ancestor", F.lit(True).alias("new"))
+    layers, left = _layers(cut_lineage(held.unionByName(step), "edges"))
+    inner = closure
+    if layers:
+        handles = left.select("ws", "handle").distinct()
+        bits = bits_of(handles.select(F.struct("ws", "handle").alias("_at")), "_at")
+        inner = cut_lineage(closure.where(among(F.struct("ws", "handle"), bits)).join(by_shuffle(handles), ["ws", "handle"], "left_semi"), "inner_closure")
+    step = cut_lineage(left.where("new").select("ws", "handle", "ancestor", F.lit(1).alias("depth")), "new_edges")
+    led = cut_lineage(_led(inner, _new_ways(inner, step)), "led")
+    lists = cut_lineage(_listed(inner), "lists")
+    found = _unpacked(_beyond(led, lists).unionByName(lists.withColumn("lead", F.lit(0))), led.count())
+    return _with_layers(found, layers)
 
 
 def merge_closure(closure: DataFrame, changed: DataFrame) -> DataFrame:

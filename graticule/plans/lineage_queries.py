@@ -40,7 +40,7 @@ def ancestry_extended(spark, sf):
     edges = view(spark, sf, SPARK.edges()).select("ws", "target", "source")
     late = F.pmod(F.xxhash64("target", "source"), F.lit(7)) == 0
     stored = cut_lineage(ln.ancestry_closure(edges.where(~late)), "stored_closure")
-    return ln.merge_closure(stored, cut_lineage(ln.extend_closure(stored, edges.where(late)), "changed"))
+    return ln.extended_closure(stored, edges.where(late))
 
 
 _RESULTS = "(SELECT 'obs_' || user_id AS target, 'a' AS ws, 'dataset_' || (user_id % 20) AS source, user_id AS id FROM {events})"

@@ -233,3 +233,33 @@ def test_tops_take_no_part_in_the_rounds(spark, monkeypatch):
     got = ln.ancestry_closure(spark.createDataFrame(edges, "ws string, target string, source string"))
     assert {(r.ws, r.handle, r.ancestor): r.depth for r in got.collect()} == _plain_closure(edges)
     assert max(sizes) <= 40 and len(sizes) <= 8
+
+
+def test_extended_closure_puts_tops_together_from_lists(spark, monkeypatch):
+    """Appended edges meet tops as lists: no table of the tops' pairs is written or compared, and lists stay bounded."""
+    rng = random.Random(9)
+    edges = [("a", f"p{i}", f"p{i - 1}") for i in range(1, 71)] + [("a", f"y{i}", f"y{(i + 1) % 41}") for i in range(41)] + [("a", "p0", "y3"), ("b", "y2", "p70")]
+    edges += [("a", f"t{i}", rng.choice([f"p{rng.randrange(71)}", f"y{rng.randrange(41)}"])) for i in range(900) for _ in range(2)]
+    edges = sorted(set(edges))
+    late = [e for e in edges if rng.random() < 0.2]
+    early = [e for e in edges if e not in set(late)]
+    inner = [e for e in edges if e[1][0] != "t"]
+    stored = spark.createDataFrame([(*k, d) for k, d in _plain_closure(early).items()], "ws string, handle string, ancestor string, depth int")
+    written, cut = {}, ln.cut_lineage
+
+    def keep(df, label):
+        out = cut(df, label)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ln, "cut_lineage", keep)
+    monkeypatch.setattr(ln, "_LIST", 7)
+    want = _plain_closure(edges)
+    got = ln.extended_closure(stored, spark.createDataFrame(late + early[:3], "ws string, target string, source string"))
+    assert as_dict(got) == want
+    assert got.schema["depth"].dataType.simpleString() == "int"
+    assert max(n for label, n in written.items() if label != "edges") <= len(_plain_closure(inner)) < len(want) / 5
+    assert ln._listed(stored).agg(F.max(F.size("items"))).first()[0] == 7
+    none = stored.limit(0)
+    assert as_dict(ln.extended_closure(none, spark.createDataFrame(edges, "ws string, target string, source string"))) == want
+    assert as_dict(ln.extended_closure(stored, none.select("ws", F.col("handle").alias("target"), F.col("ancestor").alias("source")))) == _plain_closure(early)
