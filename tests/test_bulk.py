@@ -192,6 +192,24 @@ def test_tiled_requests(spark, tiled):
     assert "dynamicpruning" in plan_of(got).lower()
 
 
+def test_many_tiled_requests_are_not_broadcast(spark, tiled, monkeypatch):
+    """Copies by tile grow with the requests: only the touched partitions are broadcast, and like requests are tested once."""
+    cells, grid, layout = tiled
+    asks = spark.range(300).selectExpr("id AS request_id", "CAST(-170 + id % 60 AS DOUBLE) AS w", "CAST(-80 + id % 30 AS DOUBLE) AS s", "CAST(-120 + id % 60 AS DOUBLE) AS e", "CAST(-40 + id % 30 AS DOUBLE) AS n",
+                                       "IF(id % 4 = 1, NULL, TIMESTAMP_NTZ '2019-08-01') AS t_low", "IF(id % 4 = 2, NULL, TIMESTAMP_NTZ '2020-09-01') AS t_high")
+    asks = asks.unionByName(spark.createDataFrame([(900, 10.0, 0.0, 5.0, 9.0)], "request_id long, w double, s double, e double, n double"), allowMissingColumns=True)
+    pairs = lambda df: sorted((r.request_id, r.v) for r in df.collect())
+    want = pairs(gr.subset_by_requests(cells, asks))
+    monkeypatch.setattr(tiles, "_FEW_COPIES", 100)
+    monkeypatch.setattr(tiles, "_IDS", 2)
+    got = tiles.subset_tiled_by_requests(grid, asks, layout)
+    assert pairs(got) == want and len(want) > 100_000
+    assert "dynamicpruning" in plan_of(got).lower() and "BroadcastHashJoin" in plan_of(got)
+    plan = plan_of(got)
+    assert "SortMergeJoin" in plan and "LeftSemi, BuildRight" in plan and "Inner, Build" not in plan
+    assert tiles._alike(asks).agg(F.max(F.size("_ids"))).first()[0] == 2 and tiles._alike(asks).count() == 60 * 3 + 1
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_requests_are_never_held_whole(spark, tiled, monkeypatch, small):
     """Their copies by tile grow with the requests: not broadcast, and dealt over tasks before they are made."""
