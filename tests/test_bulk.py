@@ -210,6 +210,20 @@ def test_many_tiled_requests_are_not_broadcast(spark, tiled, monkeypatch):
     assert tiles._alike(asks).agg(F.max(F.size("_ids"))).first()[0] == 2 and tiles._alike(asks).count() == 60 * 3 + 1
 
 
+def test_many_tiled_requests_keep_their_tasks(spark, tiled, monkeypatch):
+    """The shuffles are small beside the result, so they are not merged to a few tasks."""
+    _, grid, layout = tiled
+    asks = spark.range(300).selectExpr("id AS request_id", "CAST(-170 + id % 60 AS DOUBLE) AS w", "CAST(-80 + id % 30 AS DOUBLE) AS s", "CAST(-120 + id % 60 AS DOUBLE) AS e", "CAST(-40 + id % 30 AS DOUBLE) AS n",
+                                       "CAST(NULL AS TIMESTAMP_NTZ) AS t_low", "CAST(NULL AS TIMESTAMP_NTZ) AS t_high")
+    monkeypatch.setattr(tiles, "_FEW_COPIES", 100)
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        assert tiles.subset_tiled_by_requests(grid, asks, layout).rdd.getNumPartitions() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_requests_are_never_held_whole(spark, tiled, monkeypatch, small):
     """Their copies by tile grow with the requests: not broadcast, and dealt over tasks before they are made."""
