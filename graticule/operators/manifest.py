@@ -123,26 +123,31 @@ def constraint_expressions(requests: DataFrame) -> DataFrame:
     ).withColumn("status", F.when(ambiguous, "ambiguous").otherwise("ok")).drop("_lat", "_lon", "_items")
 
 
+def subset_query(constraint: Column) -> Column:
+    """Constraint → what stands behind a granule's endpoint in a request URL; null without a known constraint."""
+    return F.when(constraint == "", F.lit(".dap.nc4")).otherwise(F.concat(F.lit(".dap.nc4?dap4.ce="), tx.percent_encode(constraint)))
+
+
 def subset_url(base: Column, constraint: Column) -> Column:
     """Granule endpoint and constraint → request URL; no constraint known gives no URL."""
-    url = F.concat(base, F.lit(".dap.nc4"))
-    return F.when(constraint.isNull(), F.lit(None).cast("string")).when(
-        constraint != "", F.concat(url, F.lit("?dap4.ce="), tx.percent_encode(constraint))
-    ).otherwise(url)
+    return F.concat(base, subset_query(constraint))
 
 
-def subset_manifest(constrained: DataFrame, granules: DataFrame) -> DataFrame:
+def subset_manifest(constrained: DataFrame, granules: DataFrame, by: str = "request_id") -> DataFrame:
     """One row per request and granule with its URL and file name.
 
     ``constrained``: ``request_id, constraint, status``, at most one row each; ``granules``:
     all granules of a request with ``request_id, rank, granule_ur, access_url``. ``batch``
     numbers the retrievals of at most 50 granules. Granules without an endpoint give no row;
-    those of a request whose status is not ``ok`` have no URL.
+    those of a request whose status is not ``ok`` have no URL. Where requests share their granules,
+    ``by`` names the column of both tables that says whose; rows of the sharing requests stand
+    together, and if granules were ranked by that column they are not shuffled again.
     """
     g = granules.where(F.col("access_url").isNotNull()).select(
-        "request_id", "rank", F.floor((F.col("rank") - 1) / GRANULES_PER_REQUEST).alias("batch"), "granule_ur", "access_url")
-    url = subset_url(F.col("access_url"), F.col("constraint"))
-    return g.join(by_shuffle(constrained.select("request_id", "constraint", "status")), "request_id").select(
+        by, "rank", F.floor((F.col("rank") - 1) / GRANULES_PER_REQUEST).alias("batch"), "granule_ur", "access_url")
+    asked = constrained.select(*dict.fromkeys((by, "request_id")), "status", subset_query(F.col("constraint")).alias("_query"))
+    url = F.concat("access_url", "_query")
+    return g.join(by_shuffle(asked), by).select(
         "request_id", "rank", "batch", "granule_ur", "status", url.alias("url"),
         tx.file_name_from_url(url).alias("file_name")
     )

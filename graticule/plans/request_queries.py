@@ -358,12 +358,14 @@ _ENC = "replace(replace(replace(replace(replace(replace(expr, '/', '%2F'), ' ',
     CASE WHEN expr IS NULL THEN NULL WHEN base LIKE '%.nc4' THEN string_split(base, '/')[-1] ELSE string_split(base, '/')[-1] || '.nc4' END AS file_name
   FROM q JOIN ce ON ce.request_id = q.request_id WHERE base IS NOT NULL""")
 def subset_manifest(spark, sf):
-    # Names only go through the overlap join; the URLs are attached to what it found.
+    # Equal requests meet the granules once. Names only go through the overlap join; the URLs are attached to what it found.
     g = md.parse_granules(fx.granule_records(spark, sf)).select("granule_ur", tx.access_url(F.col("related_urls")).alias("access_url"))
     boxes = view(spark, sf, SPARK.granules()).select("granule_ur", "collection_id", "w", "s", "e", "n", "time_start", "time_end")
-    pairs = cov.overlap_join(view(spark, sf, SPARK.aois()), boxes).select("request_id", "granule_ur", "time_start")
-    pairs = pairs.join(by_shuffle(g), "granule_ur")
-    return mf.subset_manifest(_constrained(spark, sf), cov.first_granules(pairs, None)).withColumn("rank", F.col("rank").cast("long"))
+    distinct, members = cov.like_requests(view(spark, sf, SPARK.aois()))
+    pairs = cov.overlap_join(distinct.withColumnRenamed("_asked", "request_id"), boxes).select("request_id", "granule_ur", "time_start")
+    ranked = cov.first_granules(pairs.join(by_shuffle(g), "granule_ur"), None).withColumn("rank", F.col("rank").cast("long"))
+    constrained = _constrained(spark, sf).join(by_shuffle(members), "request_id")
+    return mf.subset_manifest(constrained, ranked.withColumnRenamed("request_id", "_asked"), "_asked")
 
 
 def _preview_rows(v) -> str:

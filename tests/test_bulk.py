@@ -7,9 +7,11 @@ import random
 import time
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from graticule.operators import bulk_search as bulk
 from graticule.operators import axes as ax
 from graticule.operators import area, catalog, coverage, lineage, manifest, routing, sample, tiles
@@ -17,6 +19,7 @@ from graticule.operators import grid as gr
 from graticule.session import cut_lineage, scratch_path
 from graticule.sources import chunks, files
 from graticule.streaming import job_state, means
+from tests.compare import difference
 
 
 def plan_of(df):
@@ -472,3 +475,24 @@ def test_chunks_are_filled_in_order_of_place(spark):
     assert "map_from_entries" not in plan_of(made)
     total = view(spark, sf, SPARK.wide_grid()).agg(F.sum("amount")).first()[0]
     assert made.agg(F.min(F.size("values")), F.max(F.size("values")), F.sum(F.aggregate("values", F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0))))).first() == (800, 800, total)
+
+
+def test_equal_requests_share_the_granules_of_a_manifest(spark, tmp_path, monkeypatch):
+    """The pairs that are ranked are those of distinct requests, and are not shuffled again for the requests that share them."""
+    sf = "/root/testdata/sf0.001"
+    for name in ("customer", "orders", "part", "nation", "region", "lineitem", "events"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet")
+    n = suppliers.count()  # areas come again after 19,800 keys
+    repeated = suppliers.join(spark.range(3)).withColumn("s_suppkey", F.expr("s_suppkey + id * 19800")).drop("id")
+    repeated.write.parquet(str(tmp_path / "supplier.parquet"))
+    met, join = [], coverage.overlap_join
+    monkeypatch.setattr(coverage, "overlap_join", lambda requests, *more: met.append(requests.count()) or join(requests, *more))
+    found = entry.queries()["subset_manifest"](spark, str(tmp_path))
+    assert met == [n]
+    con = duckdb.connect()
+    for name, at in (("customer", ""), ("orders", ""), ("part", ""), ("supplier", "/*.parquet")):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet{at}')")
+    assert difference(found, con, entry.oracle_sql()["subset_manifest"]) is None
+    plan = plan_of(found).split("== Physical Plan ==")[1]
+    assert found.count() > 0 and "Exchange" not in plan.split("SortMergeJoin [_asked", 1)[1].split("Window", 1)[0]
