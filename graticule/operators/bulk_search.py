@@ -2,7 +2,8 @@
 
 No search is compared with every record. A catalog search has up to five keys (one of its words,
 an identifier, a name, a provider, a level); records are listed under theirs in an inverted index,
-and a search reads only the list that is shortest. What the list gives is tested in full. Searches
+and a search reads only the list that is shortest. Lists hold what filters ask of a record, so a search
+tests all but its words where it meets the list, and only what is left meets the texts. Searches
 that ask the same are answered once. Results stand by identifier, so the lists are read in that
 order, in rounds of growing length, and a search that has its rows leaves: what it would meet later
 could only stand behind them.
@@ -37,9 +38,12 @@ GRANULE_SEARCH_COLUMNS = {
 #: Granule columns to sort by; ``-`` in front turns the order.
 SORT_COLUMNS = ("time_start", "time_end", "granule_ur", "cloud_cover", "size_mb")
 
-#: So many first records, by identifier, are met in each round of a catalog search; the last round has all others.
+#: So many first records, by identifier, are met in each of the first rounds of a catalog search.
 _ROUNDS = (128, 1024, 8192, 65536)
 
+#: Rounds beyond those reach about so many times as far as the one before, up to the last record.
+_FARTHER = 8
+
 _WHITE = r"\s+"
 
 
@@ -64,8 +68,8 @@ def _top(found: DataFrame, by: str, order: list[Column]) -> DataFrame:
     return ranked.where(F.col("rank") <= MOST_ROWS).where(F.col("rank") <= F.col("limit"))
 
 
-def _index(collections: DataFrame) -> DataFrame:
-    """``kind, value, concept_id``: each record under its identifier, name, provider, level, and words."""
+def _index(records: DataFrame) -> DataFrame:
+    """``kind, value, row``: each record under its identifier, name, provider, level, and words."""
     entry = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("value"))
     text = F.concat_ws(" ", "short_name", "entry_title", "abstract")
     listed = F.concat(
@@ -73,14 +77,15 @@ def _index(collections: DataFrame) -> DataFrame:
                 entry("provider", F.col("provider_id")), entry("level", F.col("processing_level")), entry("all", F.lit(""))),
         F.transform(_words(text), lambda x: entry("word", x)),
     )
-    return collections.select("concept_id", F.explode(listed).alias("k")).select("k.*", "concept_id").where(F.col("value").isNotNull())
+    return records.select("row", F.explode(listed).alias("k")).select("k.*", "row").where(F.col("value").isNotNull())
 
 
-def _routes(distinct: DataFrame, index: DataFrame) -> DataFrame:
-    """``ask, kind, value``: the keys that each search reads; records under them are all that can match.
+def _routes(distinct: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``ask, kind, value``: the lists that each search reads; records on them are all that can match.
+    ``kind, value, row``: those lists.
 
-    A word of a search may stand inside a word of a record, so it stands for all record words that
-    hold it; those are found once for each distinct word, by their pieces.
+    A word of a search may stand inside a word of a record, so its list has the records of all words
+    that hold it; those are found once for each distinct word, by their pieces.
     """
     sizes = cut_lineage(index.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("size")), "index_sizes")
     words = distinct.select(F.explode(_words(F.col("keyword"))).alias("word")).distinct()
@@ -109,10 +114,14 @@ def _routes(distinct: DataFrame, index: DataFrame) -> DataFrame:
     best = cut_lineage(
         plain.unionByName(level).unionByName(word).groupBy("ask")
         .agg(F.min_by(F.struct("kind", "value"), F.struct(F.coalesce("size", F.lit(0)), "kind", "value")).alias("b")).select("ask", "b.*"), "routes")
-    by_word = best.where("kind = 'word'").select("ask", F.col("value").alias("word")).join(held, "word").select("ask", F.lit("word").alias("kind"), "value")
     by_level = best.where("kind = 'level'").select("ask").join(distinct.select("ask", F.explode("levels").alias("value")), "ask").select(
         "ask", F.lit("level").alias("kind"), "value")
-    return best.where("kind not in ('word', 'level')").unionByName(by_word).unionByName(by_level).distinct()
+    routes = cut_lineage(best.where("kind <> 'level'").unionByName(by_level), "read_lists")
+    read = routes.select("kind", F.col("value").alias("list")).distinct()
+    words_read = read.where("kind = 'word'").join(held, F.col("list") == F.col("word")).select("kind", "list", "value")
+    under = read.where("kind <> 'word'").withColumn("value", F.col("list")).unionByName(words_read)
+    # A record may hold several words of one list.
+    return routes, index.join(under, ["kind", "value"]).select("kind", F.col("list").alias("value"), "row").distinct()
 
 
 def _lon_overlap(w: Column, e: Column, gw: Column, ge: Column) -> Column:
@@ -132,21 +141,25 @@ def search_catalog(collections: DataFrame, searches: DataFrame, limit: int = DEF
     each = _with_columns(searches, SEARCH_COLUMNS, limit)
     # A level list is the same in any order; so is a keyword.
     terms = {"keyword": F.array_join(F.array_sort(_words(F.col("keyword"))), " "), "levels": F.array_sort(F.array_distinct("levels"))}
-    each = each.withColumns(terms).withColumn("ask", F.sha2(F.to_json(F.struct(*SEARCH_COLUMNS, "limit")), 256))
+    each = each.withColumns(terms).withColumn("ask", F.unhex(F.sha2(F.to_json(F.struct(*SEARCH_COLUMNS, "limit")), 256)))
     each = cut_lineage(each, "searches")
     distinct = each.drop("search_id").dropDuplicates(["ask"])
-    records = cut_lineage(collections.select(
-        "concept_id", "short_name", "provider_id", "entry_title", "abstract", "processing_level", "time_start", "time_end", F.col("has_granules").alias("found_granules"),
-        *[F.col(c).alias(f"g{c}") for c in "wsen"]), "records")
+    records = cut_lineage(collections.where("concept_id is not null").select(
+        F.monotonically_increasing_id().alias("row"), "concept_id", "short_name", "provider_id", "entry_title", "abstract", "processing_level", "time_start", "time_end",
+        F.col("has_granules").alias("found_granules"), *[F.col(c).alias(f"g{c}") for c in "wsen"]), "records")
     index = cut_lineage(_index(records), "index")
-    routes = cut_lineage(_routes(distinct, index), "ways")
-    front = [r[0] for r in records.where("concept_id is not null").select("concept_id").orderBy("concept_id").limit(_ROUNDS[-1]).collect()]
-    cuts = [front[n - 1] for n in _ROUNDS if n <= len(front)]
-    found, left = [], routes
+    routes, lists = _routes(distinct, index)
+    left = cut_lineage(routes.join(distinct, "ask"), "ways")
+    lists = cut_lineage(lists.join(records.drop("entry_title", "abstract"), "row"), "lists")
+    texts = records.select("concept_id", "row", "entry_title", "abstract")
+    cuts, found = _cuts(records.select("concept_id")), []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        block = index if low is None else index.where(F.col("concept_id") > low)
-        block = block if high is None else block.where(F.col("concept_id") <= high)
-        found.append(cut_lineage(_hits(left, block, records, distinct), "round"))
+
+        def block(of: DataFrame, low: str | None = low, high: str | None = high) -> DataFrame:
+            of = of if low is None else of.where(F.col("concept_id") > low)
+            return of if high is None else of.where(F.col("concept_id") <= high)
+
+        found.append(cut_lineage(_hits(left, block(lists), block(texts).drop("concept_id")), "round"))
         so_far = reduce(DataFrame.unionByName, found)
         if high is None:
             break
@@ -156,21 +169,41 @@ def search_catalog(collections: DataFrame, searches: DataFrame, limit: int = DEF
     return each.select("search_id", "ask").join(best, "ask").select("search_id", F.col("rank").cast("long").alias("rank"), "concept_id", "short_name", "entry_title")
 
 
-def _hits(routes: DataFrame, index: DataFrame, records: DataFrame, distinct: DataFrame) -> DataFrame:
-    """What searches find under their keys in a part of the index: their first rows, with ``limit``."""
-    met = routes.join(index, ["kind", "value"]).select("ask", "concept_id").distinct()
-    hit = met.join(records.withColumnsRenamed({"concept_id": "found_id", "short_name": "found_name"}), F.col("concept_id") == F.col("found_id")).drop("concept_id").join(distinct, "ask")
+def _cuts(ids: DataFrame) -> list[str]:
+    """Identifiers that part the records into rounds.
+
+    The first are counted exactly. Those beyond are found by counting a share of the identifiers, at
+    most about as many as the first, so few come to the driver; wherever they fall, all records are met.
+    """
+    most = _ROUNDS[-1]
+    front = [r[0] for r in ids.orderBy("concept_id").limit(most).collect()]
+    cuts = [front[n - 1] for n in _ROUNDS if n <= len(front)]
+    total = ids.count()
+    if total <= most * _FARTHER:
+        return cuts
+    share = -(-total // most)
+    some = [r[0] for r in ids.where(F.col("concept_id") > front[-1]).where(F.pmod(F.xxhash64("concept_id"), F.lit(share)) == 0).orderBy("concept_id").collect()]
+    reach = most * _FARTHER
+    while (at := (reach - most) // share) < len(some):
+        cuts.append(some[at])
+        reach *= _FARTHER
+    return cuts
+
+
+def _hits(routes: DataFrame, index: DataFrame, texts: DataFrame) -> DataFrame:
+    """What searches find on their lists in a part of the records: their first rows, with ``limit``."""
     c = F.col
-    text = F.lower(F.concat_ws(" ", "found_name", "entry_title", "abstract"))
     asks = lambda name, test: c(name).isNull() | test
-    hit = hit.where(
-        asks("keyword", F.forall(_words(c("keyword")), lambda x: F.contains(text, x)))
-        & asks("concept_id", c("found_id") == c("concept_id")) & asks("short_name", c("found_name") == c("short_name"))
+    # Lists grow from round to round and the searches become fewer, so the searches are the side that is held.
+    met = index.withColumnsRenamed({"concept_id": "found_id", "short_name": "found_name"}).join(routes, ["kind", "value"]).where(
+        asks("concept_id", c("found_id") == c("concept_id")) & asks("short_name", c("found_name") == c("short_name"))
         & asks("provider", c("provider_id") == c("provider")) & asks("levels", F.array_contains("levels", c("processing_level")))
         & asks("has_granules", c("found_granules") == c("has_granules"))
         & asks("t1", c("time_start") <= c("t1")) & asks("t0", c("time_end") >= c("t0"))
         & asks("w", _lon_overlap(c("w"), c("e"), c("gw"), c("ge")) & (c("gs") <= c("n")) & (c("gn") >= c("s")))
-    )
+    ).select("ask", "limit", "keyword", "row", "found_id", "found_name")
+    text = F.lower(F.concat_ws(" ", "found_name", "entry_title", "abstract"))
+    hit = met.join(texts, "row").where(asks("keyword", F.forall(_words(c("keyword")), lambda x: F.contains(text, x))))
     return _top(hit, "ask", [c("found_id")]).select("ask", "limit", c("found_id").alias("concept_id"), c("found_name").alias("short_name"), "entry_title")
 
 

@@ -413,6 +413,23 @@ def test_searches_with_their_rows_meet_no_further_records(spark, collections, mo
     assert [m[1] for m in met] == [4, 12, 48, 56] and met[-1][0] < met[0][0]
 
 
+def test_rounds_go_on_beyond_the_first_ones(spark, collections, monkeypatch):
+    """The records behind the first rounds are not met in one leap, and a record that stands twice is found twice."""
+    monkeypatch.setattr(bulk, "_ROUNDS", (2, 4))
+    met, hits = [], bulk._hits
+    monkeypatch.setattr(bulk, "_hits", lambda routes, index, *a: (met.append(index.select("concept_id").distinct().count()), hits(routes, index, *a))[1])
+    asks = [(1, "sea daily", None, 9), (2, None, "P1", 20), (3, "no such", None, 5), (4, None, None, 50)]
+    searches = spark.createDataFrame(asks, "search_id long, keyword string, provider string, limit long")
+    twice = collections.unionByName(collections.where("concept_id IN ('C001', 'C119')"))
+    got = defaultdict(list)
+    for r in bulk.search_catalog(twice, searches).orderBy("search_id", "rank").collect():
+        got[r.search_id].append(r.concept_id)
+    rows = sorted((r.concept_id, " ".join(x for x in (r.short_name, r.entry_title, r.abstract) if x is not None).lower(), r.provider_id) for r in twice.collect())
+    assert got == {i: ids for i, words, provider, n in asks
+                   if (ids := [k for k, text, by in rows if all(w in text for w in (words or "").split()) and provider in (None, by)][:n])}
+    assert met[:2] == [2, 1] and sum(met) == 120 and len(met) > 3
+
+
 def test_names_are_routed_by_long_pieces(spark, monkeypatch):
     """3,000 names share all three-letter pieces of a query; it meets only those with its longer one."""
     written = {}
