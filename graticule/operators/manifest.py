@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graticule.functions import text as tx
@@ -12,6 +12,9 @@ from graticule.session import by_shuffle
 #: Granules taken into one subset request.
 GRANULES_PER_REQUEST = 50
 
+#: Most requests that go with one URL.
+_IDS = 1_000
+
 # Preview endpoint, image size, and the world box.
 PREVIEW_ENDPOINT = "https://gibs.earthdata.nasa.gov/wms/epsg4326/best/wms.cgi"
 PREVIEW_SIZE = 512
@@ -140,17 +143,20 @@ def subset_manifest(constrained: DataFrame, granules: DataFrame, by: str = "requ
     all granules of a request with ``request_id, rank, granule_ur, access_url``. ``batch``
     numbers the retrievals of at most 50 granules. Granules without an endpoint give no row;
     those of a request whose status is not ``ok`` have no URL. Where requests share their granules,
-    ``by`` names the column of both tables that says whose; rows of the sharing requests stand
-    together, and if granules were ranked by that column they are not shuffled again.
+    ``by`` names the column of both tables that says whose. If granules were ranked by that column they
+    are not shuffled again, and a URL is made once for the sharing requests with the same constraint.
     """
     g = granules.where(F.col("access_url").isNotNull()).select(
         by, "rank", F.floor((F.col("rank") - 1) / GRANULES_PER_REQUEST).alias("batch"), "granule_ur", "access_url")
-    asked = constrained.select(*dict.fromkeys((by, "request_id")), "status", subset_query(F.col("constraint")).alias("_query"))
-    url = F.concat("access_url", "_query")
-    return g.join(by_shuffle(asked), by).select(
-        "request_id", "rank", "batch", "granule_ur", "status", url.alias("url"),
-        tx.file_name_from_url(url).alias("file_name")
-    )
+    asked = constrained.select(F.col(by).alias("_by"), "request_id", "status", subset_query(F.col("constraint")).alias("_query"))
+    same = ("_by", "status", "_query")
+    place = F.row_number().over(Window.partitionBy(*same).orderBy("request_id"))
+    alike = asked.withColumn("_list", F.floor((place - 1) / _IDS)).groupBy(*same, "_list").agg(F.collect_list("request_id").alias("_ids"))
+    # The file name does not depend on what is behind the question mark.
+    name = F.when(F.col("_query").isNotNull(), tx.file_name_from_url(subset_url(F.col("access_url"), F.lit(""))))
+    made = g.join(by_shuffle(alike), F.col(by) == F.col("_by")).select(
+        "_ids", "rank", "batch", "granule_ur", "status", F.concat("access_url", "_query").alias("url"), name.alias("file_name"))
+    return made.select(F.explode("_ids").alias("request_id"), "rank", "batch", "granule_ur", "status", "url", "file_name")
 
 
 # -- previews --------------------------------------------------------------------------------

@@ -513,3 +513,5 @@ def test_equal_requests_share_the_granules_of_a_manifest(spark, tmp_path, monkey
     assert difference(found, con, entry.oracle_sql()["subset_manifest"]) is None
     plan = plan_of(found).split("== Physical Plan ==")[1]
     assert found.count() > 0 and "Exchange" not in plan.split("SortMergeJoin [_asked", 1)[1].split("Window", 1)[0]
+    # URLs are made before the requests that share them are told apart.
+    assert "concat(access_url" in plan.split("Generate explode(_ids", 1)[1].split("SortMergeJoin [_asked", 1)[0]
